@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import line_frequency
+from foliospark.llm import line_frequency, winnowing
 from foliospark.tables import table
 
 
@@ -14,5 +14,10 @@ def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_frequency_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_removed")
 
 
-QUERIES = {"op8_line_frequency": op8_line_frequency}
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return winnowing.digest(winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark")), "doc_id")
+
+
+QUERIES = {"op7_winnowing": op7_winnowing, "op8_line_frequency": op8_line_frequency}
 ORACLES: dict[str, str] = {}
