@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import line_frequency, winnowing
+from foliospark.llm import host_reputation, licenses, line_frequency, sql, winnowing
 from foliospark.tables import table
 
 
@@ -14,10 +14,26 @@ def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_frequency_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_removed")
 
 
+def op1_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = host_reputation.host_reputation(pages, table(spark, sf_dir, "labels"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "bad_rate", "bad_bound")
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return winnowing.digest(winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark")), "doc_id")
 
 
-QUERIES = {"op7_winnowing": op7_winnowing, "op8_line_frequency": op8_line_frequency}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_host_reputation": op1_host_reputation,
+    "op3_licenses": op3_licenses,
+    "op7_winnowing": op7_winnowing,
+    "op8_line_frequency": op8_line_frequency,
+}
+ORACLES = {"op1_host_reputation": sql.OP1}
