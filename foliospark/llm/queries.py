@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import host_reputation, licenses, line_frequency, sql, winnowing
+from foliospark.llm import host_reputation, licenses, line_frequency, minmax, sql, winnowing
 from foliospark.tables import table
 
 
@@ -25,6 +25,11 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op5_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minmax.near_duplicates(docs, size=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return winnowing.digest(winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark")), "doc_id")
@@ -33,6 +38,7 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_host_reputation": op1_host_reputation,
     "op3_licenses": op3_licenses,
+    "op5_minmax": op5_minmax,
     "op7_winnowing": op7_winnowing,
     "op8_line_frequency": op8_line_frequency,
 }
