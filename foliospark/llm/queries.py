@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import host_reputation, licenses, line_frequency, minmax, sql, winnowing
+from foliospark.llm import host_reputation, language, licenses, line_frequency, minmax, pii, sharding, sql, winnowing
 from foliospark.tables import table
 
 
@@ -20,6 +20,13 @@ def op1_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "bad_rate", "bad_bound")
 
 
+def op2_hypergeometric_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    dealt = sharding.shuffle_exact(docs, 24)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -35,11 +42,24 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.digest(winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark")), "doc_id")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify_language(docs, keep=["doc_id"]).select("doc_id", "held_out", "lang_pred", "score", "family")
+
+
+def op10_bootstrap_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find_personal(docs, keep=["doc_id"]), "doc_id")
+
+
 QUERIES = {
     "op1_host_reputation": op1_host_reputation,
+    "op2_hypergeometric_shuffle": op2_hypergeometric_shuffle,
     "op3_licenses": op3_licenses,
     "op5_minmax": op5_minmax,
     "op7_winnowing": op7_winnowing,
     "op8_line_frequency": op8_line_frequency,
+    "op9_language": op9_language,
+    "op10_bootstrap_pii": op10_bootstrap_pii,
 }
 ORACLES = {"op1_host_reputation": sql.OP1}
