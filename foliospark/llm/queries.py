@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import host_reputation, language, licenses, line_frequency, minmax, pii, sharding, sql, winnowing
+from foliospark.llm.common import stored
+from foliospark.llm import host_reputation, language, licenses, line_frequency, minmax, packing, pii, sharding, sql, winnowing
 from foliospark.tables import table
 
 
@@ -32,6 +34,12 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str, ranks: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = stored(packing.digest(packing.tokenize(docs, ranks)), "pieces")
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op5_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return minmax.near_duplicates(docs, size=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
@@ -56,6 +64,7 @@ QUERIES = {
     "op1_host_reputation": op1_host_reputation,
     "op2_hypergeometric_shuffle": op2_hypergeometric_shuffle,
     "op3_licenses": op3_licenses,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minmax": op5_minmax,
     "op7_winnowing": op7_winnowing,
     "op8_line_frequency": op8_line_frequency,
