@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import stored
-from foliospark.llm import host_reputation, language, licenses, line_frequency, minmax, packing, pii, sharding, sql, winnowing
+from foliospark.llm import host_reputation, language, licenses, line_frequency, minmax, packing, pii, repeats, sharding, sql, winnowing
 from foliospark.tables import table
 
 
@@ -45,6 +45,12 @@ def op5_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(docs, size=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_column_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = repeats.remove_repeats(docs, keep=["doc_id"])
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return winnowing.digest(winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark")), "doc_id")
@@ -66,6 +72,7 @@ QUERIES = {
     "op3_licenses": op3_licenses,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minmax": op5_minmax,
+    "op6_column_repeats": op6_column_repeats,
     "op7_winnowing": op7_winnowing,
     "op8_line_frequency": op8_line_frequency,
     "op9_language": op9_language,
