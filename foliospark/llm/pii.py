@@ -43,6 +43,8 @@ TOKEN = re.compile(r"[A-Za-z0-9@#_][A-Za-z0-9@#_./+-]{4,}[A-Za-z0-9]")
 KEY = re.compile(r"([A-Za-z_]+)\s*[:=]\s*[\"']?\Z")
 BEFORE = re.compile(r"(\S+)\s+(\S+)\s+\Z")
 LOCAL_PART = re.compile(r"[A-Za-z0-9._%+-]")
+#: Opaque values seed patterns too; they become spans only where a trusted pattern stands before them.
+OPAQUE = re.compile(r"[0-9a-f]{16,}")
 
 
 def luhn(digits: str) -> bool:
@@ -95,11 +97,11 @@ def pattern(text: str, start: int) -> str | None:
     return None
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, bool]]:
-    """(start, end, pattern, seed) of the base spans and of other identifier-like tokens."""
+def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, bool, bool]]:
+    """(start, end, pattern, seed, base) of the base spans and of other identifier-like tokens."""
     for start, _, end in base:
         if p := pattern(text, start):
-            yield start, end, p, True
+            yield start, end, p, True, True
     at = 0
     for m in TOKEN.finditer(text):
         if sum(c.isdigit() for c in m[0]) < 4:
@@ -109,14 +111,14 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
         if any(m.start() < e for _, _, e in takewhile(lambda b: b[0] < m.end(), islice(base, at, None))):
             continue
         if p := pattern(text, m.start()):
-            yield m.start(), m.end(), p, False
+            yield m.start(), m.end(), p, bool(OPAQUE.fullmatch(m[0])), False
 
 
 def read(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns in keep with _base and _cands: array<struct<start, end, pattern, instance, seed>>."""
+    """The columns in keep with _base and _cands: array<struct<start, end, pattern, instance, seed, base>>."""
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    cand = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_())]))
-    schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(f"_base {OUT['base']}, _cands array<struct<start:long,end:long,pattern:string,instance:string,seed:boolean>>").fields])
+    cand = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.bool_()), ("base", pa.bool_())]))
+    schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(f"_base {OUT['base']}, _cands array<struct<start:long,end:long,pattern:string,instance:string,seed:boolean,base:boolean>>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +127,7 @@ def read(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 t = t.as_py() or ""
                 base = base_spans(t)
                 bases.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in base])
-                cands.append([{"start": s, "end": e, "pattern": p, "instance": t[s:e], "seed": seed} for s, e, p, seed in candidates(t, base)])
+                cands.append([{"start": s, "end": e, "pattern": p, "instance": t[s:e], "seed": seed, "base": own} for s, e, p, seed, own in candidates(t, base)])
             yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(bases, span), pa.array(cands, cand)], names=[*keep, "_base", "_cands"])
 
     return docs.mapInArrow(run, schema)
@@ -159,7 +161,7 @@ def find_personal(docs: DataFrame, text: str = "text", keep: list[str] | None =
     flat = read_.select("_row", F.explode("_cands").alias("c")).select("_row", "c.*")
     trusted = stored(trusted_patterns(flat.select("pattern", "instance", "seed"), rounds, bound, support), "trusted")
     few = trusted.count() <= BROADCAST_ROWS
-    more = flat.filter(~F.col("seed")).join(F.broadcast(trusted) if few else trusted, "pattern", "left_semi")
+    more = flat.filter(~F.col("base")).join(F.broadcast(trusted) if few else trusted, "pattern", "left_semi")
     more = more.groupBy("_row").agg(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end")).alias("_more"))
     more = stored(more, "more")
     more = F.broadcast(more) if more.count() <= BROADCAST_ROWS else more
