@@ -1,25 +1,18 @@
-"""Names of the reference's operators, their queries and their SQL."""
+"""All operations by name, their queries and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from foliospark.plans import text  # noqa: F401  registers
+from foliospark.plans.registry import OPERATIONS, ORACLES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from foliospark.tables import table
+def FLAGSHIP(spark, sf_dir):  # noqa: N802
+    return OPERATIONS["f4_collapse_ws"](spark, sf_dir)
 
 
-def char_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.length("text")).cast("long").alias("n"))
-
-
-FLAGSHIP = char_census
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"a1_char_census": char_census}
+def queries() -> dict[str, Query]:
+    return dict(OPERATIONS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"a1_char_census": "select lang, sum(length(text))::bigint as n from documents group by lang"}
+    return dict(ORACLES)
