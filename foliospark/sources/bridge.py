@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.tables import table
@@ -28,12 +28,13 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One positioned item for each space-separated token: doc_id, page, line_no, off, str, x0, x1, baseline, size, rotated."""
-    parts = F.split("line", " ")
-    token = F.transform(parts, lambda s, i: F.struct(s.alias("str"), (F.length(F.array_join(F.slice(parts, 1, i), " ")) + F.when(i > 0, 1).otherwise(0)).alias("off")))
-    items = doc_lines(spark, sf_dir).select("doc_id", "page", "line_no", "line_in_page", F.explode(token).alias("t")).filter("t.str != ''")
-    x0 = F.lit(LEFT) + ADVANCE * F.col("t.off")
+    # dealt by page once: all windows over a page or a part of it find their rows in place
+    tokens = doc_lines(spark, sf_dir).repartition("doc_id", "page").select("doc_id", "page", "line_no", "line_in_page", F.posexplode(F.split("line", " ")).alias("j", "str"))
+    before = Window.partitionBy("doc_id", "page", "line_no").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    items = tokens.withColumn("off", F.coalesce(F.sum(F.length("str") + 1).over(before), F.lit(0)).cast("int")).filter("str != ''")
+    x0 = F.lit(LEFT) + ADVANCE * F.col("off")
     return items.select(
-        "doc_id", "page", "line_no", F.col("t.off").alias("off"), F.col("t.str").alias("str"), x0.alias("x0"), (x0 + ADVANCE * F.length("t.str")).alias("x1"),
+        "doc_id", "page", "line_no", "off", "str", x0.alias("x0"), (x0 + ADVANCE * F.length("str")).alias("x1"),
         (F.lit(TOP) + PITCH * F.col("line_in_page")).alias("baseline"), F.lit(SIZE).alias("size"), F.lit(False).alias("rotated"),
     )
 
@@ -56,8 +57,6 @@ def grid_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, seq, state: each user's events in order, as moves of a queue item."""
-    from pyspark.sql import Window
-
     kinds = table(spark, sf_dir, "events").withColumn("item_id", F.col("user_id"))
     seq = F.row_number().over(Window.partitionBy("item_id").orderBy("ts", "event_id"))
     state = F.element_at(F.array(*map(F.lit, STATES)), (F.col("event_id") % len(STATES) + 1).cast("int"))
