@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.plans import layout, raster, text  # noqa: F401  registers
+from foliospark.plans import layout, pages, raster, text  # noqa: F401  registers
 from foliospark.plans.registry import OPERATIONS, ORACLES, Query
 
 
