@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from foliospark.plans import layout, pages, raster, text  # noqa: F401  registers
+from foliospark.plans import compare, layout, pages, raster, text  # noqa: F401  registers
 from foliospark.plans.registry import OPERATIONS, ORACLES, Query
 
 
 def FLAGSHIP(spark, sf_dir):  # noqa: N802
-    return OPERATIONS["f4_collapse_ws"](spark, sf_dir)
+    return OPERATIONS["d4_compare_documents"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
