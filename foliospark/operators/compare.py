@@ -8,7 +8,6 @@ one task is one pair of documents.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,48 +25,38 @@ def edit_script(a: list, b: list, most: int = MOST_EDITS) -> list[Op]:
     """(kind, a_start, a_end, b_start, b_end) of a shortest script by greedy furthest-reaching paths.
 
     Of two paths that reach equally far the deletion is taken, so results are
-    the same on every run. Words are numbered first; runs of equal words are
-    skipped by one comparison of arrays.
+    the same on every run.
     """
-    ids: dict = {}
-    x, y = (np.array([ids.setdefault(w, len(ids)) for w in side], np.int64) for side in (a, b))
-    n, m, steps = len(x), len(y), 0
-
-    def slide(i: int, j: int) -> int:
-        """How far on equal words go from (i, j)."""
-        i0, span = i, 16
-        while i < n and j < m:
-            width = min(span, n - i, m - j)
-            differs = np.flatnonzero(x[i : i + width] != y[j : j + width])
-            go = int(differs[0]) if len(differs) else width
-            i, j, span = i + go, j + go, span * 2
-            if go < width:
-                break
-        return i - i0
-
-    reach, history = {1: 0}, []
+    n, m, steps = len(a), len(b), 0
+    off = m + 1  # diagonals from -m to n
+    reach = [-1] * (n + m + 3)
+    reach[1 + off] = 0
+    history: list[tuple[int, list[int]]] = []
     for d in range(n + m + 1):
         if d > most:
             raise TooDifferent
-        history.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            if k < -m or k > n:
-                continue
-            down = k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-            i = reach.get(k + 1, 0) if down else reach.get(k - 1, 0) + 1
-            go = slide(i, i - k) if 0 <= i - k else 0
-            reach[k] = i + go
-            steps += go + 1
-            if steps > BUDGET:
-                raise TooDifferent
-        if reach.get(n - m, -1) >= n:
+        low, high = max(-d, -m), min(d, n)
+        history.append((low - 1, reach[low - 1 + off : high + 2 + off]))
+        for k in range(low + (low + d) % 2, high + 1, 2):
+            below, above = reach[k - 1 + off], reach[k + 1 + off]
+            i = above if k == -d or (k != d and below < above) else below + 1
+            start, j = i, i - k
+            while i < n and j < m and a[i] == b[j]:
+                i += 1
+                j += 1
+            reach[k + off] = i
+            steps += i - start + 1
+        if steps > BUDGET:
+            raise TooDifferent
+        if reach[n - m + off] >= n:
             break
     moves: list[Op] = []
     i, j = n, m
     for d in range(len(history) - 1, 0, -1):
-        before, k = history[d], i - j
-        down = k == -d or (k != d and before.get(k - 1, -1) < before.get(k + 1, -1))
-        pi = before.get(k + 1 if down else k - 1, 0)
+        (first, before), k = history[d], i - j
+        at = lambda diagonal: before[diagonal - first] if 0 <= diagonal - first < len(before) else -1  # noqa: B023, E731
+        down = k == -d or (k != d and at(k - 1) < at(k + 1))
+        pi = at(k + 1 if down else k - 1)
         pj = pi - (k + 1 if down else k - 1)
         si, sj = (pi, pj + 1) if down else (pi + 1, pj)
         if i > si:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.plans import cells, compare, jobs, layout, pages, raster, streams, text  # noqa: F401  registers
+from foliospark.plans import cells, compare, jobs, layout, pages, raster, regions, streams, text  # noqa: F401  registers
 from foliospark.plans.registry import OPERATIONS, ORACLES, Query
 
 
