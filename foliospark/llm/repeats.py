@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,12 +80,18 @@ def contexts(raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         yield start + base, strings, anchor[start] - start, h[anchor[start]].view(np.int64)
 
 
-CONTEXT = "anchor long, ctx long, doc_id long, text_hash long, start int, lead int, strings int"
+CONTEXT = "anchor long, ctx long, doc_id long, text_hash long, place long"
+
+
+def unpacked() -> tuple[Column, Column, Column]:
+    """start, lead and strings: place holds them in one number, as contexts are many."""
+    part = lambda shift, mask: F.shiftright("place", shift).bitwiseAND(mask).cast("int")
+    return part(16, 2**31 - 1), part(8, 255), part(0, 255)
 
 
 def all_contexts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """CONTEXT rows of the texts; ctx is a hash of the context's bytes and lead."""
-    schema = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("lead", pa.int32()), ("strings", pa.int32())])
+    schema = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +105,7 @@ def all_contexts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                     ctx = np.fromiter((xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
                     ctx = mix(ctx + lead.astype(np.uint64)).view(np.int64)
                     n = len(start)
-                    columns = [anchor, ctx, pa.array([doc] * n, pa.int64()), np.full(n, key), start.astype(np.int32), lead.astype(np.int32), strings.astype(np.int32)]
+                    columns = [anchor, ctx, pa.array([doc] * n, pa.int64()), np.full(n, key), (start << 16) | (lead << 8) | strings]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     narrow = docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), F.col(text).cast("binary").alias("raw"))
@@ -107,8 +113,9 @@ def all_contexts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def context_bytes(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(anchor, ctx, lead, raw) of the wanted (anchor, ctx, doc_id, text_hash, start, lead, strings)."""
-    lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "ctx", "start", "lead", "strings")).alias("parts"))
+    """(anchor, ctx, lead, raw) of the wanted rows of CONTEXT."""
+    start, lead, strings = unpacked()
+    lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "ctx", start.alias("start"), lead.alias("lead"), strings.alias("strings"))).alias("parts"))
     lists = stored(lists.toDF("_doc", "_hash", "parts"), "lists")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("raw"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
@@ -215,16 +222,18 @@ def counted_strings(pieces: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, text: str, doc_id: str, hot: int = HOT) -> DataFrame:
-    """(doc_id, text_hash, starts): for each document with a repeated string, runs of the places where such strings start."""
+    """(doc_id, text_hash, spans): for each document with a repeated string, the bytes that such strings cover."""
     found = all_contexts(docs, text, doc_id)
+    start, _, strings = unpacked()
+    # anchors grow with the corpus: they are shuffled, never broadcast
     anchors = stored(found.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
-    found = stored(found.join(small(anchors), "anchor"), "contexts")
-    first = F.min(F.struct("doc_id", "text_hash", "start", "lead", "strings"))
+    found = stored(found.join(anchors.hint("merge"), "anchor"), "contexts")
+    first = F.min(F.struct("doc_id", "text_hash", "place"))
     distinct = stored(found.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), first.alias("rep")).select("anchor", "ctx", "n", "rep.*"), "distinct")
     several = distinct.groupBy("anchor").count().filter("count > 1")
     several = stored(several.select("anchor", (F.col("count") > hot).alias("hot")), "several")
-    wanted = distinct.join(small(several), "anchor")
-    pieces = context_bytes(docs, wanted.select("anchor", "ctx", "doc_id", "text_hash", "start", "lead", "strings"), text, doc_id)
+    wanted = distinct.join(several.hint("merge"), "anchor")
+    pieces = context_bytes(docs, wanted.select("anchor", "ctx", "doc_id", "text_hash", "place"), text, doc_id)
     pieces = stored(pieces, "pieces")
     much = several.filter("hot").select("anchor")
     rare = pieces
@@ -234,23 +243,31 @@ def repeated_spans(docs: DataFrame, text: str, doc_id: str, hot: int = HOT) -> D
         shared = counted_strings(pieces.join(much, "anchor", "left_semi"))
     inserted = shared_strings(rare.repartition("anchor"))
     shared = inserted if shared is None else inserted.unionByName(shared)
-    whole = F.array(F.struct(F.lit(0).alias("from"), F.col("strings").alias("to")))
+    whole = F.array(F.struct(F.lit(0).alias("from"), strings.alias("to")))
     same = distinct.filter("n > 1").select("anchor", "ctx", whole.alias("runs"))
     single = distinct.filter("n = 1").select("anchor", "ctx")
     verdict = stored(same.unionByName(stored(shared, "shared").join(single, ["anchor", "ctx"], "left_semi")), "verdict")
-    hit = found.join(verdict, ["anchor", "ctx"]).select("doc_id", "text_hash", F.transform("runs", lambda r: F.struct((r["from"] + F.col("start")).alias("from"), (r["to"] + F.col("start")).alias("to"))).alias("runs"))
-    return hit.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("runs")).alias("starts"))
+    hit = found.join(verdict, ["anchor", "ctx"]).select("doc_id", "text_hash", F.transform("runs", lambda r: F.struct((r["from"] + start).alias("start"), (r["to"] - 1 + LENGTH + start).alias("end"))).alias("spans"))
+    hit = hit.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = pa.array([merged(s.as_py()) for s in batch.column("spans")], span)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), whole], names=batch.schema.names)
+
+    return hit.mapInArrow(join, "doc_id long, text_hash long, spans array<struct<start:int,end:int>>")
 
 
-def merged(starts: list[dict]) -> list[tuple[int, int]]:
-    """Byte spans covered by the strings that start in the runs: sorted, apart."""
-    out: list[list[int]] = []
-    for a, b in sorted((r["from"], r["to"] - 1 + LENGTH) for r in starts):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+def merged(spans: list[dict]) -> list[dict]:
+    """The spans sorted, those that overlap or touch made one."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: s["start"]):
+        if out and s["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], s["end"])
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            out.append(dict(s))
+    return out
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, hot: int = HOT) -> DataFrame:
@@ -259,9 +276,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     keep: the columns of docs to return, all by default.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in OUT]
-    spans = stored(repeated_spans(docs, text, doc_id, hot).toDF("_doc", "_hash", "_starts"), "spans")
+    found = stored(repeated_spans(docs, text, doc_id, hot).toDF("_doc", "_hash", "_spans"), "spans")
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_hash"))
-    both = docs.join(small(spans), same, "left").select(*{*keep}, F.col(text).cast("binary").alias("_raw"), "_starts")
+    both = docs.join(small(found), same, "left").select(*{*keep}, F.col(text).cast("binary").alias("_raw"), "_spans")
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string("n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_bytes binary").fields])
     own = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_bytes", pa.binary())])
 
@@ -269,11 +286,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part, rows = batch.slice(at, 1000), []
-                for raw, starts in zip(part.column("_raw"), part.column("_starts"), strict=True):
-                    raw, gone = raw.as_py() or b"", merged(starts.as_py() or [])
-                    cuts = [0, *(x for span in gone for x in span), len(raw)]
+                for raw, spans in zip(part.column("_raw"), part.column("_spans"), strict=True):
+                    raw, gone = raw.as_py() or b"", spans.as_py() or []
+                    cuts = [0, *(x for s in gone for x in (s["start"], s["end"])), len(raw)]
                     left = b"".join(raw[a:b] for a, b in zip(cuts[0::2], cuts[1::2], strict=True))
-                    rows.append((len(raw), len(raw) - len(left), [{"start": a, "end": b} for a, b in gone], left))
+                    rows.append((len(raw), len(raw) - len(left), gone, left))
                 yield pa.RecordBatch.from_arrays([*map(part.column, keep), *made(rows, own).columns], names=[*keep, *own.names])
 
     return both.mapInArrow(run, schema)
