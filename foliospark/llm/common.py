@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Small sides are broadcast only up to this many rows; beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 200_000
+#: Small sides are broadcast only up to this many rows and bytes of Parquet; beyond it Spark shuffles both sides.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 * 1024 * 1024
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Delimiters of the two kinds of words that the operators know.
@@ -36,19 +36,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a stored table that no later plan reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/foliospark/" in parent:
-            at = jvm.org.apache.hadoop.fs.Path(parent)
-            at.getFileSystem(conf).delete(at, True)
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a stored table is read from."""
+    spark = df.sparkSession
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    return sum(at.getFileSystem(conf).getFileStatus(at).getLen() for at in map(path, df.inputFiles()))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table, marked for broadcast if it has few rows: its size is counted, not guessed."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """A stored table, marked for broadcast if it has few rows and bytes: its size is read, not guessed."""
+    return F.broadcast(df) if file_bytes(df) <= BROADCAST_BYTES and df.count() <= rows else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -8,10 +8,9 @@ signature propose candidates; every link is confirmed on the full sets.
 1. One pass turns each text into its set of hashed shingles. Documents with
    equal sets form a class; only one of a class goes on.
 2. Classes that share a band meet in a bucket. A bucket links its members to a
-   centre, never to each other, and those links are confirmed. Members that are
-   not yet in one component with their bucket's other members meet further
-   centres, and at last whatever pairs of different components are left in a
-   bucket and agree in their signatures at all: no cap drops a link.
+   centre, never to each other, and those links are confirmed. Components that
+   still share a bucket meet block by block, all members of the one against all
+   of the other until a link is found: no cap drops a link.
 3. Components are labelled by the smallest document id, by rounds of joins:
    each label hooks on to its least neighbour, and chains of labels are halved.
 
@@ -38,10 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import BROADCAST_ROWS, dropped, small, stored, text_key
+from foliospark.llm.common import BROADCAST_ROWS, small, stored, text_key
 
 PERMUTATIONS, BANDS, SEED = 120, 40, 20_240_229
-ROUNDS = 4
+#: Rounds of centres before components meet block by block, and members of a block.
+ROUNDS, BLOCK = 2, 500
 #: Words whose hashes a task remembers.
 KNOWN_WORDS = 1_000_000
 #: Labels from here on stand for documents without an id.
@@ -148,17 +148,56 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, size:
     return texts.join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
-def agreeing(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs whose 8-bit signatures agree in at least that share of places."""
+def blocks_of(members: DataFrame) -> DataFrame:
+    """(host, block, rows): the rows of a host in lists of about BLOCK; members has host, node, label, sig and shingles."""
+    sizes = members.groupBy("host").count().select(F.col("host").alias("_by"), F.ceil(F.col("count") / BLOCK).alias("_n"))
+    salted = members.join(sizes, F.col("host") == F.col("_by")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_n")))
+    return salted.groupBy("host", "block").agg(F.collect_list(F.struct("node", "label", "sig", "shingles")).alias("rows"))
+
+
+def blockwise(at: DataFrame, few: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that still share a bucket, at least one for each two that have one.
+
+    The largest component of a bucket is the host of the bucket's other nodes. A
+    block of a host's guests meets the blocks of its members and those of its
+    other guests; what agrees in its signatures is confirmed there on the full
+    sets, so no list of pairs is ever made.
+    """
+    whole = at.select("node", "label").distinct()
+    here = at.join(whole.groupBy("label").count(), "label")
+    top = here.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top")).select("bucket", F.col("top.label").alias("host"))
+    guests = stored(at.join(top, "bucket").filter(F.col("label") != F.col("host")).select("host", "node").distinct(), "guests")
+    nodes = whole.join(few.select("node", "sig"), "node").join(full, "node")
+    nodes = stored(nodes.dropDuplicates(["node"]), "unresolved")
+    members = nodes.join(guests.select("host").distinct(), F.col("label") == F.col("host"))
+    left = stored(blocks_of(guests.join(nodes, "node")), "blocks")
+    right = blocks_of(members).select("host", F.lit(-1).cast("long").alias("other"), F.col("rows").alias("own"))
+    right = right.unionByName(left.select("host", F.col("block").alias("other"), F.col("rows").alias("own")))
+    least = percent / 100 - 0.1  # four times the deviation of a signature's agreement
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.array([np.frombuffer(v, np.uint8) for v in batch.column(n).to_pylist()]) for n in ("sig_a", "sig_b"))
-            if len(x):
-                keep = pa.array((x == y).mean(axis=1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+            for i in range(batch.num_rows):
+                own, rows = batch.column("own")[i].as_py(), batch.column("rows")[i].as_py()
+                table, labels = np.array([np.frombuffer(m["sig"], np.uint8) for m in own]), np.array([m["label"] for m in own])
+                sets, done, found = [np.frombuffer(m["shingles"], np.uint64) for m in own], set(), []
+                for g in rows:
+                    t = np.frombuffer(g["shingles"], np.uint64)
+                    agree = ((table == np.frombuffer(g["sig"], np.uint8)).mean(axis=1) >= least) & (labels != g["label"])
+                    for j in np.flatnonzero(agree):
+                        if (g["label"], labels[j]) not in done and alike(sets[j], t, percent):
+                            found.append((g["node"], own[j]["node"]))
+                            done.add((g["label"], labels[j]))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long").distinct()
+    meet = left.join(right, "host").filter((F.col("other") < 0) | (F.col("block") <= F.col("other")))
+    return meet.select("rows", "own").mapInArrow(run, "a long, b long")
+
+
+def alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted sets."""
+    both = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
+    return 100 * both >= percent * (len(s) + len(t) - both)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,10 +209,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for b, x, y in zip(batch.column("b").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
                 if b != last:
                     last, s = b, np.frombuffer(y.as_py(), np.uint64)
-                t = np.frombuffer(x.as_py(), np.uint64)
-                at = np.searchsorted(s, t)
-                both = int((s[np.minimum(at, len(s) - 1)] == t).sum())
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+                keep.append(alike(s, np.frombuffer(x.as_py(), np.uint64), percent))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
@@ -231,31 +267,20 @@ def near_duplicates(
         at = buckets.join(state, "node")
         centre = F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn)))
         mixed = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), centre.alias("c")).filter("lo < hi")
-        if turn == 0:  # one centre for each node
-            pairs = at.join(mixed, "bucket").filter(F.col("node") != F.col("c.node")).groupBy("node").agg(F.min("c.node").alias("b")).select(F.col("node").alias("a"), "b")
-        elif turn < ROUNDS:
-            pairs = at.join(mixed, "bucket").filter(F.col("label") != F.col("c.label")).select(F.col("node").alias("a"), F.col("c.node").alias("b"))
-        else:  # all that is left
-            here = at.join(mixed.select("bucket"), "bucket")
-            one, two = here.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), here.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = one.join(two, "bucket").filter("la < lb").select("a", "b")
-        if turn:
-            pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if turn == ROUNDS:
-            sig = few.select("node", "sig")
-            pairs = agreeing(pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b"), percent / 100 - 0.15)
-        pairs = stored(pairs, "pairs")
-        if not pairs.limit(1).count():
-            turn = ROUNDS if turn < ROUNDS and tried is not None else ROUNDS + 1
-            continue
-        links = confirmed(pairs, full, percent)
+        mixed = stored(mixed.select("bucket", "c"), "mixed")
+        if not mixed.limit(1).count():
+            break
+        if turn < ROUNDS:
+            to = at.join(mixed, "bucket").filter(F.col("label") != F.col("c.label")).select(F.col("node").alias("a"), F.col("c.node").alias("b"))
+            # at first one centre for each node, then all of them
+            pairs = to.groupBy("a").agg(F.min("b").alias("b")) if tried is None else to.distinct().join(tried, ["a", "b"], "left_anti")
+            pairs = stored(pairs, "pairs")
+            links, tried = confirmed(pairs, full, percent), pairs
+        else:
+            links = blockwise(at.join(mixed.select("bucket"), "bucket"), few, full, percent)
         a, b = state.toDF("a", "u"), state.toDF("b", "v")
         roots = least_labels(links.join(a, "a").join(b, "b").select("u", "v"))
         state = stored(state.join(roots, F.col("label") == F.col("was"), "left").select("node", F.coalesce("root", "label").alias("label")), "state")
-        back = pairs.union(pairs.select("b", "a"))
-        tried = back if tried is None else tried.union(back)
         turn += 1
     labels = nodes.select("cls", "node").join(state, "node", "left").select(F.col("cls").alias("_c"), F.coalesce("label", "node").alias("label"))
     out = sets.select("doc_id", "key", "n_shingles", "cls").join(labels, F.col("cls") == F.col("_c"), "left")
