@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import BROADCAST_ROWS, stored
+from foliospark.llm.common import small, stored
 
 KINDS = ("email", "ip", "card", "phone", "id")
 OUT = {"base": "array<struct<kind:string,start:long,end:long>>", "spans": "array<struct<kind:string,start:long,end:long>>"}
@@ -160,11 +160,9 @@ def find_personal(docs: DataFrame, text: str = "text", keep: list[str] | None =
     read_ = stored(read(docs, text, docs.columns if keep is None else keep).withColumn("_row", F.monotonically_increasing_id()), "read")
     flat = read_.select("_row", F.explode("_cands").alias("c")).select("_row", "c.*")
     trusted = stored(trusted_patterns(flat.select("pattern", "instance", "seed"), rounds, bound, support), "trusted")
-    few = trusted.count() <= BROADCAST_ROWS
-    more = flat.filter(~F.col("base")).join(F.broadcast(trusted) if few else trusted, "pattern", "left_semi")
+    more = flat.filter(~F.col("base")).join(small(trusted), "pattern", "left_semi")
     more = more.groupBy("_row").agg(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end")).alias("_more"))
-    more = stored(more, "more")
-    more = F.broadcast(more) if more.count() <= BROADCAST_ROWS else more
+    more = small(stored(more, "more"))
     both = F.concat("_base", F.coalesce("_more", F.array().cast(OUT["spans"])))
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
     ordered = F.transform(F.array_sort(F.transform(both, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
