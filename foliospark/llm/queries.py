@@ -78,4 +78,4 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_bootstrap_pii": op10_bootstrap_pii,
 }
-ORACLES = {"op1_host_reputation": sql.OP1}
+ORACLES = {"op1_host_reputation": sql.OP1, "op5_minmax": sql.OP5, "op6_column_repeats": sql.OP6, "op7_winnowing": sql.OP7}

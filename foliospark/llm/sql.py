@@ -47,3 +47,68 @@ select page_id, host, path, rule,
     else case when bad_bound > 0.5 then 'block' else 'allow' end end as verdict, bad_rate, bad_bound
 from judged
 """
+
+#: Links on full sets of shingles, spelled out; a label goes on to the neighbours with larger ids.
+OP5 = r"""
+with recursive split as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+starts as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from split where len(w) > 0),
+shingles as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') as s from starts),
+sets as (select doc_id, list(s order by s) as all_s, count(*) as n from shingles group by doc_id),
+classes as (select min(doc_id) as node, all_s, any_value(n) as n from sets group by all_s),
+held as (select node, n, unnest(all_s) as s from classes),
+links as (
+  select a.node as a, b.node as b from held a join held b on a.s = b.s and a.node < b.node and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n
+  group by a.node, b.node, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ways as (select a, b from links union all select b, a from links),
+reach as (
+  select node, node as label from classes
+  union select ways.b, reach.label from reach join ways on ways.a = reach.node where reach.label < ways.b),
+labels as (select node, min(label) as label from reach group by node),
+members as (select s.doc_id, l.label, s.n from sets s join classes c on s.all_s = c.all_s join labels l on l.node = c.node)
+select d.doc_id, coalesce(m.n, 0)::bigint as n_shingles, coalesce(m.label, d.doc_id) as component_id, coalesce(m.label, d.doc_id) = d.doc_id as kept
+from split d left join members m using (doc_id)
+"""
+
+#: Every 200-byte string is counted; texts are spelled in hexadecimal, as SQL has no substrings of bytes.
+OP6 = r"""
+with spelled as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+blocks as (select r, x, unnest(range(0, (len(x) // 2 - 199)::bigint, 500)) as base from spelled where len(x) >= 400),
+parts as (select r, base, substring(x, 2 * base + 1, 1398) as part from blocks),
+starts as (select r, base, part, unnest(range(0, (len(part) // 2 - 199)::bigint)) as k from parts),
+strings as (select r, base + k as i, md5_number(substring(part, 2 * k + 1, 400)) as h from starts),
+often as (select h from strings group by h having count(*) > 1),
+hit as (select r, i from strings where h in (select h from often)),
+edges as (select r, i, coalesce(i > lag(i) over (partition by r order by i) + 200, true)::int as fresh from hit),
+runs as (select r, i, sum(fresh) over (partition by r order by i rows unbounded preceding) as run from edges),
+spans as (select r, min(i) as a, max(i) + 200 as b from runs group by r, run),
+gaps as (select r, a, b, lag(b, 1, 0) over (partition by r order by a) as before from spans),
+cut as (
+  select r, sum(b - a)::bigint as n_removed, count(*) as n_spans, string_agg(substring(x, 2 * before + 1, 2 * (a - before)), '' order by a) || substring(any_value(x), 2 * max(b) + 1) as rest
+  from gaps join spelled using (r) group by r)
+select doc_id, (len(x) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(rest, x))) as kept_sha256
+from spelled left join cut using (r)
+"""
+
+#: Every window of every item is looked for in every text.
+OP7 = r"""
+with split as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+items as (
+  select item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark),
+item_starts as (select item, w, least(len(w), 10) as n, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from items where len(w) > 0),
+item_windows as (select distinct item, n, array_to_string(w[i:i + n - 1], ' ') as g from item_starts),
+lengths as (select distinct n from item_windows),
+text_starts as (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from split, lengths where len(w) >= n),
+met as (select t.r, t.i, t.n, b.item from (select r, i, n, array_to_string(w[i:i + n - 1], ' ') as g from text_starts) t join item_windows b on t.n = b.n and t.g = b.g),
+places as (select distinct r, i, n from met),
+covered as (select distinct r, word from (select r, unnest(range(i, i + n)) as word from places)),
+hits as (select r, count(*) as n_hit from covered group by r),
+named as (select r, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct r, item from met where item is not null) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from split left join hits using (r) left join named using (r)
+"""

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import brute
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -365,3 +366,15 @@ def test_query_op3_op10(spark):
     assert got == {i: brute.licence(t, licenses.BASE_PHRASES) for i, t in small_docs(spark)}
     n = {r.doc_id: r.n_email + r.n_ip + r.n_card + r.n_phone for r in queries.op10_bootstrap_pii(spark, SMALL).collect()}
     assert n == {i: len(brute.personal(t)) for i, t in small_docs(spark)}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "pages", "labels"):
+        con.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
+    found = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in found.description]
+    df = queries.QUERIES[name](spark, SMALL)
+    assert sorted(df.columns) == sorted(columns)
+    assert rows_of(df, *columns) == Counter(found.fetchall())
