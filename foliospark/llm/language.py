@@ -21,7 +21,6 @@ Defined cases
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -33,7 +32,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMENSIONS = 4096
-LETTER = re.compile(r"[^\W\d_]")
 OUT = ["held_out", "lang_pred", "family", "score"]
 
 
@@ -67,7 +65,7 @@ class Model:
     between: dict[tuple[str, str], np.ndarray]
 
     def predict(self, text: str | None) -> tuple[str, str | None, float]:
-        if not self.families or not text or not LETTER.search(text):
+        if not self.families or not text or not any(map(str.isalpha, text)):
             return "und", None, 0.0
         x = np.append(features(text), np.float32(1))
         margins = self.against @ x if len(self.families) > 1 else np.ones(1)

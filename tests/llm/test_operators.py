@@ -195,13 +195,13 @@ def test_malformed_expressions(expression):
 def test_language(spark):
     rng = np.random.default_rng(0)
     letters = {"aa": "abcdeo ", "ab": "abcdeu ", "zz": "vwxyzü ", "zy": "vwxyzö "}
-    rows = [(i, "".join(rng.choice(list(letters[k]), 300)), k) for i, k in enumerate(list(letters) * 60)] + [(900, None, "aa"), (901, "123 ...", "aa"), (902, "abc", None)]
+    rows = [(i, "".join(rng.choice(list(letters[k]), 300)), k) for i, k in enumerate(list(letters) * 60)] + [(900, None, "aa"), (901, "123 ...", "aa"), (902, "abc", None), (903, "½² Ⅷ", "aa")]
     got = language.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     out = [r for r in got if r.held_out and r.lang_pred != "und"]
     assert out and np.mean([r.lang_pred == r.lang for r in out if r.lang]) > 0.95
     assert {r.family for r in out} == {"aa+ab", "zy+zz"}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
-    assert {r.doc_id for r in got if r.lang_pred == "und"} == {900, 901}
+    assert {r.doc_id for r in got if r.lang_pred == "und"} == {900, 901, 903}
 
 
 def test_language_special(docs):
