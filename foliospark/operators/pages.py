@@ -97,6 +97,15 @@ def merge_docs(pages: DataFrame, group: Column, order: list[str]) -> DataFrame:
     return named.withColumn("ordinal", F.row_number().over(Window.partitionBy("merged").orderBy(*order)))
 
 
+def number_pages(pages: DataFrame, group: str, style: str = "n") -> DataFrame:
+    """pages with label: the ordinal, alone or with the number of pages of the group (`n/total`)."""
+    n = F.col("ordinal").cast("string")
+    if style == "n":
+        return pages.withColumn("label", n)
+    total = F.count("*").over(Window.partitionBy(group))
+    return pages.withColumn("label", F.concat(n, F.lit("/"), total.cast("string")))
+
+
 def walk_tree(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
     """(node, depth, path) in preorder from the roots of (node, parent, title), level by level; cycles are cut."""
     level = nodes.filter("parent is null").select("node", F.lit(0).alias("depth"), F.array("node").alias("path"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.operators import pages as P
-from foliospark.plans.registry import register
+from foliospark.plans.registry import chain, register
 from foliospark.sources.bridge import bridged, doc_pages
 from foliospark.tables import table
 
@@ -14,6 +14,9 @@ GEOM = """geom as (select doc_id, page, coalesce(crop.x, 0.0) as gx, coalesce(cr
   case when rotation in (90, 270) then coalesce(crop.h, height) else coalesce(crop.w, width) end as vw, case when rotation in (90, 270) then coalesce(crop.w, width) else coalesce(crop.h, height) end as vh from doc_pages)"""
 N = "n as (select doc_id, max(page) as n from doc_pages group by doc_id)"
 
+#: Documents that are merged: a hundred neighbours, however many documents there are.
+VOLUME = "doc_id div 100"
+
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_pages(spark, sf_dir).groupBy("doc_id").agg(F.max("page").alias("n"))
@@ -134,24 +137,24 @@ def compact_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.compact_ranges(doc_pages(spark, sf_dir).filter("page % 4 != 3"), "doc_id")
 
 
-SOURCES = "src as (select doc_id % 100 as merged, doc_id, n from n)"
+SOURCES = "src as (select doc_id // 100 as merged, doc_id, n from n)"
 
 
 @register("w15_page_offsets", bridged(f"with {N}, {SOURCES} select merged, doc_id, coalesce(sum(greatest(n, 1)) over (partition by merged order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as first from src"))
 def page_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = counts(spark, sf_dir).withColumn("merged", F.col("doc_id") % 100)
+    sources = counts(spark, sf_dir).withColumn("merged", F.expr(VOLUME))
     return P.page_offsets(sources, "merged", "doc_id", "n").select("merged", "doc_id", "first")
 
 
-@register("u1_merge_docs", bridged("select doc_id % 100 as merged, (row_number() over (partition by doc_id % 100 order by doc_id, page))::int as ordinal, doc_id, page from doc_pages"))
+@register("u1_merge_docs", bridged("select doc_id // 100 as merged, (row_number() over (partition by doc_id // 100 order by doc_id, page))::int as ordinal, doc_id, page from doc_pages"))
 def merge_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.merge_docs(doc_pages(spark, sf_dir), F.col("doc_id") % 100, ["doc_id", "page"]).select("merged", "ordinal", "doc_id", "page")
+    return P.merge_docs(doc_pages(spark, sf_dir), F.expr(VOLUME), ["doc_id", "page"]).select("merged", "ordinal", "doc_id", "page")
 
 
-@register("u2_merge_selected", bridged("select doc_id % 100 as merged, (row_number() over (partition by doc_id % 100 order by doc_id, page))::int as ordinal, doc_id, page from doc_pages where page % 2 = doc_id % 2"))
+@register("u2_merge_selected", bridged("select doc_id // 100 as merged, (row_number() over (partition by doc_id // 100 order by doc_id, page))::int as ordinal, doc_id, page from doc_pages where page % 2 = doc_id % 2"))
 def merge_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks = counts(spark, sf_dir).select("doc_id", F.explode(F.filter(F.sequence(F.lit(1), "n"), lambda p: p % 2 == F.col("doc_id") % 2)).alias("page"))
-    return P.merge_docs(doc_pages(spark, sf_dir).join(picks, ["doc_id", "page"]), F.col("doc_id") % 100, ["doc_id", "page"]).select("merged", "ordinal", "doc_id", "page")
+    return P.merge_docs(doc_pages(spark, sf_dir).join(picks, ["doc_id", "page"]), F.expr(VOLUME), ["doc_id", "page"]).select("merged", "ordinal", "doc_id", "page")
 
 
 @register("u3_split_ranges", bridged("select doc_id, part, page, (row_number() over (partition by doc_id, part order by page))::int as ordinal from (select doc_id, case when page <= 2 then 0 else 1 end as part, page from doc_pages)"))
@@ -180,7 +183,7 @@ def reorder_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("j13_remap_outline", bridged(f"""with {N}, {SOURCES}, o as (select merged, doc_id, coalesce(sum(n) over (partition by merged order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as first from src)
 select merged, doc_id, page + first as dest_page from doc_pages join o using (doc_id) where page % 3 = 1"""))
 def remap_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = P.page_offsets(counts(spark, sf_dir).withColumn("merged", F.col("doc_id") % 100), "merged", "doc_id", "n")
+    sources = P.page_offsets(counts(spark, sf_dir).withColumn("merged", F.expr(VOLUME)), "merged", "doc_id", "n")
     nodes = doc_pages(spark, sf_dir).filter("page % 3 = 1").select("doc_id", "page")
     return nodes.join(sources, "doc_id").select("merged", "doc_id", (F.col("page") + F.col("first")).alias("dest_page"))
 
@@ -248,3 +251,10 @@ def classify_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.when(F.col("event_type") == "error", F.when(F.col("value") > 50, "No Password given").otherwise("bad xref"))
     locked = F.coalesce(message.rlike("(?i)password"), F.lit(False))
     return table(spark, sf_dir, "events").select("event_id", message.isNull().alias("readable"), locked.alias("encrypted"), (F.size(F.split("props", ",")) > 1).alias("warned"))
+
+
+@register("v4_chain", bridged("""with m as (select doc_id // 100 as merged, row_number() over (partition by doc_id // 100 order by doc_id, page) as ordinal, doc_id, page from doc_pages)
+select merged, ordinal::int as ordinal, doc_id, page, ordinal || '/' || count(*) over (partition by merged) as label from m"""))
+def merge_and_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = [(P.merge_docs, {"group": F.expr(VOLUME), "order": ["doc_id", "page"]}), (P.number_pages, {"group": "merged", "style": "n/total"})]
+    return chain(doc_pages(spark, sf_dir), steps).select("merged", "ordinal", "doc_id", "page", "label")
