@@ -12,28 +12,29 @@ from foliospark.plans.registry import register
 from foliospark.sources.bridge import bridged, doc_lines, text_items
 from foliospark.tables import table
 
-CUSTOMERS = "cells as (select c_nationkey as tid, row_number() over (partition by c_nationkey order by c_custkey) - 1 as row_no, 0 as col_no, c_name as text from customer union all select c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) - 1, 1, c_acctbal::varchar from customer union all select c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) - 1, 2, c_mktsegment || '|' || c_custkey from customer)"
+CUSTOMERS = "cells as (select c_custkey // 100 as tid, row_number() over (partition by c_custkey // 100 order by c_custkey) - 1 as row_no, 0 as col_no, c_name as text from customer union all select c_custkey // 100, row_number() over (partition by c_custkey // 100 order by c_custkey) - 1, 1, c_acctbal::varchar from customer union all select c_custkey // 100, row_number() over (partition by c_custkey // 100 order by c_custkey) - 1, 2, c_mktsegment || '|' || c_custkey from customer)"
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation's customers as a table of cells: tid, row_no, col_no, text."""
-    row = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    """Every hundred customers as a table of cells: tid, row_no, col_no, text. Tables don't grow with the data; their number does."""
+    tid = F.expr("c_custkey div 100")
+    row = F.row_number().over(Window.partitionBy(tid).orderBy("c_custkey")) - 1
     texts = F.array("c_name", F.col("c_acctbal").cast("string"), F.concat_ws("|", "c_mktsegment", F.col("c_custkey").cast("string")))
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("tid"), row.alias("row_no"), texts.alias("t")).select("tid", "row_no", F.posexplode("t").alias("col_no", "text"))
+    return table(spark, sf_dir, "customer").select(tid.alias("tid"), row.alias("row_no"), texts.alias("t")).select("tid", "row_no", F.posexplode("t").alias("col_no", "text"))
 
 
 def html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation's suppliers as a page with an HTML table, some rows short of a cell."""
+    """Every hundred suppliers as a page with an HTML table, some rows short of a cell."""
     td = lambda c: F.concat(F.lit("<td class='x'> "), c, F.lit("\n</td>"))
     row = F.concat(F.lit("<tr>"), td(T.escape_html(F.concat(F.col("s_name"), F.lit(" & <co>")))), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(td(F.col("s_acctbal").cast("string"))), F.lit("</tr>"))
-    rows = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("r")))).alias("r"))
-    return rows.select("s_nationkey", F.concat(F.lit("<p>a</p><TABLE border=1>"), F.array_join(F.transform("r", lambda x: x["r"]), "\n"), F.lit("</TABLE >")).alias("html"))
+    rows = table(spark, sf_dir, "supplier").groupBy(F.expr("s_suppkey div 100").alias("sheet")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("r")))).alias("r"))
+    return rows.select("sheet", F.concat(F.lit("<p>a</p><TABLE border=1>"), F.array_join(F.transform("r", lambda x: x["r"]), "\n"), F.lit("</TABLE >")).alias("html"))
 
 
-@register("s7_scan_html_tables", """with s as (select *, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as row_no from supplier), w as (select s_nationkey, max(case when s_suppkey % 3 = 0 then 1 else 2 end) as width from supplier group by 1)
-select s_nationkey, 0 as table_no, row_no::int as row_no, 0 as col_no, s_name || ' & <co>' as text from s union all select s_nationkey, 0, row_no::int, 1, case when s_suppkey % 3 = 0 then '' else s_acctbal::varchar end from s join w using (s_nationkey) where width = 2""")
+@register("s7_scan_html_tables", """with s as (select *, s_suppkey // 100 as sheet, row_number() over (partition by s_suppkey // 100 order by s_suppkey) - 1 as row_no from supplier), w as (select s_suppkey // 100 as sheet, max(case when s_suppkey % 3 = 0 then 1 else 2 end) as width from supplier group by 1)
+select sheet, 0 as table_no, row_no::int as row_no, 0 as col_no, s_name || ' & <co>' as text from s union all select sheet, 0, row_no::int, 1, case when s_suppkey % 3 = 0 then '' else s_acctbal::varchar end from s join w using (sheet) where width = 2""")
 def scan_html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.scan_html_tables(html(spark, sf_dir), "s_nationkey", "html")
+    return C.scan_html_tables(html(spark, sf_dir), "sheet", "html")
 
 
 PIPES = """cells_md as (select doc_id, (row_number() over (partition by doc_id order by line_no) - 1)::int as row_no, list_transform(string_split(line, '|'), lambda c: trim(c)) as cells from doc_lines where contains(line, ' | ') qualify count(*) over (partition by doc_id) >= 2)"""
@@ -68,7 +69,7 @@ def write_markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.markdown(customers(spark, sf_dir), "tid")
 
 
-@register("j19_apply_cell_edits", f"""with {CUSTOMERS}, e as (select c_nationkey as tid, row_number() over (partition by c_nationkey order by c_custkey) - 1 as row_no, case when c_custkey % 4 = 0 then c_name else 'edited ' || c_custkey end as edited from customer where c_custkey % 2 = 0)
+@register("j19_apply_cell_edits", f"""with {CUSTOMERS}, e as (select c_custkey // 100 as tid, row_number() over (partition by c_custkey // 100 order by c_custkey) - 1 as row_no, case when c_custkey % 4 = 0 then c_name else 'edited ' || c_custkey end as edited from customer where c_custkey % 2 = 0)
 select tid, row_no::int as row_no, col_no, nullif(edited, text) as edited, coalesce(nullif(edited, text), text) as display from cells left join (select *, 0 as col_no from e) using (tid, row_no, col_no)""".replace("from customer where c_custkey % 2 = 0)", "from customer qualify c_custkey % 2 = 0)"))
 def apply_cell_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = customers(spark, sf_dir).filter("col_no = 0").withColumn("k", F.regexp_extract("text", r"(\d+)$", 1).cast("int")).filter("k % 2 = 0")
@@ -77,9 +78,9 @@ def apply_cell_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.apply_edits(customers(spark, sf_dir), edits, ["tid", "row_no", "col_no"]).select("tid", "row_no", "col_no", "edited", "display")
 
 
-@register("u5_join_tables", f"with {CUSTOMERS}, s as (select *, tid % 5 as g, min(tid) over (partition by tid % 5) as f from cells) select g, tid, row_no::int as row_no, col_no, (dense_rank() over (partition by g order by tid, row_no) - 1)::int as out_row from s where tid = f or row_no > 0")
+@register("u5_join_tables", f"with {CUSTOMERS}, s as (select *, tid // 5 as g, min(tid) over (partition by tid // 5) as f from cells) select g, tid, row_no::int as row_no, col_no, (dense_rank() over (partition by g order by tid, row_no) - 1)::int as out_row from s where tid = f or row_no > 0")
 def join_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.join_tables(customers(spark, sf_dir).withColumn("g", F.col("tid") % 5), "g", "tid").select("g", "tid", "row_no", "col_no", "out_row")
+    return C.join_tables(customers(spark, sf_dir).withColumn("g", F.expr("tid div 5")), "g", "tid").select("g", "tid", "row_no", "col_no", "out_row")
 
 
 @register("u6_table_row_col_edit", f"with {CUSTOMERS} select tid, (dense_rank() over (partition by tid order by row_no) - 1)::int as row_no, (case when col_no = 2 then 3 else col_no end)::int as col_no, text from cells where row_no % 5 != 3 union all select distinct tid, (dense_rank() over (partition by tid order by row_no) - 1)::int, 2, '' from cells where row_no % 5 != 3")
