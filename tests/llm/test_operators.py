@@ -368,6 +368,15 @@ def test_query_op3_op10(spark):
     assert n == {i: len(brute.personal(t)) for i, t in small_docs(spark)}
 
 
+def test_tokens_around_every_character():
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    characters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(characters), 4096):
+        text = "".join(f"a{c}1{c}{c} {c}b\n" for c in characters[at : at + 4096])
+        assert own.encode_to_numpy(text, allowed_special="all").tolist() == ids.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_sql(spark, name):
     con = duckdb.connect()
