@@ -6,9 +6,9 @@ a document that loses most of its words so is depleted and rejected, as is one
 that fails the base rules.
 
 Copies must not turn a text into boilerplate, else all copies of a clean
-document would go. So a document is known, for the count of a line, by the
-smallest hash among its other lines: exact copies, and near copies but for the
-lines that differ, count as one document.
+document would go. So equal texts of a host count as one document, for a line as
+for its host. Texts that differ at all are different documents: by their lines,
+near copies can't be told from pages that are mostly menu.
 
 Defined cases
   null or empty text   no words; the base rules reject it
@@ -80,16 +80,17 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_base")
 
 
-def frequent_lines(docs: DataFrame, text: str, host: str, max_share: float, min_docs: int) -> DataFrame:
-    """(_host, _line) of the lines on more than min_docs and more than max_share of their host's documents."""
-    hashed = docs.select(F.col(host).cast("string").alias("_host"), F.array_distinct(F.transform(lines_of(F.col(text)), line_hash)).alias("h"))
-    two = hashed.withColumn("least", F.slice(F.array_sort("h"), 1, 2))
-    seen = two.select("_host", F.explode("h").alias("_line"), "least").select(
-        "_host", "_line", F.coalesce(F.when(F.col("least")[0] == F.col("_line"), F.get("least", F.lit(1))).otherwise(F.col("least")[0]), F.col("_line")).alias("doc")
-    )
-    per_line = seen.distinct().groupBy("_host", "_line").count().filter(F.col("count") > min_docs)
-    per_host = two.filter(F.size("h") > 0).select("_host", F.xxhash64("h").alias("doc")).distinct().groupBy("_host").agg(F.count("*").alias("docs"))
-    return per_line.join(per_host, per_line["_host"].eqNullSafe(per_host["_host"])).filter(F.col("count") > max_share * F.col("docs")).select(per_line["_host"], "_line")
+def line_sets(docs: DataFrame, text: str, host: str) -> DataFrame:
+    """(_host, _key, _lines) of the distinct documents of each host that hold a line."""
+    hashed = docs.select(F.col(host).cast("string").alias("_host"), text_key(F.col(text)).alias("_key"), F.array_distinct(F.transform(lines_of(F.col(text)), line_hash)).alias("_lines"))
+    return hashed.filter(F.size("_lines") > 0).groupBy("_host", "_key").agg(F.first("_lines").alias("_lines"))
+
+
+def frequent_lines(distinct: DataFrame, max_share: float, min_docs: int) -> DataFrame:
+    """(_host, _line) of the lines on more than min_docs and more than max_share of their host's distinct documents."""
+    per_line = distinct.select("_host", F.explode("_lines").alias("_line")).groupBy("_host", "_line").count().filter(F.col("count") > min_docs)
+    per_host = distinct.groupBy(F.col("_host").alias("_of")).agg(F.count("*").alias("docs"))
+    return per_line.join(per_host, F.col("_host").eqNullSafe(F.col("_of"))).filter(F.col("count") > max_share * F.col("docs")).select("_host", "_line")
 
 
 def line_frequency_rules(
@@ -101,18 +102,16 @@ def line_frequency_rules(
     min_left: a document that keeps a smaller share of its words is depleted.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in OUT])
-    often = small(stored(frequent_lines(docs, text, host, max_share, min_docs), "lines").toDF("_of", "_line"))
-    lines = docs.select(F.col(host).cast("string").alias("_host"), text_key(F.col(text)).alias("_key"), F.explode(F.array_distinct(F.transform(lines_of(F.col(text)), line_hash))).alias("h"))
-    hit = lines.join(often, lines["_host"].eqNullSafe(often["_of"]) & (lines["h"] == often["_line"]), "left_semi")
-    losses = hit.groupBy("_key", "_host").agg(F.collect_set("h").alias("_gone"))
-    losses = small(stored(losses, "losses"))
-    judged = base_rules(docs, text).withColumns({"_k": text_key(F.col(text)), "_h": F.col(host).cast("string")})
-    judged = judged.join(losses, (judged["_k"] == losses["_key"]) & judged["_h"].eqNullSafe(losses["_host"]), "left")
-    left = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: ~F.array_contains(F.col("_gone"), line_hash(x)) | ~x.rlike(r"[^\x20\x09-\x0D]"))
-    clean = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.col("n_words") - F.size(words_of(F.array_join(left, "\n"), SPACES))).cast("long")
+    distinct = stored(line_sets(docs, text, host), "line-sets")
+    often = frequent_lines(distinct, max_share, min_docs).groupBy(F.col("_host").alias("_of")).agg(F.collect_set("_line").alias("_often"))
+    often = small(stored(often, "lines"))
+    judged = base_rules(docs, text).withColumn("_h", F.col(host).cast("string"))
+    judged = judged.join(often, judged["_h"].eqNullSafe(often["_of"]), "left")
+    left = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: ~F.array_contains(F.col("_often"), line_hash(x)) | ~x.rlike(r"[^\x20\x09-\x0D]"))
+    judged = judged.withColumn("_clean", F.when(F.col("_often").isNull(), F.col(text)).otherwise(F.when(F.col(text).isNotNull(), F.array_join(left, "\n"))))
+    removed = F.when(F.col("_clean") != F.col(text), F.col("n_words") - F.size(words_of(F.col("_clean"), SPACES))).otherwise(F.lit(0)).cast("long")
     return (
-        judged.withColumns({"n_words_removed": removed, "clean_text": clean})
+        judged.withColumns({"n_words_removed": removed, "clean_text": F.col("_clean")})
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_words_removed") >= min_left * F.col("n_words")))
-        .drop("_k", "_h", "_key", "_host", "_gone")
+        .drop("_h", "_of", "_often", "_clean")
     )

@@ -48,6 +48,18 @@ def test_quality_lines(spark):
     assert all(kept[200 + i].kept and kept[200 + i].clean_text == copies for i in range(60)) and kept[300].kept
 
 
+@pytest.mark.parametrize(("shared", "own"), [(5, 1), (10, 1), (20, 1), (20, 3)])
+def test_quality_many_shared_lines(spark, shared, own):
+    """However many lines a host's pages share, each counts on every page."""
+    word = lambda *n: "".join(chr(97 + x // 16) + chr(97 + x % 16) for x in n)
+    menu = "\n".join(" ".join(f"menu{word(i, j)}" for j in range(8)) for i in range(shared))
+    mine = ["\n".join(f"own {word(i, k)}" for k in range(own)) for i in range(100)]
+    rows = [(i, f"{menu}\n{mine[i]}", "a") for i in range(100)] + [(100 + i, f"{menu}\n{mine[0]}", "a") for i in range(30)]
+    judged = line_frequency.line_frequency_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {r.doc_id: (r.n_words_removed, r.clean_text, r.kept) for r in judged.collect()}
+    assert got == {i: (8 * shared, mine[i if i < 100 else 0], False) for i in range(130)}
+
+
 # ---- near duplicates
 
 
