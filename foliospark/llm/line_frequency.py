@@ -94,7 +94,7 @@ def frequent_lines(distinct: DataFrame, max_share: float, min_docs: int) -> Data
 
 
 def line_frequency_rules(
-    docs: DataFrame, text: str = "text", host: str = "source", max_share: float = 0.2, min_docs: int = 20, min_left: float = 0.5
+    docs: DataFrame, text: str = "text", host: str = "source", max_share: float = 0.05, min_docs: int = 20, min_left: float = 0.5
 ) -> DataFrame:
     """docs with the columns OUT.
 

@@ -60,6 +60,16 @@ def test_quality_many_shared_lines(spark, shared, own):
     assert got == {i: (8 * shared, mine[i if i < 100 else 0], False) for i in range(130)}
 
 
+def test_quality_shared_lines_of_large_hosts(spark):
+    """A line on a tenth of a host's documents goes, however large the host; one on few documents stays."""
+    word = lambda *n: "".join(chr(97 + x // 16) + chr(97 + x % 16) for x in n)
+    own = [" ".join(f"own{word(i // 200, i % 200, j)}" for j in range(60)) for i in range(3000)]
+    rows = [(i, ("share this page\n" if i % 10 == 0 else "seldom seen\n" if i % 300 == 1 else "") + own[i], "a" if i < 2600 else "b") for i in range(3000)]
+    judged = line_frequency.line_frequency_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {r.doc_id: (r.n_words_removed, r.clean_text, r.kept) for r in judged.collect()}
+    assert got == {i: (3, own[i], True) if i % 10 == 0 else (0, t, True) for i, t, _ in rows}
+
+
 # ---- near duplicates
 
 
