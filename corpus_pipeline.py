@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliospark.llm import line_frequency, minmax, packing, pii, winnowing
 from foliospark.llm.common import stored
@@ -19,9 +20,10 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    judged = line_frequency.line_frequency_rules(docs)
-    return judged.filter("kept").select(*docs.columns)
+    """Documents that pass the quality rules, without the lines that are frequent at their host."""
+    judged = line_frequency.line_frequency_rules(docs).filter("kept")
+    fresh = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return judged.select(*(fresh[c].alias(c) if c in fresh else c for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,14 @@ def test_special_cases(spark, docs):
         out = stage(spark, docs, SMALL)
         assert out.count() >= 0
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_frequent_lines_are_gone(spark):
+    """What the quality rules remove from a text isn't in the stage's output."""
+    word = lambda *n: "".join(chr(97 + x // 16) + chr(97 + x % 16) for x in n)
+    own = [" ".join(f"own{word(i, j)}" for j in range(60)) for i in range(50)]
+    rows = [(i, f"share this page\n{t}", "en", "a", len(t) + 16) for i, t in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    out = corpus_pipeline.quality_rules(spark, docs, SMALL)
+    assert out.dtypes == docs.dtypes
+    assert {tuple(r) for r in out.collect()} == {(i, t, "en", "a", len(t)) for i, t in enumerate(own)}
