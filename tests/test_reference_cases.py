@@ -86,6 +86,37 @@ def test_names(spark):
     assert got == {0: ("a-2.pdf", None), 1: ("a.pdf", None), 2: ("A-3.pdf", None), 3: (None, "reserved"), 4: (None, "separator"), 5: (None, "empty"), 6: ("b", None), 7: ("B-2", None)}
 
 
+def plain_names(names, mark):
+    """Names of a batch, one after the other."""
+    taken, counts, final = set(), {}, []
+    for name in names:
+        stem, dot, ext = name.rpartition(".") if mark == "-" and name.rfind(".") > 0 else (name, "", "")
+        chosen, n = name, counts.get(name.lower(), 1)
+        while chosen.lower() in taken:
+            n += 1
+            chosen = f"{stem}{mark}{n}{dot}{ext}"
+        counts[name.lower()] = n
+        taken.add(chosen.lower())
+        final.append(chosen)
+    return final
+
+
+def test_names_in_ranges(spark):
+    """Names that clash with made ones, in ranges of few rows; no group of a whole batch is made."""
+    rng, rows, expected = random.Random(3), [], {}
+    for mark in "-#":
+        rows = []
+        for b in range(30):
+            end = lambda: "".join(rng.choice(["", f"{mark}{rng.randint(2, 5)}"]) for _ in range(3))
+            names = [rng.choice("aAb") + end() + rng.choice(["", ".pdf", ".PDF", ".p-2"]) + rng.choice(["", "", end()]) for _ in range(60)]
+            rows += [(f"b{b}" if b else None, i, n) for i, n in enumerate(names)]
+            expected |= {(mark, f"b{b}" if b else None, i): f for i, f in enumerate(plain_names(names, mark))}
+        out = S.resolve_names(spark.createDataFrame(rows, "batch string, idx long, name string"), mark, 100)
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+        got = {(mark, r.batch, r.idx): r.final for r in out.collect()}
+        assert len(got) == len(rows) and {k: (v, expected[k]) for k, v in got.items() if v != expected[k]} == {}
+
+
 def test_scalars(spark):
     assert one(spark, U.fold_text(F.lit("Gộp Nguyễn Đổng"))) == "gop nguyen dong"
     assert one(spark, U.nfkc(F.lit("ﬁ Ⅳ"))) == "fi IV"
