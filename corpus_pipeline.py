@@ -43,8 +43,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents, with the sequence and the place that each is packed into."""
-    return packing.pack(stored(packing.digest(packing.tokenize(docs, RANKS)), "pieces"))
+    """The pieces of the documents with their ids, and the sequence and the place that each is packed into."""
+    return packing.pack(stored(packing.tokenize(docs, RANKS), "pieces"))
 
 
 STAGES = [

@@ -2,6 +2,8 @@
 
 import brute
 import corpus_pipeline
+import numpy as np
+from foliospark.llm import packing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -54,3 +56,16 @@ def test_frequent_lines_are_gone(spark):
     out = corpus_pipeline.quality_rules(spark, docs, SMALL)
     assert out.dtypes == docs.dtypes
     assert {tuple(r) for r in out.collect()} == {(i, t, "en", "a", len(t)) for i, t in enumerate(own)}
+
+
+def test_packed_ids(spark):
+    """The last stage returns the ids: each document's pieces spell its text."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (400 * i), "en", "a", 0) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars int")
+    out = corpus_pipeline.best_fit_packing(spark, docs, SMALL).orderBy("doc_id", "start").collect()
+    assert all(len(r.ids) == 4 * r.length for r in out)
+    spelled = {}
+    for r in out:
+        spelled[r.doc_id] = spelled.get(r.doc_id, []) + np.frombuffer(r.ids, "<u4").tolist()
+    decode = packing.encoder(corpus_pipeline.RANKS).decode
+    assert all(ids[-1] == packing.END for ids in spelled.values())
+    assert {i: decode(ids[:-1]) for i, ids in spelled.items()} == {r.doc_id: r.text for r in docs.collect()}
