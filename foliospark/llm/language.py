@@ -111,12 +111,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, text: str, lang: str, per_lang: int, max_langs: int) -> list[tuple[str, np.ndarray]]:
-    """Features of at most per_lang texts of each of the max_langs first languages, chosen by hash."""
+    """Features of at most per_lang distinct texts of each of the max_langs languages with most documents, chosen by hash."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     order = F.xxhash64(F.col(text))
-    first = known.select(F.col(lang).cast("string").alias("lang"), order.alias("h"))
+    sizes = known.groupBy(F.col(lang).cast("string").alias("lang")).count()
+    common = sizes.orderBy(F.col("count").desc(), "lang").limit(max_langs).select("lang")
+    first = known.select(F.col(lang).cast("string").alias("lang"), order.alias("h")).distinct().join(F.broadcast(common), "lang", "left_semi")
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # Spark keeps per_lang rows of each task
-    last = first.withColumn("n", turn).filter(F.col("n") <= per_lang).groupBy("lang").agg(F.max("h").alias("h")).orderBy("lang").limit(max_langs)
+    last = first.withColumn("n", turn).filter(F.col("n") <= per_lang).groupBy("lang").agg(F.max("h").alias("h"))
     bounds = last.select(F.col("lang").alias("_lang"), F.col("h").alias("_h"))
     chosen = known.join(F.broadcast(bounds), (F.col(lang).cast("string") == F.col("_lang")) & (order <= F.col("_h"))).select("_lang", F.col(text).alias("t"))
     chosen = chosen.dropDuplicates(["_lang", "t"])

@@ -410,3 +410,11 @@ def test_query_sql(spark, name):
     df = queries.QUERIES[name](spark, SMALL)
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df, *columns) == Counter(found.fetchall())
+
+
+def test_language_sample_of_distinct_texts(spark):
+    """Copies don't fill the sample of a language, and the largest languages are taken."""
+    texts = [f"some text {chr(97 + i)}" for i in range(20)]
+    rows = [(t, "zz") for t in texts for _ in range(50)] + [("ein", "aa"), ("zwei", "bb")]
+    got = language.sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 15, 1)
+    assert len(got) == 15 and {lang for lang, _ in got} == {"zz"}
