@@ -38,7 +38,7 @@ def communication_matrix(blocks: list[int], shards: int, seed: int) -> np.ndarra
     counts = np.zeros((len(blocks), shards), np.int64)
     for i, n in enumerate(blocks):
         left = n
-        for s in range(shards):  # one hypergeometric draw a cell; numpy's own limit of 1e9 rows doesn't bind here
+        for s in range(shards):  # one draw a cell
             rest = int(room[s:].sum())
             counts[i, s] = draw(rng, int(room[s]), rest - int(room[s]), left)
             left -= counts[i, s]
@@ -47,7 +47,7 @@ def communication_matrix(blocks: list[int], shards: int, seed: int) -> np.ndarra
 
 
 def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """A hypergeometric draw; beyond numpy's limit in parts of half the sample."""
+    """A hypergeometric draw; from numpy's limit of 1e9 rows on a normal variate in its place."""
     if n == 0 or good == 0:
         return 0
     if bad == 0:
