@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -19,23 +20,55 @@ NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and all runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='foliospark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+class Written(threading.local):
+    """Paths of the tables that each `settled` in progress has stored, the innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+WRITTEN = Written()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliospark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if WRITTEN.open:
+        WRITTEN.open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make() as one stored table; what it stored on the way is deleted once that is written."""
+    WRITTEN.open.append([])
+    try:
+        out = stored(make(), name)
+    finally:
+        paths = WRITTEN.open.pop()
+    *before, last = paths
+    hadoop = out.sparkSession._jvm.org.apache.hadoop.fs.Path
+    conf = out.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for path in map(hadoop, before):
+        path.getFileSystem(conf).delete(path, True)
+    if WRITTEN.open:
+        WRITTEN.open[-1].append(last)
+    return out
+
+
 def file_bytes(df: DataFrame) -> int:
     """Bytes of the files that a stored table is read from."""
     spark = df.sparkSession

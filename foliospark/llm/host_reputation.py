@@ -8,11 +8,14 @@ moments). A host is blocked when the lower bound of its posterior rate is above
 max_bad: few labels never block a host. Rules go before the method.
 
 Counts are partially aggregated before they are shuffled, so a host with a
-third of all pages costs no more than another.
+third of all pages costs no more than another. The table of hosts is stored
+once; its posteriors are broadcast to the pages where they are few, else Spark
+joins both sides by host and splits the partition of a hot one.
 
 Defined cases
   null url or no ://      empty host and path; judged by the rate of the empty host
   null label              not an outcome
+  very long url           judged whole
   repeated labels         a page is bad if one of its labels is
   repeated pages, ties    each row is judged; each counts as an outcome of its host
   unlabelled host         its domain's, suffix's or the overall posterior
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import ascii_lower
+from foliospark.llm.common import ascii_lower, small, stored
 
 #: (rule, verdict): host and path prefix.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -111,6 +114,8 @@ def host_reputation(
     outcome = labels.filter(F.col(bad).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.max((F.col(bad) > 0).cast("long")).alias("_bad"))
     seen = split.select(F.col(page).alias("_page"), "host", "domain", "suffix").join(outcome, F.col("_page") == F.col("_id"), "left")
     hosts = seen.groupBy("host", "domain", "suffix").agg(F.count("_bad").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
+    hosts = stored(hosts, "hosts")  # six aggregates read it
+    known = small(stored(reputations(hosts, z), "reputations"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    judged = split.join(reputations(hosts, z), F.col("host") == F.col("_host"), "left").drop("_host")
+    judged = split.join(known, F.col("host") == F.col("_host"), "left").drop("_host")
     return judged.withColumn("rule", rule).withColumn("verdict", F.coalesce(says, F.when(F.col("bad_bound") > max_bad, F.lit("block")).otherwise(F.lit("allow"))))
