@@ -9,6 +9,8 @@ Rows are scanned one by one in Arrow batches; nothing is shuffled.
 
 Defined cases
   null or empty text    no words, no places, empty labels, score 0
+  unknown identifier    no label; permissive to degree 0 in its expression
+  very long text        scanned whole, in time linear in its length
   malformed expression  its known identifiers become labels; it doesn't change the score
   repeated rows, ties   scanned alike
   empty table           empty result
@@ -50,15 +52,45 @@ NOTICE_PHRASES = {
     "released into the public domain": "public-domain",
     "all rights reserved": "reserved",
 }
-#: Identifiers in expressions, with a label and how permissive they are.
-IDENTIFIERS = {
-    "mit": ("mit", 1.0), "apache-2.0": ("apache-2", 1.0), "bsd-2-clause": ("bsd-2-clause", 1.0), "bsd-3-clause": ("bsd-3-clause", 1.0), "isc": ("isc", 1.0),
-    "cc0-1.0": ("cc0", 1.0), "unlicense": ("public-domain", 1.0), "0bsd": ("0bsd", 1.0), "zlib": ("zlib", 1.0), "cc-by-4.0": ("cc-by", 0.9), "mpl-2.0": ("mpl", 0.6),
-    "epl-2.0": ("epl", 0.6), "lgpl-2.1": ("lgpl", 0.5), "lgpl-3.0": ("lgpl", 0.5), "cc-by-sa-4.0": ("cc-by-sa", 0.5), "gpl-2.0": ("gpl-2", 0.3), "gpl-3.0": ("gpl-3", 0.3),
-    "agpl-3.0": ("agpl", 0.2), "cc-by-nc-4.0": ("cc-by-nc", 0.1), "cc-by-nd-4.0": ("cc-by-nd", 0.1),
-}
+#: Published licence identifiers, as (names, label, how permissive); {} stands for each of the versions.
+LICENSES = [
+    ("mit mit-0 mit-cmu mit-feh mit-modern-variant mit-advertising mit-open-group mitnfa x11 expat", "", "mit", 1.0),
+    ("apache-{}", "1.0 1.1", "apache", 0.9),
+    ("apache-{}", "2.0 2", "apache-2", 1.0),
+    ("0bsd", "", "0bsd", 1.0),
+    ("bsd-1-clause bsd-4-clause bsd-4-clause-uc bsd-4-clause-shortened bsd-protection bsd-source-code bsd-2-clause-patent bsd-2-clause-views", "", "bsd", 1.0),
+    ("bsd-2-clause bsd-2-clause-freebsd bsd-2-clause-netbsd", "", "bsd-2-clause", 1.0),
+    ("bsd-3-clause bsd-3-clause-clear bsd-3-clause-lbnl bsd-3-clause-attribution bsd-3-clause-modification bsd-3-clause-open-mpi", "", "bsd-3-clause", 1.0),
+    ("isc", "", "isc", 1.0),
+    ("cc0-1.0", "", "cc0", 1.0),
+    ("unlicense wtfpl cc-pddc pddl-1.0 saxpath libpng-2.0 blessing nist-pd nist-pd-fallback", "", "public-domain", 1.0),
+    ("zlib zlib-acknowledgement libpng", "", "zlib", 1.0),
+    ("bsl-1.0", "", "boost", 1.0),
+    ("python-2.0 psf-2.0 cnri-python", "", "psf", 1.0),
+    ("php-3.0 php-3.01", "", "php", 0.9),
+    ("postgresql ntp hpnd curl icu unicode-dfs-2015 unicode-dfs-2016 unicode-3.0 unicode-tou ncsa naist-2003 intel info-zip ijg ftl fair bzip2-1.0.6 blueoak-1.0.0 afl-3.0 ecl-2.0 w3c xnet upl-1.0 vim zpl-2.0 zpl-2.1 openssl ssh-openssh tcl beerware ms-pl", "", "permissive", 1.0),
+    ("cc-by-{}", "1.0 2.0 2.5 3.0 4.0", "cc-by", 0.9),
+    ("cc-by-sa-{}", "1.0 2.0 2.5 3.0 4.0", "cc-by-sa", 0.5),
+    ("cc-by-nd-{}", "1.0 2.0 2.5 3.0 4.0", "cc-by-nd", 0.1),
+    ("cc-by-nc-{}", "1.0 2.0 2.5 3.0 4.0", "cc-by-nc", 0.1),
+    ("cc-by-nc-sa-{}", "1.0 2.0 2.5 3.0 4.0", "cc-by-nc-sa", 0.1),
+    ("cc-by-nc-nd-{}", "1.0 2.0 2.5 3.0 4.0", "cc-by-nc-nd", 0.05),
+    ("mpl-{} mpl-2.0-no-copyleft-exception", "1.0 1.1 2.0", "mpl", 0.6),
+    ("epl-{}", "1.0 2.0", "epl", 0.6),
+    ("eupl-{}", "1.0 1.1 1.2", "eupl", 0.5),
+    ("cddl-{}", "1.0 1.1", "cddl", 0.6),
+    ("cpl-1.0 ipl-1.0 apsl-2.0 ms-rl artistic-1.0 artistic-1.0-perl artistic-2.0 ofl-1.0 ofl-1.1 osl-3.0 qpl-1.0 sleepycat odbl-1.0", "", "copyleft", 0.5),
+    ("lgpl-{}", "2.0 2.1 3.0", "lgpl", 0.5),
+    ("gpl-{}", "1.0", "gpl", 0.3),
+    ("gpl-{}", "2.0", "gpl-2", 0.3),
+    ("gpl-{}", "3.0", "gpl-3", 0.3),
+    ("gfdl-{}", "1.1 1.2 1.3", "gfdl", 0.4),
+    ("agpl-{}", "1.0 3.0", "agpl", 0.2),
+    ("sspl-1.0 busl-1.1 elastic-2.0 json polyform-noncommercial-1.0.0 polyform-small-business-1.0.0", "", "restricted", 0.1),
+]
+IDENTIFIERS = {name.format(v): (label, x) for names, versions, label, x in LICENSES for name in names.split() for v in (versions.split() or [""])}
 PERMISSIVE = {label: x for label, x in IDENTIFIERS.values()} | {"gpl": 0.3, "bsd": 1.0, "public-domain": 1.0, "reserved": 0.0}
-TAGS = ("spdx license identifier", "license identifier")
+TAGS = ("license identifier", "licence identifier")
 TAG = re.compile(r"licen[sc]e-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
 TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9.+-]+)")
 BINDS = {"or": 1, "and": 2, "with": 3}
@@ -70,11 +102,15 @@ FIELDS = "n_words long, n_base long, first_word long, last_word long, base_label
 
 class Value(NamedTuple):
     labels: frozenset[str]
-    permissive: float | None
+    permissive: float
 
 
 def evaluate(expression: str) -> Value | None:
-    """Labels and permissiveness of a licence expression; None if it is malformed."""
+    """Labels and permissiveness of a licence expression; None if it is malformed.
+
+    An identifier that isn't known gives no label and permits nothing: with `and` nor does the whole, with `or` the
+    other side may be chosen.
+    """
     tokens, at = [], 0
     while at < len(expression.rstrip()):
         m = TOKEN.match(expression, at)
@@ -89,16 +125,14 @@ def evaluate(expression: str) -> Value | None:
         if len(values) < 2:
             return False
         op, b, a = operators.pop(), values.pop(), values.pop()
-        known = [x for x in (a.permissive, b.permissive) if x is not None]
         if op == "with":
-            score = None if a.permissive is None else min(1.0, a.permissive + 0.2)
-            values.append(Value(a.labels, score))
+            values.append(Value(a.labels, min(1.0, a.permissive + 0.2) if a.labels else 0.0))
         else:
-            values.append(Value(a.labels | b.labels, (max if op == "or" else min)(known) if known else None))
+            values.append(Value(a.labels | b.labels, (max if op == "or" else min)(a.permissive, b.permissive)))
         return True
 
     operand = True  # what must come next
-    for token in tokens:
+    for last, token in zip(["", *tokens], tokens):
         low = token.lower()
         if low in BINDS and not operand:
             while operators and operators[-1] != "(" and BINDS[operators[-1]] >= BINDS[low]:
@@ -116,7 +150,11 @@ def evaluate(expression: str) -> Value | None:
                 return None
             operators.pop()
         elif operand and token not in "()" and low not in BINDS:
-            label, x = IDENTIFIERS.get(re.sub(r"(-only|-or-later|\+)$", "", low), (None, None))
+            if last in BINDS and token.isalpha() and token.islower() and low not in IDENTIFIERS:
+                operators.pop()  # a small `and` before a plain word: text behind the expression
+                operand = False
+                break
+            label, x = IDENTIFIERS.get(re.sub(r"(-only|-or-later|\+)$", "", low), (None, 0.0))
             values.append(Value(frozenset([label] if label else []), x))
             operand = False
         else:
@@ -160,7 +198,7 @@ def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple:
                 labels.update(IDENTIFIERS[t.lower()][0] for t in TOKEN.findall(m[1]) if t.lower() in IDENTIFIERS)
             else:
                 labels.update(value.labels)
-                scores += [] if value.permissive is None else [value.permissive]
+                scores.append(value.permissive)
     labels |= base
     if not scores:
         scores = [PERMISSIVE[x] for x in labels if x in PERMISSIVE]
