@@ -13,6 +13,7 @@ near copies can't be told from pages that are mostly menu.
 Defined cases
   null or empty text   no words; the base rules reject it
   null host            a host of its own
+  very long text       judged whole, in time linear in its length but for a sort of its windows
   repeated rows, ties  judged alike; they count as one document
   empty table          empty result
   clashing columns     a column of the input with the name of an output column is replaced

@@ -8,14 +8,23 @@ every constraint, the one with the least norm of its weighted residual
 capacities is chosen, or the one with the largest weighted dot product of
 residual and demand; a new bin is opened only when none can.
 
+Every open bin is scored for every piece, in one array of residuals; bins that
+no later piece can enter leave it.
+
 Pieces are dealt into blocks by a hash and each block is packed by one task, so
 memory is bounded by BLOCK_PIECES; a block costs at most one sequence that is
 less than half full.
 
+With the default capacities only the tokens bind, as a sequence is to hold as
+much as it can: 1,024 documents have 1,024 tokens at least, and squares of
+lengths that sum to the capacity sum to its square at most. The other two then
+choose between bins of equal residual tokens; the pipeline bounds the documents.
+
 Defined cases
   null or empty text    the end id alone
   null doc_id           packed like any other
   repeated rows, ties   each row is packed; ties go by id, then by place
+  very long text        tokenized whole by one task, in time linear in its length, and cut
   special strings       `<|endoftext|>` in a text is the one id that the tokenizer gives it
   empty table           empty result
   clashing columns      only the id and text columns are read
@@ -23,7 +32,7 @@ Defined cases
 
 from __future__ import annotations
 
-import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,21 +41,45 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 END, CAPACITY, DOCUMENTS = 2, 1024, 1024
-BLOCK_PIECES = 40_000
+BLOCK_PIECES = 5_000
+#: Texts with as long a run of white space go to the tokenizers library: tiktoken's pattern fails on very long ones.
+LONG_BLANK = re.compile(r"\s{10000}")
 #: The tokenizer's one special string, and the pattern by which it splits texts.
 SPECIAL = {"<|endoftext|>": 50256}
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
+class Encoder:
+    """Ids of texts by a tokenizers file.
+
+    Its ranks and merges are given to tiktoken, which finds the same ids in a quarter of the time.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.exact = Tokenizer.from_file(path)
+        raw = {c: b for b, c in byte_characters().items()}
+        ranks = {bytes(raw[c] for c in piece): i for piece, i in self.exact.get_vocab(with_added_tokens=False).items() if piece not in SPECIAL}
+        self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+
+    def __call__(self, text: str) -> np.ndarray:
+        if len(text) >= 10_000 and LONG_BLANK.search(text):
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4")
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is visible, else one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in visible)}
+
+
 @cache
-def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of the tokenizers file of the same name, from its ranks: the same ids, in a quarter of the time."""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -58,7 +91,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def tokenize(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", end: int = END, capacity: int = CAPACITY) -> DataFrame:
     """PIECES of each row of docs; ids are unsigned 32-bit, little-endian.
 
-    path: the tokenizer's file of ranks (.tiktoken), on every machine.
+    path: the tokenizers file (.json), on every machine.
     """
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     names = [x.split()[0] for x in PIECES.split(", ")]
@@ -69,7 +102,7 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_
             for at in range(0, batch.num_rows, 1000):
                 part, rows = batch.slice(at, 1000), []
                 for doc, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    ids = np.append(encode.encode_to_numpy(t.as_py() or "", allowed_special="all"), end).astype("<u4")
+                    ids = np.append(encode(t.as_py() or ""), np.array([end], "<u4"))
                     rows += [(doc, i, start, n, ids[start : start + n].tobytes()) for i, (start, n) in enumerate(cut(len(ids), capacity))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -77,51 +110,44 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_
 
 
 class Bins:
-    """Open bins by residual tokens. Of each residual the bin on top of its stack stands for the others."""
+    """Residual capacities of the open bins, a row each, and their numbers."""
 
     def __init__(self, capacity: int, documents: int, attention: int, weights: tuple[float, float, float], rule: str) -> None:
         self.full = np.array([capacity, documents, attention], float)
         self.weights, self.rule = np.array(weights), rule
-        self.stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.top = np.zeros((capacity + 1, 3))  # residuals of the bin on top; none where the stack is empty
-        self.left: list[np.ndarray] = []
+        self.left, self.number = np.zeros((64, 3)), np.zeros(64, np.int64)
+        self.open = self.made = 0
 
     def choose(self, demand: np.ndarray) -> int | None:
-        """Residual tokens of the best bin that can take the demand."""
-        n = int(demand[0])
-        after = self.top[n:] - demand
-        fits = (after >= 0).all(axis=1) & (self.top[n:, 0] > 0)
-        if not fits.any():
+        """The row of the best bin that can take the demand; of equal ones the first opened."""
+        left = self.left[: self.open]
+        fits = np.flatnonzero((left >= demand).all(axis=1))
+        if not len(fits):
             return None
-        share = after / self.full
+        left = left[fits]
         if self.rule == "norm":
-            score = -(self.weights * share * share).sum(axis=1)
+            share = (left - demand) / self.full
+            score = -(share * share) @ self.weights
         else:
-            score = (self.weights * (self.top[n:] / self.full) * (demand / self.full)).sum(axis=1)
-        return n + int(np.argmax(np.where(fits, score, -np.inf)))
-
-    def show(self, residual: int) -> None:
-        stack = self.stacks[residual]
-        self.top[residual] = self.left[stack[-1]] if stack else 0
+            score = (left / self.full) @ (self.weights * demand / self.full)
+        return int(fits[np.argmax(score)])
 
-    def place(self, n: int) -> int:
+    def place(self, n: int, least: int) -> int:
+        """The number of the bin that takes a piece of n tokens; least: tokens of the smallest piece to come."""
         demand = np.array([n, 1, n * n], float)
-        residual = self.choose(demand)
-        if residual is None:
-            residual = next((r for r in range(n, len(self.stacks)) if any((self.left[b] >= demand).all() for b in self.stacks[r])), None)
-        if residual is None:
-            number = len(self.left)
-            self.left.append(self.full - demand)
-        else:
-            stack = self.stacks[residual]
-            at = next(i for i in range(len(stack) - 1, -1, -1) if (self.left[stack[i]] >= demand).all())
-            number = stack.pop(at)
-            self.left[number] = self.left[number] - demand
-            self.show(residual)
-        rest = int(self.left[number][0])
-        if rest and self.left[number][1] >= 1 and self.left[number][2] >= 1:
-            self.stacks[rest].append(number)
-            self.show(rest)
+        at = self.choose(demand)
+        if at is None:
+            at = self.open
+            if at == len(self.left):
+                self.left, self.number = np.resize(self.left, (2 * at, 3)), np.resize(self.number, 2 * at)
+            self.left[at], self.number[at] = self.full, self.made
+            self.open, self.made = self.open + 1, self.made + 1
+        number = int(self.number[at])
+        self.left[at] -= demand
+        if (self.left[at] < (least, 1, least * least)).any():  # closed: later rows move up, so that ties stay in order
+            self.left[at : self.open - 1] = self.left[at + 1 : self.open]
+            self.number[at : self.open - 1] = self.number[at + 1 : self.open]
+            self.open -= 1
         return number
 
 
@@ -146,8 +172,9 @@ def pack(
         rows = rows.drop_columns("_block").sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         bins, used = Bins(capacity, documents, attention, weights, rule), []
         number, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        for i, length in enumerate(rows.column("length").to_pylist()):
-            b = bins.place(length)
+        lengths = rows.column("length").to_pylist()
+        for i, length in enumerate(lengths):
+            b = bins.place(length, lengths[-1])
             if b == len(used):
                 used.append(0)
             number[i], offset[i] = b, used[b]

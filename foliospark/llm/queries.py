@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import stored
 from foliospark.llm import host_reputation, language, licenses, line_frequency, minmax, packing, pii, repeats, sharding, sql, winnowing
+from foliospark.llm.common import stored
 from foliospark.tables import table
 
 
@@ -34,9 +34,9 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-def op4_best_fit_packing(spark: SparkSession, sf_dir: str, ranks: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = stored(packing.digest(packing.tokenize(docs, ranks)), "pieces")
+    pieces = stored(packing.digest(packing.tokenize(docs, tokenizer)), "pieces")
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -78,4 +78,4 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_bootstrap_pii": op10_bootstrap_pii,
 }
-ORACLES = {"op1_host_reputation": sql.OP1, "op5_minmax": sql.OP5, "op6_column_repeats": sql.OP6, "op7_winnowing": sql.OP7}
+ORACLES = {"op1_host_reputation": sql.OP1, "op5_minmax": sql.OP5, "op6_column_repeats": sql.OP6, "op7_winnowing": sql.OP7, "op8_line_frequency": sql.OP8}

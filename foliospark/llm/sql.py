@@ -112,3 +112,36 @@ named as (select r, count(*) as n_items, string_agg(item, ',' order by item) as
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from split left join hits using (r) left join named using (r)
 """
+
+#: Base counts by windows and lines spelled out; then the lines on more than 20 and a twentieth of a host's distinct texts.
+OP8 = r"""
+with rowed as (select row_number() over () as r, doc_id, source, text, coalesce(text, '') as t from documents),
+split as (select r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from rowed),
+windows as (
+  select r, i, array_to_string(w[i:i + 2], ' ') as g from (select r, w, unnest(range(1, len(w) - 1)) as i from split where len(w) >= 3)),
+twice as (select r, g from windows group by all having count(*) > 1),
+again as (
+  select r, count(distinct word) as n_repeat_words
+  from (select r, unnest(range(i, i + 3)) as word from windows join twice using (r, g)) group by r),
+lines as (
+  select r, i, parts[i] as line from (select r, string_split(t, chr(10)) as parts, unnest(range(1, len(string_split(t, chr(10))) + 1)) as i from rowed)),
+worded as (
+  select r, i, line, regexp_replace(regexp_replace(lower(trim(line, ' ')), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') as norm,
+    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n
+  from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups as (select r, count(*) - count(distinct line) as n_dup_lines from worded group by r),
+distinct_docs as (select source, text, min(r) as r from rowed where text is not null and regexp_matches(text, '[^\x20\x09-\x0D]') group by all),
+hosts as (select source, count(*) as docs from distinct_docs group by source),
+per_line as (select d.source, w.norm, count(distinct d.r) as n from distinct_docs d join worded w using (r) group by all having count(distinct d.r) > 20),
+often as (select p.source, p.norm from per_line p join hosts h on p.source is not distinct from h.source where p.n > 0.05 * h.docs),
+removed as (
+  select w.r, sum(w.n)::bigint as n_words_removed
+  from worded w join rowed using (r) join often o on o.source is not distinct from rowed.source and o.norm = w.norm group by w.r),
+counted as (
+  select doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_words_removed, 0)::bigint as n_words_removed
+  from rowed join split using (r) left join dups using (r) left join again using (r) left join removed using (r)),
+failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counted)
+select *, not base_failed and n_words - n_words_removed >= 0.5 * n_words as kept from failed
+"""
