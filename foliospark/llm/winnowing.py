@@ -3,26 +3,30 @@
 Of every window of W consecutive k-gram hashes the smallest is kept, in the
 training documents and in the benchmark alike. A shared span of k + W - 1 words
 holds one whole window on both sides, so both keep its smallest hash: no such
-span is missed. Fingerprints are joined, and each hit is extended word by word
-to both sides; what reaches `span` words is a match.
+span is missed. Fingerprints are joined; in the documents that share one, each
+window around a shared gram is joined with the benchmark's by the hash of all
+its words, and windows that overlap or touch make one span.
 
 With k = 5 and W = 6 every shared span of ten words is found. An item of fewer
 words than a span is one window of its own; for each such length that occurs
 the documents keep the hashes of all their n-grams of that length.
 
-All of it is DataFrame expressions. Documents with equal texts are matched once.
+All of it is DataFrame expressions, linear in the length of a text. Documents
+with equal texts are matched once. Two windows are equal if a gram's and the
+window's 64-bit hash both agree.
 
 Defined cases
   null or empty text    no words and no hits
   null item id          its windows hit words, but it is not named among the items
   repeated rows, ties   judged alike
+  very long text        matched whole; a million words take seconds
   empty tables          no rows, or no hits
   clashing columns      a column of the input with the name of an output column is replaced
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import NOT_ALNUM, ascii_lower, let, small, stored, text_key, words_of
@@ -57,42 +61,41 @@ def fingerprints(h: Column, lengths: list[int], k: int = K, span: int = SPAN) ->
     return F.array_distinct(F.concat(picks(h, k, span), *[grams(h, n) for n in lengths]))
 
 
-def places(h: Column, wanted: Column, n: int) -> Column:
-    """array<struct<n, at, hash>> of the n-grams whose hash is wanted."""
-    marked = F.transform(grams(h, n), lambda x, i: F.struct(F.lit(n).alias("n"), i.alias("at"), x.alias("fp")))
-    return F.filter(marked, lambda e: F.array_contains(wanted, e["fp"]))
+def windows(h: Column, lengths: list[int], k: int = K, span: int = SPAN) -> Column:
+    """array<struct<at, n, fp, whole>>: each window of a text, the hash that it keeps and that of its words."""
 
+    def zipped(fps: Column, wholes: Column, n: int) -> Column:
+        placed = F.transform(wholes, lambda x, i: F.struct(i.alias("at"), x.alias("whole")))
+        return F.zip_with(fps, placed, lambda fp, w: F.struct(w["at"].alias("at"), F.lit(n).alias("n"), fp.alias("fp"), w["whole"].alias("whole")))
 
-def around(w: Column, at: Column, n: Column, reach: Column) -> Column:
-    """Words from reach before a gram to reach behind it; null beyond the text's ends."""
-    return F.transform(F.sequence(at - reach, at + n + reach - 1), lambda i: F.get(w, i))
+    def short(n: int) -> Column:
+        return let(grams(h, n), lambda g: zipped(g, g, n))
 
+    return F.concat(zipped(picks(h, k, span), grams(h, span), span), *map(short, lengths))
 
-def reference_windows(benchmark: DataFrame, item: str, text: str, k: int, span: int) -> tuple[DataFrame, list[int]]:
-    """(fp, n, reach, ctx, items): each gram to look for with the words around it; and the lengths of short items."""
-    items = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
-    short = [r[0] for r in items.filter(F.size("w") < span).select(F.size("w").alias("n")).distinct().orderBy("n").collect()]
-    hashed = items.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    long_ = hashed.filter(F.size("w") >= span).withColumn("chosen", F.array_distinct(picks(F.col("h"), k, span)))
-    found = long_.select("item", "w", F.explode(places(F.col("h"), F.col("chosen"), k)).alias("p"), F.lit(span - k).alias("reach"))
-    for n in short:
-        one = hashed.filter(F.size("w") == n).withColumn("chosen", grams(F.col("h"), n))
-        found = found.unionByName(one.select("item", "w", F.explode(places(F.col("h"), F.col("chosen"), n)).alias("p"), F.lit(0).alias("reach")))
-    ctx = found.select("item", F.col("p.fp").alias("fp"), F.col("p.n").alias("n"), "reach", around(F.col("w"), F.col("p.at"), F.col("p.n"), F.col("reach")).alias("ctx"))
-    return ctx.groupBy("fp", "n", "reach", "ctx").agg(F.collect_set("item").alias("items")), short
+
+def word_hashes(text: Column) -> Column:
+    return F.transform(words(text), lambda x: F.xxhash64(x))
 
 
-def same_run(a: Column, b: Column, reach: Column, n: Column) -> Column:
-    """struct<left, right>: how far the equal words reach beyond the gram on each side; null if the gram differs."""
-    equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+def reference_windows(benchmark: DataFrame, item: str, text: str, k: int, span: int) -> tuple[DataFrame, list[int]]:
+    """(fp, n, whole, items): each window to look for; and the lengths of short items."""
+    items = benchmark.select(F.col(item).cast("string").alias("item"), word_hashes(F.col(text)).alias("h")).filter(F.size("h") > 0)
+    short = [r[0] for r in items.filter(F.size("h") < span).select(F.size("h").alias("n")).distinct().orderBy("n").collect()]
+    own = F.when(F.size("h") >= span, windows(F.col("h"), [], k, span))
+    for n in short:
+        own = own.when(F.size("h") == n, windows(F.col("h"), [n], k, span))
+    each = items.select("item", F.explode(own).alias("w")).select("item", "w.fp", "w.n", "w.whole")
+    return each.groupBy("fp", "n", "whole").agg(F.array_sort(F.collect_set("item")).alias("items")), short
 
-    def of(e: Column) -> Column:
-        left = F.reverse(F.slice(e, 1, reach))
-        right = F.slice(e, reach + n + 1, F.greatest(reach, F.lit(1)))
-        run = lambda side: F.coalesce(F.nullif(F.array_position(side, F.lit(False)), F.lit(0)) - 1, F.size(side).cast("long"))
-        return F.when(F.forall(F.slice(e, reach + 1, n), lambda x: x), F.struct(run(left).alias("left"), F.when(reach > 0, run(right)).otherwise(F.lit(0)).alias("right")))
 
-    return let(equal, of)
+def merged(spans: DataFrame) -> DataFrame:
+    """(_of, _spans): the spans (_key, start, end) of each text sorted, those that overlap or touch made one."""
+    order = Window.partitionBy("_key").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("_fresh", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("_run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = runs.groupBy("_key", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return whole.groupBy(F.col("_key").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
 
 
 def decontaminate(
@@ -100,25 +103,22 @@ def decontaminate(
 ) -> DataFrame:
     """docs with n_words, n_hit, spans (array<struct<start,end>> of hit words, end exclusive), items and contaminated."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in OUT])
-    windows, short = reference_windows(benchmark, item, item_text, k, span)
-    windows = stored(windows, "windows")
-    wanted = small(stored(windows.select("fp").distinct(), "wanted"))
+    looked_for, short = reference_windows(benchmark, item, item_text, k, span)
+    looked_for = stored(looked_for, "windows")
+    wanted = small(stored(looked_for.select("fp").distinct(), "wanted"))
 
     keyed = docs.withColumn("_key", text_key(F.col(text)))
-    prints = keyed.select("_key", F.explode(let(F.transform(words(F.col(text)), lambda x: F.xxhash64(x)), lambda h: fingerprints(h, short, k, span))).alias("fp"))
-    hits = prints.join(wanted, "fp", "left_semi").groupBy("_key").agg(F.collect_set("fp").alias("_fps"))
-    hits = small(stored(hits.withColumnRenamed("_key", "_hit"), "hits"))
-
-    near = keyed.select("_key", F.col(text).alias("t")).join(hits, F.col("_key") == F.col("_hit"), "inner")
-    near = near.groupBy("_key").agg(F.first("t").alias("t"), F.first("_fps").alias("_fps"))  # a text once
-    near = near.select("_key", "_fps", words(F.col("t")).alias("w")).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    at = near.select("_key", "w", F.explode(F.concat(*[places(F.col("h"), F.col("_fps"), n) for n in sorted({k, *short})])).alias("p"))
-    met = at.select("_key", "w", F.col("p.fp").alias("fp"), F.col("p.n").alias("n"), F.col("p.at").alias("at")).join(small(windows), ["fp", "n"])
-    met = met.select("_key", "at", "n", "reach", "items", same_run(around(F.col("w"), F.col("at"), F.col("n"), F.col("reach")), F.col("ctx"), F.col("reach"), F.col("n")).alias("run"))
-    met = met.filter(F.col("run").isNotNull() & ((F.col("reach") == 0) | (F.col("run.left") + F.col("run.right") + F.col("n") >= span)))
-    met = met.select("_key", "items", F.struct((F.col("at") - F.col("run.left")).cast("int").alias("start"), (F.col("at") + F.col("n") + F.col("run.right")).cast("int").alias("end")).alias("s"))
-    found = met.groupBy("_key").agg(F.collect_set("s").alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
-    found = stored(found.select(F.col("_key").alias("_of"), merged(F.array_sort("s")).alias("_spans"), "_items"), "spans")
+    prints = keyed.select("_key", F.explode(let(word_hashes(F.col(text)), lambda h: fingerprints(h, short, k, span))).alias("fp"))
+    hits = prints.join(wanted, "fp", "left_semi").select(F.col("_key").alias("_hit")).distinct()
+    hits = small(stored(hits, "hits"))
+
+    near = keyed.select("_key", F.col(text).alias("t")).join(hits, F.col("_key") == F.col("_hit"), "left_semi")
+    near = near.groupBy("_key").agg(F.first("t").alias("t"))  # a text once
+    at = near.select("_key", F.explode(let(word_hashes(F.col("t")), lambda h: windows(h, short, k, span))).alias("w")).select("_key", "w.*")
+    met = stored(at.join(small(looked_for), ["fp", "n", "whole"]).select("_key", "at", "n", "items"), "met")
+    spans = merged(met.select("_key", F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end")))
+    named = met.select("_key", "items").distinct().select("_key", F.explode_outer("items").alias("item")).groupBy("_key").agg(F.array_sort(F.collect_set("item")).alias("_items"))
+    found = stored(spans.join(named, F.col("_of") == F.col("_key")).drop("_key"), "spans")
 
     judged = keyed.withColumn("n_words", F.size(words(F.col(text))).cast("long")).join(small(found), F.col("_key") == F.col("_of"), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -132,18 +132,6 @@ def decontaminate(
     ).drop("_key", "_of", "_spans", "_items")
 
 
-def merged(spans: Column) -> Column:
-    """Sorted spans, those that overlap or touch made one."""
-    start = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (s["start"] <= F.get(acc, F.size(acc) - 1)["end"]), grown).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(spans, start, step)
-
-
 def digest(judged: DataFrame, *keep: str) -> DataFrame:
     """The contract's columns, from the operator's."""
     return judged.select(
