@@ -14,6 +14,7 @@ partial aggregation, so a frequent one costs no more than a rare one.
 Defined cases
   null or empty text     no spans; the hash is that of the empty string
   repeated rows, ties    judged alike; each counts as a document
+  very long text         read whole; a hundred thousand spans take seconds
   empty table            empty result
   clashing columns       a column of the input with the name of an output column is replaced
 """
@@ -22,8 +23,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice, takewhile
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,7 +109,10 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
             continue
         while at < len(base) and base[at][2] <= m.start():
             at += 1
-        if any(m.start() < e for _, _, e in takewhile(lambda b: b[0] < m.end(), islice(base, at, None))):
+        near = at
+        while near < len(base) and base[near][0] < m.end() and base[near][2] <= m.start():
+            near += 1
+        if near < len(base) and base[near][0] < m.end():
             continue
         if p := pattern(text, m.start()):
             yield m.start(), m.end(), p, bool(OPAQUE.fullmatch(m[0])), False
@@ -180,16 +184,23 @@ def digest(found: DataFrame, *keep: str) -> DataFrame:
     return found.select(*keep, *map(count, KINDS[:4]), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def masked(text: str, spans: list[dict]) -> str:
+    """text with each of the sorted spans replaced by its kind in brackets."""
+    parts, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            parts += [text[at : s["start"]], f"[{s['kind']}]"]
+        at = max(at, s["end"])
+    return "".join([*parts, text[at:]])
+
+
 def redact(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets; overlapping spans are one, named by the first."""
-    found = find_personal(docs, text, **how)
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else masked(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    def step(acc, s):
-        before = F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        put = F.concat(acc["out"], before, F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.when(s["start"] >= acc["at"], put).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(F.col(text)))))
-    return found.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text))).select(*docs.columns)
+    found = find_personal(docs, text, **how)
+    hit = F.size("spans") > 0  # only those texts go to Python
+    return found.withColumn(text, F.coalesce(clean(F.when(hit, F.col(text)), F.when(hit, F.col("spans"))), F.col(text))).select(*docs.columns)
