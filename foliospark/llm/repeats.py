@@ -10,18 +10,22 @@ repeated; every byte that a repeated string covers is removed.
 2. Contexts that are equal are repeated outright; one of each goes on.
 3. The contexts of an anchor are a collection of documents aligned at it. They
    are sorted column by column from the right: each round inserts one symbol of
-   every document, which updates the collection's order (the permutation behind
-   its Burrows-Wheeler transform) and the common prefixes of neighbours. Where a
-   common prefix reaches LENGTH at a string's first column, it is repeated.
-
-A round passes once over order, prefixes and column; in place of external files
-these are arrays of a batch of anchors, so that a task's memory is bounded by
-BATCH contexts. An anchor with more than HOT different contexts isn't given to
-one task: its strings are counted one by one instead, by a partial aggregation.
+   every document, which updates the collection's Burrows-Wheeler transform (the
+   symbols before its suffixes, in the suffixes' order) and the common prefixes
+   of neighbours. Where a common prefix reaches LENGTH at a string's first
+   column, it is repeated.
+
+A round passes once, in sequence, over the transform, the order and the common
+prefixes. In place of external files these are arrays of a batch of anchors, so
+a task's memory is bounded by HOT contexts. An anchor with more of them is split
+by the bytes beside it: a string holds half of what it has besides its anchor on
+one side of it at least, and those bytes are part of the finer anchor. Parts
+that are still too large are split again; equal strings stay together.
 
 Defined cases
   null or empty text       0 bytes, nothing removed, hash of nothing
   shorter than LENGTH      nothing removed
+  very long text           read in parts of CHUNK bytes, cut whole
   null doc_id              a document like any other
   repeated rows, ties      each is a place of its own, so a repeated row of LENGTH bytes or more is removed
   empty table              empty result
@@ -39,12 +43,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import BROADCAST_ROWS, small, stored
+from foliospark.llm.common import BROADCAST_ROWS, settled, small, stored
 from foliospark.llm.minmax import made, mix
 
 LENGTH, GRAM = 200, 32
 #: Bytes of a text that are looked at at once; contexts of one task's round; contexts of an anchor beyond which it is split.
-CHUNK, BATCH, HOT = 1 << 20, 4096, 50_000
+CHUNK, BATCH, HOT = 1 << 20, 4096, 20_000
 PAD = 256
 OUT = ["n_bytes", "n_removed", "spans", "kept_bytes"]
 
@@ -113,7 +117,7 @@ def all_contexts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def context_bytes(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(anchor, ctx, lead, raw) of the wanted rows of CONTEXT."""
+    """PIECE rows, whole contexts, for the wanted rows of CONTEXT."""
     start, lead, strings = unpacked()
     lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "ctx", start.alias("start"), lead.alias("lead"), strings.alias("strings"))).alias("parts"))
     lists = stored(lists.toDF("_doc", "_hash", "parts"), "lists")
@@ -122,16 +126,62 @@ def context_bytes(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) ->
     names = lists.select("_doc", "_hash")
     if names.count() <= BROADCAST_ROWS:  # then only texts that are asked for are shuffled
         texts = texts.join(F.broadcast(names), same, "left_semi")
-    schema = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("lead", pa.int32()), ("raw", pa.binary())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 raw, rows = batch.column("raw")[at].as_py(), batch.column("parts")[at].as_py()
-                yield made([(p["anchor"], p["ctx"], p["lead"], raw[p["start"] : p["start"] + p["strings"] + LENGTH - 1]) for p in rows], schema)
+                yield made([(p["anchor"], p["anchor"], p["ctx"], 0, 0, GRAM, p["lead"], raw[p["start"] : p["start"] + p["strings"] + LENGTH - 1]) for p in rows], PIECE_ARROW)
+
+    # a row given twice gives its contexts twice: see shared_strings
+    return texts.join(lists, same).select("raw", "parts").mapInArrow(run, PIECE)
+
+
+#: A context or the part of one that a finer anchor has: part is the anchor that it is dealt by, first the number of its
+#: first string in the context, back and ahead how far the anchor reaches to the left and right of its place, lead that place.
+PIECE = "part long, anchor long, ctx long, first int, back int, ahead int, lead int, raw binary"
+PIECE_ARROW = pa.schema([*((n, pa.int64()) for n in ("part", "anchor", "ctx")), *((n, pa.int32()) for n in ("first", "back", "ahead", "lead")), ("raw", pa.binary())])
+
+
+def split(part: int, anchor: int, ctx: int, first: int, back: int, ahead: int, lead: int, raw: bytes) -> Iterator[tuple]:
+    """The parts of a piece under finer anchors: strings that reach far to the left of the anchor, and the others."""
+    strings, free = len(raw) - LENGTH + 1, LENGTH - back - ahead
+    half = (free + 1) // 2
+    far = max(0, min(strings, lead - back - half + 1))  # so many strings have half of their free bytes on the left
+    for left, a, b in ((True, 0, far), (False, far, strings)):
+        if a == b:
+            continue
+        wide, deep = (back + half, ahead) if left else (back, ahead + free - half + 1)
+        key = mix(np.array([xxhash.xxh3_64_intdigest(raw[lead - wide : lead + deep], seed=2 * wide + left)], np.uint64) + np.uint64(part % 2**64)).view(np.int64)
+        yield int(key[0]), anchor, ctx, first + a, wide, deep, lead - a, raw[a : b + LENGTH - 1]
+
+
+def dealt(pieces: DataFrame, hot: int) -> DataFrame:
+    """pieces whose parts have at most hot rows each, or hold one string alone; made from stored pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in pieces_of(batch):
+                yield made([x for row in rows for x in split(*row)], PIECE_ARROW)
+
+    done, free = [], F.lit(LENGTH) - F.col("back") - F.col("ahead")
+    while True:
+        much = pieces.groupBy("part").agg(F.count("*").alias("n"), F.max(free).alias("free")).filter((F.col("n") > hot) & (F.col("free") > 0))
+        much = stored(much.select("part"), "hot")
+        if not much.limit(1).count():
+            break
+        much = small(much)
+        done.append(pieces.join(much, "part", "left_anti"))
+        pieces = stored(pieces.join(much, "part", "left_semi").mapInArrow(run, PIECE), "split")
+    for part in done:
+        pieces = pieces.unionByName(part)
+    return pieces
+
+
+def pieces_of(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[list[tuple]]:
+    for at in range(0, batch.num_rows, rows):
+        yield list(zip(*(c.to_pylist() for c in batch.slice(at, rows).columns), strict=True))
+
 
-    cut = texts.join(lists, same).select("raw", "parts").mapInArrow(run, "anchor long, ctx long, lead int, raw binary")
-    return cut  # a row given twice gives its contexts twice: see insert_columns
 
 
 def insert_columns(group: np.ndarray, lead: np.ndarray, raws: list[bytes]) -> np.ndarray:
@@ -141,19 +191,19 @@ def insert_columns(group: np.ndarray, lead: np.ndarray, raws: list[bytes]) -> np
     column to the first, one symbol of every context is put before its suffix.
     """
     n, reach = len(raws), LENGTH - GRAM
-    table = np.full((n, reach + LENGTH), PAD, np.int64)
+    table = np.full((n, reach + LENGTH), PAD, np.int32)
     strings = np.array([len(r) - LENGTH + 1 for r in raws])
     for i, raw in enumerate(raws):
         table[i, reach - lead[i] : reach - lead[i] + len(raw)] = np.frombuffer(raw, np.uint8)
-    table += (group * (PAD + 1))[:, None]
-    pad = group * (PAD + 1) + PAD
+    table += (group * (PAD + 1)).astype(np.int32)[:, None]
+    pad = (group * (PAD + 1) + PAD).astype(np.int32)
     order, common = np.arange(n), np.zeros(n, np.int64)
     repeated = np.zeros((n, reach + 1), bool)
     first = reach - lead
     for column in range(reach + LENGTH - 1, -1, -1):
-        symbols = table[order, column]
-        by = np.argsort(symbols, kind="stable")
-        symbols = symbols[by]
+        transform = table[order, column]  # the symbols before the suffixes, in their order
+        by = np.argsort(transform, kind="stable")
+        symbols = transform[by]
         low, high = by[:-1], by[1:]
         near = common[high]
         apart = np.flatnonzero((symbols[1:] == symbols[:-1]) & (high != low + 1))
@@ -177,72 +227,54 @@ def runs_of(flags: np.ndarray) -> list[dict]:
 
 
 def shared_strings(pieces: DataFrame) -> DataFrame:
-    """(anchor, ctx, runs): runs of repeated strings in each context, from (anchor, ctx, lead, raw)."""
+    """(anchor, ctx, runs): runs of repeated strings in each context, from PIECE rows."""
     schema = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("runs", pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))])
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        anchors = np.array([r[0] for r in rows])
-        group = np.cumsum(np.concatenate([[0], anchors[1:] != anchors[:-1]])).astype(np.int64)
-        lead = np.array([r[2] for r in rows])
-        flags = insert_columns(group, lead, [r[3] for r in rows])
+        parts, lead = np.array([r[0] for r in rows]), np.array([r[6] for r in rows])
+        group = np.cumsum(np.concatenate([[0], parts[1:] != parts[:-1]])).astype(np.int64)
+        flags = insert_columns(group, lead, [r[7] for r in rows])
         at = LENGTH - GRAM - lead
-        out = [(r[0], r[1], runs_of(f[a:])) for r, f, a in zip(rows, flags, at, strict=True) if f.any()]
+        out = [(r[1], r[2], [{"from": x["from"] + r[3], "to": x["to"] + r[3]} for x in runs_of(f[a:])]) for r, f, a in zip(rows, flags, at, strict=True) if f.any()]
         return made(out, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if last is not None and row[:2] == last[:2]:
-                    continue  # the same row was given twice
-                if last is not None and row[0] != last[0] and len(held) >= BATCH:
-                    yield solve(held)
-                    held = []
-                held.append(row)
-                last = row
+        for row in (r for batch in batches for rows in pieces_of(batch) for r in rows):
+            if last is not None and row[:4] == last[:4]:
+                continue  # the same row was given twice
+            if last is not None and row[0] != last[0] and len(held) >= BATCH:
+                yield solve(held)
+                held = []
+            held.append(row)
+            last = row
         if held:
             yield solve(held)
 
-    return pieces.sortWithinPartitions("anchor", "ctx").mapInArrow(run, "anchor long, ctx long, runs array<struct<from:int,to:int>>")
-
-
-def counted_strings(pieces: DataFrame) -> DataFrame:
-    """As shared_strings, for anchors of very many contexts: strings are hashed (128 bits) and counted."""
-    schema = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("at", pa.int32()), ("s", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for anchor, ctx, _, raw in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                yield made([(anchor, ctx, i, xxhash.xxh3_128_digest(raw[i : i + LENGTH])) for i in range(len(raw) - LENGTH + 1)], schema)
-
-    strings = pieces.dropDuplicates(["anchor", "ctx"]).mapInArrow(run, "anchor long, ctx long, at int, s binary")
-    often = strings.groupBy("anchor", "s").count().filter("count > 1").select("anchor", "s")
-    runs = strings.join(often, ["anchor", "s"], "left_semi").groupBy("anchor", "ctx").agg(F.collect_list(F.struct(F.col("at").alias("from"), (F.col("at") + 1).alias("to"))).alias("runs"))
-    return runs
+    single = F.col("back") + F.col("ahead") == LENGTH
+    several = pieces.filter(~single).repartition("part").sortWithinPartitions("part", "anchor", "ctx", "first")
+    inserted = several.mapInArrow(run, "anchor long, ctx long, runs array<struct<from:int,to:int>>")
+    # a part whose anchor is a whole string holds that string alone: nothing is left to insert
+    alone = pieces.filter(single).select("part", "anchor", "ctx", "first").distinct()
+    often = small(stored(alone.groupBy("part").count().filter("count > 1").select("part"), "often"))
+    run_ = F.array(F.struct(F.col("first").alias("from"), (F.col("first") + 1).alias("to")))
+    return inserted.unionByName(alone.join(often, "part").select("anchor", "ctx", run_.alias("runs")))
 
 
 def repeated_spans(docs: DataFrame, text: str, doc_id: str, hot: int = HOT) -> DataFrame:
     """(doc_id, text_hash, spans): for each document with a repeated string, the bytes that such strings cover."""
-    found = all_contexts(docs, text, doc_id)
+    found = stored(all_contexts(docs, text, doc_id), "all-contexts")
     start, _, strings = unpacked()
     # anchors grow with the corpus: they are shuffled, never broadcast
     anchors = stored(found.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
     found = stored(found.join(anchors.hint("merge"), "anchor"), "contexts")
     first = F.min(F.struct("doc_id", "text_hash", "place"))
     distinct = stored(found.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), first.alias("rep")).select("anchor", "ctx", "n", "rep.*"), "distinct")
-    several = distinct.groupBy("anchor").count().filter("count > 1")
-    several = stored(several.select("anchor", (F.col("count") > hot).alias("hot")), "several")
+    several = stored(distinct.groupBy("anchor").count().filter("count > 1").select("anchor"), "several")
     wanted = distinct.join(several.hint("merge"), "anchor")
     pieces = context_bytes(docs, wanted.select("anchor", "ctx", "doc_id", "text_hash", "place"), text, doc_id)
-    pieces = stored(pieces, "pieces")
-    much = several.filter("hot").select("anchor")
-    rare = pieces
-    shared = None
-    if much.limit(1).count():
-        rare = pieces.join(much, "anchor", "left_anti")
-        shared = counted_strings(pieces.join(much, "anchor", "left_semi"))
-    inserted = shared_strings(rare.repartition("anchor"))
-    shared = inserted if shared is None else inserted.unionByName(shared)
+    pieces = dealt(stored(pieces, "pieces"), hot)
+    shared = shared_strings(pieces)
     whole = F.array(F.struct(F.lit(0).alias("from"), strings.alias("to")))
     same = distinct.filter("n > 1").select("anchor", "ctx", whole.alias("runs"))
     single = distinct.filter("n = 1").select("anchor", "ctx")
@@ -276,7 +308,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     keep: the columns of docs to return, all by default.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in OUT]
-    found = stored(repeated_spans(docs, text, doc_id, hot).toDF("_doc", "_hash", "_spans"), "spans")
+    found = settled(lambda: repeated_spans(docs, text, doc_id, hot).toDF("_doc", "_hash", "_spans"), "spans")
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_hash"))
     both = docs.join(small(found), same, "left").select(*{*keep}, F.col(text).cast("binary").alias("_raw"), "_spans")
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string("n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_bytes binary").fields])
