@@ -101,3 +101,100 @@ def licence(text, phrases):
                 at.append(i)
                 labels.add(label)
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def boilerplate(rows, share=0.05, least=20):
+    """doc_id -> (n_words_removed, clean_text, kept) by the frequency of lines; rows of (doc_id, text, host)."""
+    norm = lambda line: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]+", "0", line.strip(" ").lower()))
+    lines = lambda text: [x for x in (text or "").split("\n") if space_words(x)]
+    texts, often = {}, {}
+    for _, text, host in rows:
+        if lines(text):
+            texts.setdefault(host, set()).add(text)
+    for host, some in texts.items():
+        count = Counter(x for t in some for x in {norm(x) for x in lines(t)})
+        often[host] = {x for x, n in count.items() if n > least and n > share * len(some)}
+    out = {}
+    for i, text, host in rows:
+        gone = often.get(host, set())
+        clean = None if text is None else "\n".join(x for x in text.split("\n") if not space_words(x) or norm(x) not in gone)
+        n, left = len(space_words(text)), len(space_words(clean))
+        out[i] = n - left, clean, not quality(text)[5] and left >= 0.5 * n
+    return out
+
+
+def permissive(expression, known):
+    """Permissiveness of a well-formed licence expression, by recursive descent; known: identifier -> degree."""
+    tokens = re.findall(r"[()]|[^\s()]+", expression) + [""]
+
+    def term():
+        if tokens[0] == "(":
+            tokens.pop(0)
+            value = either()
+            tokens.pop(0)
+        else:
+            value = known.get(tokens.pop(0).lower())
+        if tokens[0].lower() == "with":
+            del tokens[:2]
+            value = value and min(1.0, value + 0.2)
+        return value or 0.0
+
+    def both():
+        value = term()
+        while tokens[0].lower() == "and":
+            tokens.pop(0)
+            value = min(value, term())
+        return value
+
+    def either():
+        value = both()
+        while tokens[0].lower() == "or":
+            tokens.pop(0)
+            value = max(value, both())
+        return value
+
+    return either()
+
+
+def packed(lengths, full, weights, rule):
+    """Number of the bin of each piece: all open bins compared, one by one."""
+    bins, out = [], []
+    for n in lengths:
+        need, best = (n, 1, n * n), None
+        for i, left in enumerate(bins):
+            if all(x >= y for x, y in zip(left, need)):
+                if rule == "norm":
+                    score = -sum(w * ((x - y) / f) ** 2 for w, x, y, f in zip(weights, left, need, full))
+                else:
+                    score = sum(w * x * y / f / f for w, x, y, f in zip(weights, left, need, full))
+                if best is None or score > best[0] + 1e-12:
+                    best = score, i
+        if best is None:
+            bins.append(list(full))
+            best = 0, len(bins) - 1
+        bins[best[1]] = [x - y for x, y in zip(bins[best[1]], need)]
+        out.append(best[1])
+    return out
+
+
+def bootstrapped(found, rounds=3, bound=0.5, support=5):
+    """Trusted patterns of (pattern, instance, seed) triples."""
+    seed, edges = {}, {(p, i) for p, i, _ in found}
+    for p, i, s in found:
+        seed[p, i] = max(seed.get((p, i), 0.0), float(s))
+    own = {i: max(seed[q, j] for q, j in edges if j == i) for _, i in edges} if len(edges) < 2000 else {}
+    if not own:
+        for (_, i), s in seed.items():
+            own[i] = max(own.get(i, 0.0), s)
+    score, worth, n = dict(own), {}, Counter(p for p, _ in edges)
+    for turn in range(rounds):
+        total = Counter()
+        for p, i in edges:
+            total[p] += score[i]
+        worth = {p: total[p] / (n[p] + 2.0) for p in n}
+        if turn < rounds - 1:
+            score = dict(own)
+            for p, i in edges:
+                if n[p] >= support:
+                    score[i] = max(score[i], worth[p])
+    return {p for p in n if worth[p] >= bound and n[p] >= support}

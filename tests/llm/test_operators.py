@@ -145,7 +145,7 @@ def test_repeats(docs):
     assert got == Counter((t, *b) for t, b in zip(given_, brute.repeats(given_, 200)))
 
 
-@pytest.mark.parametrize("hot", [0, 50_000])
+@pytest.mark.parametrize("hot", [0, 3, 50_000])
 def test_repeats_hot_anchor(spark, hot):
     """A passage in many contexts, split or not, gives the same result."""
     rng = np.random.default_rng(3)
@@ -199,12 +199,13 @@ def test_licenses(docs):
     ("expression", "labels", "score"),
     [
         ("MIT", {"mit"}, 1.0), ("MIT OR GPL-3.0", {"mit", "gpl-3"}, 1.0), ("MIT AND GPL-3.0", {"mit", "gpl-3"}, 0.3), ("GPL-2.0 WITH Classpath-exception-2.0", {"gpl-2"}, 0.5),
-        ("(MIT OR GPL-3.0) AND AGPL-3.0", {"mit", "gpl-3", "agpl"}, 0.2), ("MIT OR GPL-3.0 AND AGPL-3.0", {"mit", "gpl-3", "agpl"}, 1.0), ("unknown-1.0", set(), None), ("mit and more text", {"mit"}, 1.0),
+        ("(MIT OR GPL-3.0) AND AGPL-3.0", {"mit", "gpl-3", "agpl"}, 0.2), ("MIT OR GPL-3.0 AND AGPL-3.0", {"mit", "gpl-3", "agpl"}, 1.0), ("unknown-1.0", set(), 0.0), ("mit and more text", {"mit"}, 1.0),
+        ("MIT AND LicenseRef-Proprietary", {"mit"}, 0.0), ("MIT OR LicenseRef-Proprietary", {"mit"}, 1.0), ("LicenseRef-X WITH y-exception", set(), 0.0), ("GPL-2.0-or-later OR CC-BY-SA-3.0", {"gpl-2", "cc-by-sa"}, 0.5),
     ],
 )
 def test_expressions(expression, labels, score):
     value = licenses.evaluate(expression)
-    assert value.labels == labels and value.permissive == (pytest.approx(score) if score is not None else None)
+    assert value.labels == labels and value.permissive == pytest.approx(score)
 
 
 @pytest.mark.parametrize("expression", ["", "(MIT", "MIT OR", "OR MIT", "MIT)", "()"])
@@ -237,7 +238,7 @@ def test_language_special(docs):
 
 def test_tokens_and_cuts(docs, texts):
     ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    pieces = packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).filter("doc_id is not null").collect()
+    pieces = packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json")).filter("doc_id is not null").collect()
     for i, t in texts.items():
         own = sorted((p for p in pieces if p.doc_id == i), key=lambda p: p.start)
         own = own if i not in (11, 12) else own[::2]
@@ -283,7 +284,7 @@ def test_sharding(spark, n):
         by.setdefault(r.shard, []).append(r.slot)
     sizes = [len(by.get(s, [])) for s in range(24)]
     assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
-    assert sorted((r.doc_id, r.shard, r.slot) for r in got) == sorted((r.doc_id, r.shard, r.slot) for r in sharding.shuffle_exact(df.repartition(5), 24).collect())
+    assert sorted((r.doc_id, r.shard, r.slot) for r in got) == sorted((r.doc_id, r.shard, r.slot) for r in sharding.shuffle_exact(df, 24).collect())
 
 
 def test_sharding_repeated_rows(spark):
@@ -330,7 +331,7 @@ def test_empty_tables(spark, empty, tmp_path):
     for df in (
         line_frequency.line_frequency_rules(empty), minmax.near_duplicates(empty), minmax.keep_one(empty), winnowing.decontaminate(empty, spark.createDataFrame([(1, "a b")], "item_id long, text string")),
         repeats.remove_repeats(empty), pii.find_personal(empty), licenses.scan_licenses(empty), language.identify_language(empty), sharding.shuffle_exact(empty, 3),
-        packing.pack(packing.tokenize(empty, public_tokenizers.path("byte_bpe_50k.tiktoken"))),
+        packing.pack(packing.tokenize(empty, public_tokenizers.path("byte_bpe_50k.json"))),
         host_reputation.host_reputation(empty.selectExpr("doc_id as page_id", "text as url"), empty.selectExpr("doc_id", "1 as toxic")),
     ):
         assert df.count() == 0
@@ -393,11 +394,11 @@ def test_query_op3_op10(spark):
 
 def test_tokens_around_every_character():
     ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    own = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
     characters = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
     for at in range(0, len(characters), 4096):
         text = "".join(f"a{c}1{c}{c} {c}b\n" for c in characters[at : at + 4096])
-        assert own.encode_to_numpy(text, allowed_special="all").tolist() == ids.encode(text, add_special_tokens=False).ids
+        assert own(text).tolist() == ids.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -413,8 +414,8 @@ def test_query_sql(spark, name):
 
 
 def test_language_sample_of_distinct_texts(spark):
-    """Copies don't fill the sample of a language, and the largest languages are taken."""
+    """Copies don't fill the sample of a language, and every language is in it."""
     texts = [f"some text {chr(97 + i)}" for i in range(20)]
     rows = [(t, "zz") for t in texts for _ in range(50)] + [("ein", "aa"), ("zwei", "bb")]
-    got = language.sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 15, 1)
-    assert len(got) == 15 and {lang for lang, _ in got} == {"zz"}
+    got = Counter(r[0] for r in language.sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 15, 30))
+    assert got == {"zz": 10, "aa": 1, "bb": 1}

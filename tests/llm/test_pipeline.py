@@ -1,5 +1,7 @@
 """The pipeline's stages, each held against a plain version on its own input."""
 
+from collections import Counter
+
 import brute
 import corpus_pipeline
 import numpy as np
@@ -40,11 +42,25 @@ def test_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == left
 
 
-def test_special_cases(spark, docs):
-    for _, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SMALL)
-        assert out.count() >= 0
-        assert stage(spark, docs.limit(0), SMALL).count() == 0
+def test_special_cases(spark, docs, texts):
+    """Null ids and texts, repeated rows, clashing columns: each stage's own result, in its docs' columns."""
+    bench = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: Counter(r.doc_id for r in df.select("doc_id").collect())
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, docs.limit(0), SMALL).count() == 0
+        assert name == "best_fit_packing" or f(spark, docs, SMALL).columns == docs.columns
+    assert ids(stage["quality_rules"](spark, docs, SMALL)) == Counter(i for i, t in rows if not brute.quality(t)[5])
+    groups = brute.components(texts.items(), 5, 80)
+    stay = Counter(i for i, g in groups.items() if g[2])
+    assert ids(stage["near_duplicates"](spark, docs, SMALL)) == stay + Counter([None])  # the row without id and text
+    assert ids(stage["decontamination"](spark, docs, SMALL)) == Counter(i for i, t in rows if not brute.leaks(t, bench)[4])
+    assert ids(stage["personal_data"](spark, docs, SMALL)) == Counter(i for i, _ in rows)
+    packed = stage["best_fit_packing"](spark, docs, SMALL)
+    assert ids(packed.filter("start = 0")) == Counter(i for i, _ in rows)
+    held = packed.groupBy("sequence_id").agg({"length": "sum", "*": "count"}).collect()
+    assert max(r["sum(length)"] for r in held) <= 1024 and max(r["count(1)"] for r in held) <= corpus_pipeline.DOCUMENTS
 
 
 def test_frequent_lines_are_gone(spark):
@@ -66,6 +82,6 @@ def test_packed_ids(spark):
     spelled = {}
     for r in out:
         spelled[r.doc_id] = spelled.get(r.doc_id, []) + np.frombuffer(r.ids, "<u4").tolist()
-    decode = packing.encoder(corpus_pipeline.RANKS).decode
+    decode = packing.encoder(corpus_pipeline.TOKENIZER).exact.decode
     assert all(ids[-1] == packing.END for ids in spelled.values())
     assert {i: decode(ids[:-1]) for i, ids in spelled.items()} == {r.doc_id: r.text for r in docs.collect()}
