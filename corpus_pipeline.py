@@ -15,8 +15,10 @@ from foliospark.llm import line_frequency, minmax, packing, pii, winnowing
 from foliospark.llm.common import stored
 from foliospark.tables import table
 
-#: The tokenizer's ranks, on every machine.
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The tokenizer's file, on every machine.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Documents that a sequence holds at most.
+DOCUMENTS = 64
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their ids, and the sequence and the place that each is packed into."""
-    return packing.pack(stored(packing.tokenize(docs, RANKS), "pieces"))
+    return packing.pack(stored(packing.tokenize(docs, TOKENIZER), "pieces"), documents=DOCUMENTS)
 
 
 STAGES = [
