@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 * 1024 * 1024
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Delimiters of the two kinds of words that the operators know.
-SPACES = r"[\x20\x09-\x0D]+"
+#: Delimiters of the two kinds of words that the operators know; Spark's patterns are Java's, whose \s is \x20\x09-\x0D.
+SPACES = r"\s+"
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 

@@ -37,7 +37,7 @@ def repeat_words(words: Column) -> Column:
             twice = F.filter(pairs, lambda e, j: (F.get(pairs, j - 1)["w"] == e["w"]) | (F.get(pairs, j + 1)["w"] == e["w"]))
             return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))))
 
-        marked = let(F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), covered)
+        marked = let(F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), covered)
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(marked)
 
     def of_hashes(h: Column) -> Column:
@@ -49,7 +49,7 @@ def repeat_words(words: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """The lines of a text that hold a word."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"\S"))
 
 
 def line_hash(line: Column) -> Column:
@@ -64,7 +64,9 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         "_base",
         let(
             words_of(t, SPACES),
-            lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")),
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).alias("n_repeat_words")
+            ),
         ),
     )
     n, again = F.col("_base.n_words"), F.col("_base.n_repeat_words")
@@ -72,7 +74,7 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return counted.withColumns(
         {
             "n_words": n,
-            "word_chars": F.length(F.regexp_replace(t, SPACES, "")).cast("long"),
+            "word_chars": F.col("_base.word_chars"),
             "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
             "n_dup_lines": dup_lines.cast("long"),
             "n_repeat_words": again,
@@ -108,7 +110,7 @@ def line_frequency_rules(
     often = small(stored(often, "lines"))
     judged = base_rules(docs, text).withColumn("_h", F.col(host).cast("string"))
     judged = judged.join(often, judged["_h"].eqNullSafe(often["_of"]), "left")
-    left = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: ~F.array_contains(F.col("_often"), line_hash(x)) | ~x.rlike(r"[^\x20\x09-\x0D]"))
+    left = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: ~F.array_contains(F.col("_often"), line_hash(x)) | ~x.rlike(r"\S"))
     judged = judged.withColumn("_clean", F.when(F.col("_often").isNull(), F.col(text)).otherwise(F.when(F.col(text).isNotNull(), F.array_join(left, "\n"))))
     removed = F.when(F.col("_clean") != F.col(text), F.col("n_words") - F.size(words_of(F.col("_clean"), SPACES))).otherwise(F.lit(0)).cast("long")
     return (

@@ -332,7 +332,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how:
     first = F.struct(F.coalesce((F.col("doc_id") != F.col("label")).cast("int"), F.lit(1)).alias("other"), "doc_id", "key")
     stay = judged.groupBy("label").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("_doc"), F.col("k.key").alias("_key"))
     texts = docs.withColumn("_k", text_key(F.coalesce(F.col(text), F.lit(""))))
-    bare = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    bare = ~F.coalesce(F.col(text), F.lit("")).rlike(r"\S")
     same = (F.col("_k") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_doc"))
     kept = texts.filter(~bare).join(stay, same, "left_semi")
     again = judged.groupBy("doc_id", "key").count().filter("count > 1").join(stay, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
