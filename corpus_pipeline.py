@@ -23,9 +23,9 @@ DOCUMENTS = 64
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without the lines that are frequent at their host."""
-    judged = line_frequency.line_frequency_rules(docs).filter("kept")
     fresh = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return judged.select(*(fresh[c].alias(c) if c in fresh else c for c in docs.columns))
+    judged = line_frequency.line_frequency_rules(docs).select(*(fresh[c].alias(c) if c in fresh else c for c in docs.columns), F.col("kept").alias("_kept"))
+    return stored(judged, "judged").filter("_kept").drop("_kept")  # stored, as a filter would have the rules evaluated twice
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
