@@ -1,11 +1,20 @@
-"""Raster analytics over pixels in long form: (doc_id, page, x, y, grey)."""
+"""Raster analytics.
+
+Counts take pixels in long form: (doc_id, page, x, y, grey). What looks at a pixel's neighbours or at another
+raster takes a page as scanlines, (doc_id, page, rows: array<array<int>>), rows of any length: a pixel's neighbours
+are then in its row of the table, and at most whole pages are shuffled.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 PAGE = ["doc_id", "page"]
 INK, BLANK_INK, BLANK_SPREAD, NEAR = 4, 0.005, 5.0, 3
@@ -30,10 +39,19 @@ def content_bbox(pixels: DataFrame, differs: int = 28) -> DataFrame:
     return pixels.filter(255 - F.col("grey") > differs).groupBy(*PAGE).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
 
 
+def scanlines(rasters: DataFrame, rows: str = "rows") -> DataFrame:
+    """(doc_id, page, y, line) of the rows that hold pixels."""
+    # outer: of a plain explode Spark infers a filter on rows, and evaluates below it all that rows are made of once more
+    return rasters.select(*PAGE, F.posexplode_outer(rows).alias("y", "line")).filter(F.size("line") > 0)
+
+
 def visual_diff(a: DataFrame, b: DataFrame, tolerance: int = 8) -> DataFrame:
-    """Pixels of both rasters with changed: the greys differ by more than the tolerance."""
-    other = b.withColumnRenamed("grey", "other")
-    return a.join(other, [*PAGE, "x", "y"]).withColumn("changed", F.abs(F.col("grey") - F.col("other")) > tolerance)
+    """(doc_id, page, rows) of the pixels that both rasters have: structs of grey, other and changed, where the greys differ by more than the tolerance."""
+    both = a.join(b.withColumnRenamed("rows", "_other"), PAGE)
+    pixel = lambda v, o: F.struct(v.alias("grey"), o.alias("other"), (F.abs(v - o) > tolerance).alias("changed"))
+    shared = lambda v, o: F.zip_with(F.slice(v, 1, F.least(F.size(v), F.size(o))), F.slice(o, 1, F.least(F.size(v), F.size(o))), pixel)
+    n = F.least(F.size("rows"), F.size("_other"))
+    return both.select(*PAGE, F.zip_with(F.slice("rows", F.lit(1), n), F.slice("_other", F.lit(1), n), shared).alias("rows"))
 
 
 def tone_adjust(v: Column, brightness: float, contrast: float) -> Column:
@@ -41,12 +59,36 @@ def tone_adjust(v: Column, brightness: float, contrast: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.bround((v - 128) * contrast + 128 + brightness))).cast("int")
 
 
-def local_mean(pixels: DataFrame, half: int) -> DataFrame:
-    """pixels with mean: that of the box of half rows and columns to each side, cut at the edges."""
-    across = Window.partitionBy(*PAGE, "y").orderBy("x").rangeBetween(-half, half)
-    down = Window.partitionBy(*PAGE, "x").orderBy("y").rangeBetween(-half, half)
-    rows = pixels.withColumn("_s", F.sum("grey").over(across)).withColumn("_n", F.count("*").over(across))
-    return rows.withColumn("mean", F.sum("_s").over(down) / F.sum("_n").over(down)).drop("_s", "_n")
+def box_sums(table: np.ndarray, half: int, axis: int) -> np.ndarray:
+    """Sums of half places to each side along an axis, cut at the edges, by one running sum."""
+    n = table.shape[axis]
+    sums = np.insert(np.cumsum(table, axis=axis), 0, 0, axis=axis)
+    at = np.arange(n)
+    return np.take(sums, np.minimum(at + half + 1, n), axis=axis) - np.take(sums, np.maximum(at - half, 0), axis=axis)
+
+
+def local_mean(rasters: DataFrame, half: int) -> DataFrame:
+    """rasters with means (array<array<double>>): that of the box of half rows and columns to each side, cut at the edges."""
+
+    def of_page(lines: pa.ListArray) -> np.ndarray:
+        wide = lines.value_lengths().to_numpy()
+        there = np.arange(wide.max(initial=0))[None, :] < wide[:, None]
+        table = np.zeros(there.shape, np.int64)
+        table[there] = lines.flatten().to_numpy()
+        # a row counts at x only where it has a pixel there
+        total, n = (box_sums(box_sums(t, half, 1) * there, half, 0) for t in (table, there.astype(np.int64)))
+        return (total[there] / n[there]) if there.any() else np.zeros(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("rows")
+            lines = rows.flatten()
+            values = [of_page(r.values) for r in rows]
+            inner = pa.ListArray.from_arrays(pa.array(np.insert(np.cumsum(lines.value_lengths().to_numpy()), 0, 0), pa.int32()), np.concatenate([np.zeros(0), *values]))
+            outer = pa.ListArray.from_arrays(pa.array(np.insert(np.cumsum(rows.value_lengths().to_numpy()), 0, 0), pa.int32()), inner)
+            yield pa.RecordBatch.from_arrays([*batch.columns, outer], names=[*batch.schema.names, "means"])
+
+    return rasters.mapInArrow(run, StructType([*rasters.schema.fields, StructField("means", ArrayType(ArrayType(DoubleType())))]))
 
 
 def deskew_scores(pixels: DataFrame, dark: int = 160, most: float = 5.0, step: float = 0.5) -> DataFrame:
@@ -66,20 +108,23 @@ def deskew_search(pixels: DataFrame) -> DataFrame:
     return scores.groupBy(*PAGE).agg(best.alias("b")).select(*PAGE, F.col("b.angle").alias("angle"), F.col("b.score").alias("score"))
 
 
-def rotate_raster(pixels: DataFrame, degrees: float) -> DataFrame:
-    """Nearest-neighbour rotation about the middle; white where the source is outside."""
+def rotate_raster(rasters: DataFrame, degrees: float) -> DataFrame:
+    """Nearest-neighbour rotation about the middle of the pixels; white where the source is outside."""
     s, c = math.sin(math.radians(degrees)), math.cos(math.radians(degrees))
-    size = pixels.groupBy(*PAGE).agg(((F.max("x") + F.min("x")) / 2.0).alias("cx"), ((F.max("y") + F.min("y")) / 2.0).alias("cy"))
-    to = pixels.join(size, PAGE)
-    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    to = to.select(*PAGE, "x", "y", F.floor(dx * c + dy * s + F.col("cx") + 0.5).cast("int").alias("sx"), F.floor(dy * c - dx * s + F.col("cy") + 0.5).cast("int").alias("sy"))
-    source = pixels.select(*PAGE, F.col("x").alias("sx"), F.col("y").alias("sy"), "grey")
-    return to.join(source, [*PAGE, "sx", "sy"], "left").select(*PAGE, "x", "y", F.coalesce("grey", F.lit(255)).alias("grey"))
+    inked = F.filter(F.transform("rows", lambda r, y: F.when(F.size(r) > 0, y)), lambda y: y.isNotNull())
+    middle = rasters.select("*", ((F.array_max(F.transform("rows", lambda r: F.size(r))) - 1) / 2.0).alias("_cx"), ((F.array_min(inked) + F.array_max(inked)) / 2.0).alias("_cy"))
+
+    def source(x: Column, y: Column) -> Column:
+        dx, dy = x - F.col("_cx"), y - F.col("_cy")
+        at = F.floor(dx * c + dy * s + F.col("_cx") + 0.5).cast("int"), F.floor(dy * c - dx * s + F.col("_cy") + 0.5).cast("int")
+        return F.coalesce(F.get(F.get("rows", at[1]), at[0]), F.lit(255))
+
+    turned = F.transform("rows", lambda row, y: F.transform(row, lambda v, x: source(x, y)))
+    return middle.withColumn("rows", turned).drop("_cx", "_cy")
 
 
 def change_regions(mask: DataFrame) -> DataFrame:
-    """(doc_id, page, region, x0, y0, x1, y1, ink): 8-connected components of changed pixels of each page."""
-    import numpy as np
+    """(doc_id, page, region, x0, y0, x1, y1, ink): 8-connected components of changed pixels of each page of visual_diff."""
     import pandas as pd
 
     def label(page: pd.DataFrame) -> pd.DataFrame:
@@ -103,4 +148,11 @@ def change_regions(mask: DataFrame) -> DataFrame:
         out = page.groupby("region", as_index=False).agg(x0=("x", "min"), y0=("y", "min"), x1=("x", "max"), y1=("y", "max"), ink=("x", "size"))
         return out.assign(doc_id=page["doc_id"].iloc[0], page=page["page"].iloc[0])[["doc_id", "page", "region", "x0", "y0", "x1", "y1", "ink"]]
 
-    return mask.filter("changed").select(*PAGE, "x", "y").groupBy(*PAGE).applyInPandas(label, "doc_id long, page int, region int, x0 int, y0 int, x1 int, y1 int, ink long")
+    pixels = scanlines(mask).select(*PAGE, F.col("y"), F.posexplode_outer("line").alias("x", "p")).filter("p.changed")
+    return pixels.select(*PAGE, "x", "y").groupBy(*PAGE).applyInPandas(label, "doc_id long, page int, region int, x0 int, y0 int, x1 int, y1 int, ink long")
+
+
+def first_regions(regions: DataFrame, most: int) -> DataFrame:
+    """The first regions of each page, with overflow: whether the page has more."""
+    n = F.max("region").over(Window.partitionBy(*PAGE)) + 1
+    return regions.withColumn("overflow", n > most).filter(F.col("region") < most)

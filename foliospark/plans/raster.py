@@ -9,20 +9,25 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import raster as R
 from foliospark.plans.registry import register
-from foliospark.sources.bridge import bridged, doc_lines, grid_pixels
+from foliospark.sources.bridge import bridged, doc_lines, grid_pixels, page_rasters
 
 EDITED = "edited as (select doc_id, page, x, y, (case when (doc_id + x + y) % 17 = 0 then 255 - grey else grey end)::int as other from grid_pixels)"
 MASK = EDITED + ", mask as (select g.doc_id, g.page, g.x, g.y, grey, other, abs(grey - other) > 8 as changed from grid_pixels g join edited using (doc_id, page, x, y))"
 
 
 def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grids with one pixel in seventeen inverted."""
-    other = F.when((F.col("doc_id") + F.col("x") + F.col("y")) % 17 == 0, 255 - F.col("grey")).otherwise(F.col("grey"))
-    return grid_pixels(spark, sf_dir).withColumn("grey", other.cast("int"))
+    """The rasters with one pixel in seventeen inverted."""
+    other = lambda v, x, y: F.when((F.col("doc_id") + x + y) % 17 == 0, 255 - v).otherwise(v).cast("int")
+    return page_rasters(spark, sf_dir).withColumn("rows", F.transform("rows", lambda row, y: F.transform(row, lambda v, x: other(v, x, y))))
 
 
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.visual_diff(grid_pixels(spark, sf_dir), edited(spark, sf_dir))
+    return R.visual_diff(page_rasters(spark, sf_dir), edited(spark, sf_dir))
+
+
+def total(line, value):
+    """Sum of value(pixel) over a scanline."""
+    return F.aggregate(line, F.lit(0).cast("long"), lambda acc, p: acc + value(p))
 
 
 @register("a4_ink_stats", bridged("select doc_id, page, round(avg((255 - grey > 4)::int), 6) as ink_ratio, round(stddev_pop(grey), 6) as stddev from grid_pixels group by all"))
@@ -44,12 +49,14 @@ def content_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("j20_visual_diff_mask", bridged(f"with {MASK} select doc_id, page, y, count(*) as n, sum(changed::int)::bigint as n_changed from mask group by all"))
 def visual_diff_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mask(spark, sf_dir).groupBy("doc_id", "page", "y").agg(F.count("*").alias("n"), F.count_if("changed").alias("n_changed"))
+    lines = R.scanlines(mask(spark, sf_dir))
+    return lines.select("doc_id", "page", "y", F.size("line").cast("long").alias("n"), total("line", lambda p: p["changed"].cast("int")).alias("n_changed"))
 
 
 @register("a7_changed_ratio", bridged(f"with {MASK} select doc_id, page, round(avg(changed::int), 6) as ratio from mask group by all"))
 def changed_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mask(spark, sf_dir).groupBy("doc_id", "page").agg(F.round(F.avg(F.col("changed").cast("int")), 6).alias("ratio"))
+    pixels = mask(spark, sf_dir).withColumn("p", F.flatten("rows"))
+    return pixels.select("doc_id", "page", F.round(total("p", lambda p: p["changed"].cast("int")) / F.size("p"), 6).alias("ratio"))
 
 
 @register("r1_blank_pages", bridged("""
@@ -68,9 +75,9 @@ def blank_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("r3_heatmap", bridged(f"""with {MASK} select doc_id, page, sum(case when changed then floor(other * 0.45 + 255 * 0.55 + 0.5) else other end)::bigint as r,
   sum(case when changed then floor(other * 0.45 + 0.5) else other end)::bigint as g from mask group by all"""))
 def heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    red = F.when(F.col("changed"), F.floor(F.col("other") * 0.45 + 255 * 0.55 + 0.5)).otherwise(F.col("other"))
-    rest = F.when(F.col("changed"), F.floor(F.col("other") * 0.45 + 0.5)).otherwise(F.col("other"))
-    return mask(spark, sf_dir).groupBy("doc_id", "page").agg(F.sum(red).alias("r"), F.sum(rest).alias("g"))
+    red = lambda p: F.when(p["changed"], F.floor(p["other"] * 0.45 + 255 * 0.55 + 0.5)).otherwise(p["other"])
+    rest = lambda p: F.when(p["changed"], F.floor(p["other"] * 0.45 + 0.5)).otherwise(p["other"])
+    return mask(spark, sf_dir).withColumn("p", F.flatten("rows")).select("doc_id", "page", total("p", red).alias("r"), total("p", rest).alias("g"))
 
 
 @register("r4_tone_adjust", bridged("select doc_id, page, y, sum(greatest(0, least(255, round_even((grey - 128) * 1.25 + 128 + 10, 0))))::bigint as total from grid_pixels group by all"))
@@ -89,13 +96,15 @@ local as (select *, sum(s) over w / sum(n) over w as mean from sums window w as
 
 @register("r6_local_mean", bridged(f"with {LOCAL} select doc_id, page, y, round(sum(mean), 3) as total from local group by all"))
 def local_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.local_mean(grid_pixels(spark, sf_dir), 7).groupBy("doc_id", "page", "y").agg(F.round(F.sum("mean"), 3).alias("total"))
+    lines = R.scanlines(R.local_mean(page_rasters(spark, sf_dir), 7), "means")
+    return lines.select("doc_id", "page", "y", F.round(F.aggregate("line", F.lit(0.0), lambda acc, m: acc + m), 3).alias("total"))
 
 
 @register("r7_flatten_adaptive", bridged(f"""with {LOCAL} select doc_id, page, sum(greatest(0, least(255, floor(grey - mean + 220 + 0.5))))::bigint as flat, sum((grey < mean - 12)::int)::bigint as dark from local group by all"""))
 def flatten_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.col("grey") - F.col("mean") + 220 + 0.5)))
-    return R.local_mean(grid_pixels(spark, sf_dir), 7).groupBy("doc_id", "page").agg(F.sum(flat).alias("flat"), F.count_if(F.col("grey") < F.col("mean") - 12).alias("dark"))
+    pixel = lambda v, m: F.struct(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v - m + 220 + 0.5))).alias("flat"), (v < m - 12).cast("int").alias("dark"))
+    pixels = R.local_mean(page_rasters(spark, sf_dir), 7).withColumn("p", F.zip_with(F.flatten("rows"), F.flatten("means"), pixel))
+    return pixels.select("doc_id", "page", total("p", lambda p: p["flat"]).alias("flat"), total("p", lambda p: p["dark"]).alias("dark"))
 
 
 @register("r8_deskew_search")
@@ -111,7 +120,8 @@ with box as (select doc_id, page, (max(x) + min(x)) / 2 as cx, (max(y) + min(y))
 moved as (select doc_id, page, x, y, floor((x - cx) * {_C}::double + (y - cy) * {_S}::double + cx + 0.5)::int as sx, floor((y - cy) * {_C}::double - (x - cx) * {_S}::double + cy + 0.5)::int as sy from grid_pixels join box using (doc_id, page))
 select m.doc_id, m.page, m.y, sum(coalesce(g.grey, 255))::bigint as total from moved m left join grid_pixels g on g.doc_id = m.doc_id and g.page = m.page and g.x = sx and g.y = sy group by all"""))
 def rotate_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rotate_raster(grid_pixels(spark, sf_dir), 2.0).groupBy("doc_id", "page", "y").agg(F.sum("grey").alias("total"))
+    lines = R.scanlines(R.rotate_raster(page_rasters(spark, sf_dir), 2.0))
+    return lines.select("doc_id", "page", "y", total("line", lambda v: v).alias("total"))
 
 
 @register("r2_change_regions")
@@ -122,10 +132,7 @@ def change_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("l5_cap_regions")
 def cap_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 200 regions of each page, and whether there are more: the cap is the feature."""
-    from pyspark.sql import Window
-
-    n = F.count("*").over(Window.partitionBy("doc_id", "page"))
-    return R.change_regions(mask(spark, sf_dir)).withColumn("overflow", n > 200).filter("region < 200")
+    return R.first_regions(R.change_regions(mask(spark, sf_dir)), 200)
 
 
 @register("a6_region_spread", bridged("""
