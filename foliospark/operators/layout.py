@@ -12,9 +12,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.functions.unicode import nfkc
+
 #: Beyond this a coordinate is garbage; and pages with more items are set aside.
 COORDINATE_LIMIT, MAX_ITEMS = 1e6, 20_000
 PAGE = ["doc_id", "page"]
+#: Names of fonts that are bold.
+BOLD = r"(?i)bold|black|heavy"
+
+
+def scan_text_items(raw: DataFrame) -> DataFrame:
+    """Items of (str, a, b, c, d, e, f, width) as a page parser gives them: doc_id, page, line_no, off, str, x0, x1, baseline, size, rotated, font_name.
+
+    Blank items and those without width or size go; compatibility characters are normalised; the size is the length of
+    the matrix's second row, and an item is rotated if its first row leans by more than a tenth.
+    """
+    kept = raw.filter(F.col("str").rlike(r"\S") & (F.col("width") != 0) & (F.hypot("c", "d") != 0))
+    rotated = F.abs("b") > 0.1 * F.hypot("a", "b")
+    return kept.select(
+        *PAGE, "line_no", "off", nfkc(F.col("str")).alias("str"), F.col("e").alias("x0"), (F.col("e") + F.col("width")).alias("x1"), F.col("f").alias("baseline"),
+        F.hypot("c", "d").alias("size"), rotated.alias("rotated"), "font_name",
+    )
 
 
 def sanitise_items(items: DataFrame) -> DataFrame:
@@ -110,6 +128,21 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     return numbered.groupBy(*PAGE, "para").agg(text.alias("text"))
 
 
+def scanned_lines(items: DataFrame) -> DataFrame:
+    """doc_id, page, line_no, text, size, body_size, bold of the lines of scanned items."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "off", "str"))), lambda p: p["str"]), " ")
+    lines = items.groupBy(*PAGE, "line_no").agg(text.alias("text"), F.max("size").alias("size"), F.bool_or(F.col("font_name").rlike(BOLD)).alias("bold"))
+    return lines.join(body_size(items), PAGE)
+
+
+def classify_line(text: Column, size: Column, body: Column, bold: Column) -> Column:
+    """`#` and `##` by the size against the body's, bullet, numbered, `###` for short bold lines, else text."""
+    return (
+        F.when(size / body >= 1.35, "#").when(size / body >= 1.15, "##").when(text.rlike(r"^[•▪◦‣·*]\s+"), "bullet").when(text.rlike(r"^\d{1,2}[.)]\s+"), "numbered")
+        .when(bold & (F.length(text) < 80), "###").otherwise("text")
+    )
+
+
 def list_levels(lines: DataFrame) -> DataFrame:
     """Indent level of each line against the first line of its page."""
     first = F.first("x0").over(Window.partitionBy(*PAGE).orderBy("baseline"))
@@ -185,14 +218,18 @@ def reading_regions(page: pd.DataFrame, body: float, depth: int = 0) -> Iterator
 
 
 def reading_order(items: DataFrame) -> DataFrame:
-    """doc_id, page, line_no, off, region: regions of each page in reading order; pages with too many items are one region."""
+    """doc_id, page, line_no, off, region: regions of each page in reading order.
+
+    A page of more than MAX_ITEMS items isn't cut: its region is -1.
+    """
 
     def cut(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(["baseline", "x0"], kind="stable", ignore_index=True)
         half = (page["size"] * 2 + 0.5).floordiv(1) / 2
         body = float(half.value_counts(sort=True).index[0])
-        parts = reading_regions(page, body) if len(page) <= MAX_ITEMS else [page]
-        return pd.concat([p[["doc_id", "page", "line_no", "off"]].assign(region=i) for i, p in enumerate(parts)])
+        if len(page) > MAX_ITEMS:
+            return page[["doc_id", "page", "line_no", "off"]].assign(region=-1)
+        return pd.concat([p[["doc_id", "page", "line_no", "off"]].assign(region=i) for i, p in enumerate(reading_regions(page, body))])
 
     return sanitise_items(items).groupBy(*PAGE).applyInPandas(cut, "doc_id long, page int, line_no int, off int, region int")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,17 +108,41 @@ def number_pages(pages: DataFrame, group: str, style: str = "n") -> DataFrame:
     return pages.withColumn("label", F.concat(n, F.lit("/"), total.cast("string")))
 
 
+def route_pages(pages: DataFrame, page_fn: Callable[[DataFrame], DataFrame], least: int = 32) -> DataFrame:
+    """(doc_id, page, text): pages with fewer than `least` chars go through page_fn, the others have null text.
+
+    page_fn: the caller's reader of scan pages, from (doc_id, page, chars) to (doc_id, page, text): DataFrame steps, a
+    pandas UDF or mapInPandas around a model. Where it gives a page no row, or several, the query fails with the page's name.
+    """
+    key = ["doc_id", "page"]
+    given = page_fn(pages.filter(F.col("chars") < least)).groupBy(*key).agg(F.count("*").alias("_n"), F.first("text").alias("text"))
+    n, name = F.coalesce("_n", F.lit(0)), F.concat_ws("/", *key)
+    due = F.when(F.col("chars") < least, 1).otherwise(0)
+    wrong = F.raise_error(F.concat(F.lit("the page function gave "), n.cast("string"), F.lit(" results for page "), name))
+    both = pages.join(given, key, "full_outer")
+    return both.select(*key, F.when(n == F.coalesce(due, F.lit(0)), F.col("text")).otherwise(wrong.cast("string")).alias("text"))
+
+
 def walk_tree(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(node, depth, path) in preorder from the roots of (node, parent, title), level by level; cycles are cut."""
+    """(node, depth, path, cut) level by level from the roots of (node, parent, title); cycles are cut.
+
+    cut: the node is at the last depth and has children, which aren't walked.
+    """
     level = nodes.filter("parent is null").select("node", F.lit(0).alias("depth"), F.array("node").alias("path"))
-    found = level
     children = nodes.filter("parent is not null").select(F.col("node").alias("child"), F.col("parent").alias("up"))
+    open_ = F.lit(False)
+    found = level.withColumn("cut", open_)
     for depth in range(1, max_depth):
         level = level.join(children, F.col("node") == F.col("up")).filter(~F.array_contains("path", F.col("child")))
         level = level.select(F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path")).checkpoint()
         if level.isEmpty():
-            break
-        found = found.unionByName(level)
+            return found
+        if depth == max_depth - 1:
+            parents = children.select(F.col("up").alias("_up")).distinct()
+            level = level.join(parents, F.col("node") == F.col("_up"), "left").select("node", "depth", "path", F.col("_up").isNotNull().alias("cut"))
+            found = found.unionByName(level)
+        else:
+            found = found.unionByName(level.withColumn("cut", open_))
     return found
 
 

@@ -11,11 +11,12 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from foliospark.operators.layout import MAX_ITEMS, first_fit_rows, reading_regions, sanitise_items
+from foliospark.operators.layout import BOLD, MAX_ITEMS, first_fit_rows, reading_regions, sanitise_items
 
 MIN_GAP, MIN_GUTTERS, EDGE, COVER = 6.0, 2, 3.0, 0.65
 #: Glyphs that open a list item.
 BULLET = re.compile(r"[•▪◦‣·*]\s+")
+BOLD_NAME = re.compile(BOLD)
 NUMBERED = re.compile(r"(\d{1,2})[.)]\s+")
 
 
@@ -122,7 +123,7 @@ def detect_tables(items: DataFrame) -> DataFrame:
 
 
 def line_texts(part: pd.DataFrame) -> pd.DataFrame:
-    """Rows of items as lines: text, x0, baseline, size."""
+    """Rows of items as lines: text, x0, baseline, size, bold."""
     def join(r: pd.DataFrame) -> str:
         text, last = "", None
         for s, x0, x1, size in r[["str", "x0", "x1", "size"]].itertuples(index=False):
@@ -132,16 +133,17 @@ def line_texts(part: pd.DataFrame) -> pd.DataFrame:
         return " ".join(text.split())
 
     named = with_rows(part).sort_values(["row", "x0"])
-    lines = [(join(r), r["x0"].min(), r["baseline"].mean(), r["size"].max()) for _, r in named.groupby("row", sort=True)]
-    return pd.DataFrame([x for x in lines if x[0]], columns=["text", "x0", "baseline", "size"])
+    lines = [(join(r), r["x0"].min(), r["baseline"].mean(), r["size"].max(), r["font_name"].str.contains(BOLD_NAME).any()) for _, r in named.groupby("row", sort=True)]
+    return pd.DataFrame([x for x in lines if x[0]], columns=["text", "x0", "baseline", "size", "bold"])
 
 
 def region_markdown(part: pd.DataFrame, body: float) -> str:
-    """A region's lines as headings, list items and paragraphs."""
+    """A region's lines as headings, list items and paragraphs; a paragraph of one short bold line is a heading too."""
     lines = line_texts(part)
     out: list[str] = []
     open_ = None  # the last line of the paragraph that is being written
-    for text, x0, baseline, size in lines.itertuples(index=False):
+    alone: list[int] = []  # places of paragraphs of one short bold line
+    for text, x0, baseline, size, bold in lines.itertuples(index=False):
         bullet, number = BULLET.match(text), NUMBERED.match(text)
         if size / body >= 1.15:
             out.append(f"{'#' if size / body >= 1.35 else '##'} {text}")
@@ -154,9 +156,14 @@ def region_markdown(part: pd.DataFrame, body: float) -> str:
         else:
             if open_ is not None and baseline - open_[0] - max(size, open_[1]) <= 0.55 * size:
                 out[-1] += f" {text}"
+                alone = [i for i in alone if i < len(out) - 1]
             else:
+                if bold and len(text) < 80:
+                    alone.append(len(out))
                 out.append(text)
             open_ = baseline, size
+    for i in alone:
+        out[i] = f"### {out[i]}"
     return "\n".join(out)
 
 
@@ -166,12 +173,15 @@ def table_markdown(rows: list[list[str]]) -> str:
 
 
 def page_markdown(items: DataFrame) -> DataFrame:
-    """(doc_id, page, markdown): the first table, with the text above before it and the text below behind it."""
+    """(doc_id, page, markdown, refused): the first table, with the text above before it and the text below behind it.
+
+    A page of more than MAX_ITEMS items has no markdown, and `items` as the reason.
+    """
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(["baseline", "x0"], ignore_index=True)
         if len(page) > MAX_ITEMS:
-            return pd.DataFrame([(page["doc_id"].iloc[0], page["page"].iloc[0], None)], columns=["doc_id", "page", "markdown"])
+            return pd.DataFrame([(page["doc_id"].iloc[0], page["page"].iloc[0], None, "items")], columns=columns)
         body = float(((page["size"] * 2 + 0.5).floordiv(1) / 2).value_counts().index[0])
         text = lambda part: [m for r in reading_regions(part, body) if (m := region_markdown(r, body))] if len(part) else []
         found = next((t for b in bands(with_rows(page)) if (t := table_of(b))), None)
@@ -182,9 +192,10 @@ def page_markdown(items: DataFrame) -> DataFrame:
             top, low = used["baseline"].min(), used["baseline"].max()
             rest = page.drop(index=used.index)
             blocks = [*text(rest[rest["baseline"] < top]), table_markdown(rows), *text(rest[rest["baseline"] > low]), *text(rest[rest["baseline"].between(top, low)])]
-        return pd.DataFrame([(page["doc_id"].iloc[0], page["page"].iloc[0], "\n\n".join(blocks))], columns=["doc_id", "page", "markdown"])
+        return pd.DataFrame([(page["doc_id"].iloc[0], page["page"].iloc[0], "\n\n".join(blocks), None)], columns=columns)
 
-    return sanitise_items(items).groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, markdown string")
+    columns = ["doc_id", "page", "markdown", "refused"]
+    return sanitise_items(items).groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, markdown string, refused string")
 
 
 def group_runs_relative(items: DataFrame, height: float) -> DataFrame:

@@ -26,9 +26,17 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.text_items(spark, sf_dir).groupBy("doc_id", "page", "baseline").agg(F.max("size").alias("size"), F.min("x0").alias("x0"), text.alias("text"))
 
 
-@register("s1_scan_text_items", bridged("select doc_id, page, line_no, str, x0, x1, baseline, size from text_items where trim(str) != '' and x1 > x0 and size > 0"))
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.scan_text_items(bridge.raw_items(spark, sf_dir))
+
+
+def sane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.sanitise_items(scanned(spark, sf_dir))
+
+
+@register("s1_scan_text_items", bridged("select doc_id, page, line_no, off, str, x0, x1, baseline, size, rotated from scanned"))
 def scan_text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridge.text_items(spark, sf_dir).filter("trim(str) != '' and x1 > x0 and size > 0").select("doc_id", "page", "line_no", "str", "x0", "x1", "baseline", "size")
+    return scanned(spark, sf_dir).drop("font_name")
 
 
 @register("s2_scan_item_rects", bridged("select doc_id, page, line_no, x0 as x, 842.0::double - baseline as y, x1 - x0 as w, size as h from text_items"))
@@ -36,9 +44,9 @@ def scan_item_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.text_items(spark, sf_dir).select("doc_id", "page", "line_no", F.col("x0").alias("x"), (F.lit(bridge.HEIGHT) - F.col("baseline")).alias("y"), (F.col("x1") - F.col("x0")).alias("w"), F.col("size").alias("h"))
 
 
-@register("p1_sanitise_items", bridged("select doc_id, page, count(*) as n from text_items where abs(x0) <= 1e6 and abs(x1) <= 1e6 and abs(baseline) <= 1e6 and size > 0 group by all"))
+@register("p1_sanitise_items", bridged("select doc_id, page, line_no, count(*) as n from sane group by all"))
 def sanitise_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.sanitise_items(bridge.text_items(spark, sf_dir)).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+    return sane(spark, sf_dir).groupBy("doc_id", "page", "line_no").agg(F.count("*").alias("n"))
 
 
 @register("w1_band_rows_chain", bridged(f"with {BANDS} select doc_id, page, line_no, off, band from banded"))
@@ -46,9 +54,22 @@ def band_rows_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.banded(bridge.text_items(spark, sf_dir)).select("doc_id", "page", "line_no", "off", "band")
 
 
-@register("w2_band_rows_firstfit", bridged("select doc_id, page, line_no, off, (dense_rank() over (partition by doc_id, page order by baseline) - 1)::int as row_no from text_items"))
+#: First fit spelled out: the rows' means and counts go from item to item of a page.
+FIRST_FIT = """lists as (select doc_id, page, list({'b': baseline, 's': size, 'l': line_no, 'o': off, 'm': []::double[], 'n': []::bigint[], 'r': []::bigint[], 'at': 0::bigint} order by line_no, off) as items from sane group by all),
+folded as (select doc_id, page, items, list_reduce(items, lambda acc, x: {'b': x.b, 's': x.s, 'l': x.l, 'o': x.o,
+    'm': case when list_position(list_transform(acc.m, lambda m: abs(m - x.b) <= greatest(2.0, 0.35 * x.s)), true) is null then list_append(acc.m, x.b)
+      else list_transform(acc.m, lambda m, i: case when i = list_position(list_transform(acc.m, lambda k: abs(k - x.b) <= greatest(2.0, 0.35 * x.s)), true) then m + (x.b - m) / (acc.n[i] + 1) else m end) end,
+    'n': case when list_position(list_transform(acc.m, lambda m: abs(m - x.b) <= greatest(2.0, 0.35 * x.s)), true) is null then list_append(acc.n, 1)
+      else list_transform(acc.n, lambda n, i: n + (i = list_position(list_transform(acc.m, lambda k: abs(k - x.b) <= greatest(2.0, 0.35 * x.s)), true))::bigint) end,
+    'r': list_append(acc.r, coalesce(list_position(list_transform(acc.m, lambda m: abs(m - x.b) <= greatest(2.0, 0.35 * x.s)), true), len(acc.m) + 1)::bigint), 'at': 0::bigint},
+  {'b': 0.0::double, 's': 0.0::double, 'l': 0, 'o': 0, 'm': []::double[], 'n': []::bigint[], 'r': []::bigint[], 'at': 0::bigint}) as f from lists),
+placed as (select doc_id, page, unnest(items) as item, unnest(f.r) as r, f.m as m from folded)
+select doc_id, page, item.l as line_no, item.o as off, len(list_filter(m, lambda y, i: y < m[r] or (y = m[r] and i < r)))::int as row_no from placed"""
+
+
+@register("w2_band_rows_firstfit", bridged(f"with {FIRST_FIT}"))
 def band_rows_firstfit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.first_fit(bridge.text_items(spark, sf_dir))
+    return L.first_fit(sane(spark, sf_dir))
 
 
 @register("w3_split_runs", bridged(f"with {BANDS} select doc_id, page, line_no, off, band, run from runs"))
@@ -93,9 +114,9 @@ def char_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.census(pages)
 
 
-@register("a2_body_size", bridged("select doc_id, page, 10.0::double as body_size from text_items group by all"))
+@register("a2_body_size", bridged("select doc_id, page, body_size from body"))
 def body_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.body_size(bridge.text_items(spark, sf_dir))
+    return L.body_size(sane(spark, sf_dir))
 
 
 @register("a20_page_text", bridged(r"select doc_id, page, trim(regexp_replace(string_agg(str, ' ' order by line_no, off), '\s+', ' ', 'g')) as text from text_items group by all"))
@@ -117,17 +138,18 @@ def list_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.list_levels(page_lines(spark, sf_dir)).select("doc_id", "page", "baseline", "level")
 
 
-@register("f12_classify_layout_line", bridged(rf"""
-with {LINE} select doc_id, page, baseline, case when regexp_matches(text, '^[•▪◦‣·*]\s+') then 'bullet' when regexp_matches(text, '^\d{{1,2}}[.)]\s+') then 'numbered' else 'text' end as kind from lines"""))
+@register("f12_classify_layout_line", bridged(r"""
+with s_lines as (select doc_id, page, line_no, max(size) as size, bool_or(font_name like '%Bold%') as bold, string_agg(str, ' ' order by x0, off) as text from sane group by all)
+select doc_id, page, line_no, case when size / body_size >= 1.35 then '#' when size / body_size >= 1.15 then '##' when regexp_matches(text, '^[•▪◦‣·*]\s+') then 'bullet'
+  when regexp_matches(text, '^\d{1,2}[.)]\s+') then 'numbered' when bold and length(text) < 80 then '###' else 'text' end as kind from s_lines join body using (doc_id, page)"""))
 def classify_layout_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratio = F.col("size") / F.lit(bridge.SIZE)
-    kind = F.when(ratio >= 1.35, "#").when(ratio >= 1.15, "##").when(F.col("text").rlike(r"^[•▪◦‣·*]\s+"), "bullet").when(F.col("text").rlike(r"^\d{1,2}[.)]\s+"), "numbered").otherwise("text")
-    return page_lines(spark, sf_dir).select("doc_id", "page", "baseline", kind.alias("kind"))
+    kind = L.classify_line(F.col("text"), F.col("size"), F.col("body_size"), F.col("bold"))
+    return L.scanned_lines(sane(spark, sf_dir)).select("doc_id", "page", "line_no", kind.alias("kind"))
 
 
 @register("l1_reading_order")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.reading_order(bridge.text_items(spark, sf_dir))
+    return L.reading_order(scanned(spark, sf_dir))
 
 
 @register("l2_census_sample", bridged("select doc_id, page from (select *, max(page) over (partition by doc_id) as n from doc_pages) where page in (1, ceil(n / 2), n)"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import pages as P
 from foliospark.plans.registry import chain, register
-from foliospark.sources.bridge import bridged, doc_pages
+from foliospark.sources.bridge import LINES_PER_PAGE, bridged, doc_pages
 from foliospark.tables import table
 
 GEOM = """geom as (select doc_id, page, coalesce(crop.x, 0.0) as gx, coalesce(crop.y, 0.0) as gy, coalesce(crop.w, width) as gw, coalesce(crop.h, height) as gh, rotation as rot,
@@ -23,7 +23,7 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("s3_scan_page_catalog", bridged("""select doc_id, count(*) as num_pages, any_value(octet_length(encode(text)))::bigint as bytes, any_value(sha256(encode(text)[1:65536])) as fingerprint
-  from doc_pages join documents using (doc_id) group by doc_id""".replace("encode(text)[1:65536]", "text")))
+  from doc_pages join documents using (doc_id) group by doc_id"""))
 def scan_page_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.page_catalog(doc_pages(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content")))
 
@@ -237,10 +237,10 @@ def source_refcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_orderkey", "l_linenumber").alias("refs"))
 
 
-@register("j25_parity_check", bridged(f"""with {N}, a as (select doc_id, n, left(text, 40) as t from n join documents using (doc_id)), b as (select doc_id, case when doc_id % 5 = 0 then n + 1 else n end as m, case when doc_id % 7 = 0 then 'x' else t end as u, doc_id % 11 = 0 as signed from a)
+@register("j25_parity_check", bridged(f"""with {N}, a as (select doc_id, n, array_to_string(string_split(text, chr(10))[1:{LINES_PER_PAGE}], chr(10)) as t from n join documents using (doc_id)), b as (select doc_id, case when doc_id % 5 = 0 then n + 1 else n end as m, case when doc_id % 7 = 0 then 'x' else t end as u, doc_id % 11 = 0 as signed from a)
 select doc_id, case when signed then 'signed' when m = 0 then 'empty' when m != n then 'page-count' when u != t then 'first-page-text' end as reason from a join b using (doc_id)"""))
 def parity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = counts(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("t")), "doc_id")
+    before = counts(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.split("text", "\n"), 1, LINES_PER_PAGE), "\n").alias("t")), "doc_id")
     after = before.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.col("n") + 1).otherwise(F.col("n")).alias("m"), F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("t")).alias("u"), (F.col("doc_id") % 11 == 0).alias("signed"))
     reason = F.when(F.col("signed"), "signed").when(F.col("m") == 0, "empty").when(F.col("m") != F.col("n"), "page-count").when(F.col("u") != F.col("t"), "first-page-text")
     return before.join(after, "doc_id").select("doc_id", reason.alias("reason"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import layout as L
 from foliospark.operators import regions as G
-from foliospark.plans.layout import RUN_TEXT
+from foliospark.plans.layout import RUN_TEXT, sane, scanned
 from foliospark.plans.registry import register
 from foliospark.sources.bridge import HEIGHT, bridged, doc_lines, doc_pages, text_items
 from foliospark.tables import table
@@ -15,17 +15,17 @@ from foliospark.tables import table
 
 @register("w10_detect_tables")
 def detect_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.detect_tables(text_items(spark, sf_dir))
+    return G.detect_tables(scanned(spark, sf_dir))
 
 
 @register("f13_page_markdown")
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.page_markdown(text_items(spark, sf_dir))
+    return G.page_markdown(scanned(spark, sf_dir))
 
 
 @register("w20_group_runs_relative")
 def group_runs_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.group_runs_relative(text_items(spark, sf_dir), HEIGHT)
+    return G.group_runs_relative(sane(spark, sf_dir), HEIGHT)
 
 
 @register("a12_coverage_guard", bridged("""

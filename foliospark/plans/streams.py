@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.operators.pages import route_pages
 from foliospark.plans.registry import register
 from foliospark.sources.bridge import STATES, bridged, doc_lines
 from foliospark.streaming import flows as S
@@ -40,10 +40,9 @@ def stream_page_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("v3_route_scan_pages", bridged("""select doc_id, page, case when n < 32 then 'SCAN ' || doc_id || '/' || page end as text from (select doc_id, page, sum(length(line)) as n from doc_lines group by all)"""))
 def route_scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with under 32 characters go to the caller's function, here one that names the page; the others don't."""
-    @F.pandas_udf("string")
-    def read(doc: pd.Series, page: pd.Series) -> pd.Series:
-        return "SCAN " + doc.astype(str) + "/" + page.astype(str)
 
-    pages = doc_lines(spark, sf_dir).groupBy("doc_id", "page").agg(F.sum(F.length("line")).alias("n"))
-    scans = pages.filter("n < 32").select("doc_id", "page", read("doc_id", "page").alias("text"))
-    return pages.join(scans, ["doc_id", "page"], "left").select("doc_id", "page", "text")
+    def read(scans: DataFrame) -> DataFrame:
+        return scans.select("doc_id", "page", F.concat(F.lit("SCAN "), "doc_id", F.lit("/"), "page").alias("text"))
+
+    pages = doc_lines(spark, sf_dir).groupBy("doc_id", "page").agg(F.sum(F.length("line")).alias("chars"))
+    return route_pages(pages, read)

@@ -18,6 +18,8 @@ LINES_PER_PAGE = 8
 #: The synthetic layout: left margin, advance of a character, top margin, pitch, type size; and the page.
 LEFT, ADVANCE, TOP, PITCH, SIZE = 48.0, 5.0, 100.0, 16.0, 10.0
 WIDTH, HEIGHT = 595.0, 842.0
+#: Of the raw items: the pitch of columns, and characters that normalisation takes apart or makes narrow.
+COLUMN, LIGATURE, WIDE_ONE = 130.0, "\ufb01", "\uff11"
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +41,32 @@ def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens as a page parser would give them: doc_id, page, line_no, off, str, a, b, c, d, e, f, width, font_name.
+
+    Type sizes, slants, rotated lines, uneven baselines, columns, ligatures and wide digits, blank items, items without
+    size and garbage coordinates all follow the ids and places: no two operators see the same from them.
+    """
+    tokens = doc_lines(spark, sf_dir).repartition("doc_id", "page").select("doc_id", "page", "line_no", "line_in_page", F.posexplode(F.split("line", " ")).alias("j", "str"))
+    before = Window.partitionBy("doc_id", "page", "line_no").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    t = tokens.withColumn("off", F.coalesce(F.sum(F.length("str") + 1).over(before), F.lit(0)).cast("int"))
+    line, doc, off = F.col("line_no"), F.col("doc_id"), F.col("off")
+    tabular = doc % 4 == 1
+    t = t.filter(~tabular | (F.col("j") < 4))  # four columns
+    size = F.when((doc + off) % 97 == 3, 0.0).when((7 * doc + 3 * line) % 23 == 0, 14.0).when((7 * doc + 3 * line) % 23 == 1, 12.0).otherwise(SIZE)
+    turned, slant = (doc + line) % 29 == 5, F.when((doc + line) % 7 == 0, 0.05).otherwise(0.0)
+    x = F.when((doc + off) % 101 == 7, 1e9).when(tabular, LEFT + COLUMN * F.col("j")).otherwise(LEFT + ADVANCE * off)
+    jitter = F.when(tabular, 0.0).otherwise(((7 * off + doc) % 5 - 2) * 0.9)
+    marked = F.replace(F.col("str"), F.lit("fi"), F.lit(LIGATURE))
+    marked = F.when(doc % 3 == 0, F.replace(marked, F.lit("1"), F.lit(WIDE_ONE))).otherwise(marked)
+    return t.select(
+        "doc_id", "page", "line_no", "off", marked.alias("str"), F.when(turned, 0.0).otherwise(size).alias("a"), F.when(turned, size).otherwise(size * slant).alias("b"),
+        F.when(turned, -size).otherwise(0.0).alias("c"), F.when(turned, 0.0).otherwise(size).alias("d"), x.cast("double").alias("e"),
+        (F.lit(TOP) + PITCH * F.col("line_in_page") + jitter).alias("f"), (ADVANCE * F.length("str")).alias("width"),
+        F.when((doc + line) % 19 == 4, "Serif-Bold").otherwise("Serif").alias("font_name"),
+    )
+
+
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page, width, height, rotation, crop: one row for each page; rotation and crop follow the ids."""
     pages = table(spark, sf_dir, "documents").select("doc_id", F.ceil(F.size(F.split("text", "\n")) / LINES_PER_PAGE).cast("int").alias("n"))
@@ -55,6 +83,20 @@ def grid_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.filter("ch != ''").select("doc_id", "page", "x", "y", grey.cast("int").alias("grey"))
 
 
+def page_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page, rows: the pixels of grid_pixels as scanlines, array<array<int>>; pages without pixels have no row.
+
+    The lines of a page are cut out of the document's: nothing is grouped or shuffled.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    first = lambda page: (page - 1) * LINES_PER_PAGE + 1
+    numbers = F.sequence(F.lit(1), F.ceil(F.size("lines") / LINES_PER_PAGE).cast("int"))
+    cut = F.transform(numbers, lambda page: F.struct(page.alias("page"), F.slice("lines", first(page), F.lit(LINES_PER_PAGE)).alias("lines")))
+    grey = lambda ch: F.when(ch == " ", 255).otherwise(F.lit(255) - (F.ascii(ch) % 200 + 5)).cast("int")
+    pages = docs.filter("lines is not null").select("doc_id", F.explode(cut).alias("p")).select("doc_id", "p.*").filter(F.exists("lines", lambda x: x != ""))
+    return pages.select("doc_id", "page", F.transform("lines", lambda x: F.transform(F.filter(F.split(x, ""), lambda ch: ch != ""), grey)).alias("rows"))
+
+
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, seq, state: each user's events in order, as moves of a queue item."""
     kinds = table(spark, sf_dir, "events").withColumn("item_id", F.col("user_id"))
@@ -69,10 +111,21 @@ STATES = ["queued", "running", "awaiting-input", "paused", "succeeded", "failed"
 VIEWS = {
     "doc_lines": f"""select doc_id, line_no, (line_no // {LINES_PER_PAGE} + 1)::int as page, line_no % {LINES_PER_PAGE} as line_in_page, line from (
         select doc_id, unnest(string_split(text, chr(10))) as line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::int as line_no from documents)""",
-    "tokens": """select doc_id, page, line_no, line_in_page, str, coalesce(sum(length(str) + 1) over (partition by doc_id, line_no order by j rows between unbounded preceding and 1 preceding), 0)::int as off
+    "tokens": """select doc_id, page, line_no, line_in_page, str, j, coalesce(sum(length(str) + 1) over (partition by doc_id, line_no order by j rows between unbounded preceding and 1 preceding), 0)::int as off
         from (select doc_id, page, line_no, line_in_page, unnest(string_split(line, ' ')) as str, generate_subscripts(string_split(line, ' '), 1) as j from doc_lines)""",
     "text_items": f"""select doc_id, page, line_no, off, str, {LEFT}::double + {ADVANCE}::double * off as x0, {LEFT}::double + {ADVANCE}::double * off + {ADVANCE}::double * length(str) as x1,
         {TOP}::double + {PITCH}::double * line_in_page as baseline, {SIZE}::double as size, false as rotated from tokens where str != ''""",
+    "raw_items": f"""select doc_id, page, line_no, off, case when doc_id % 3 = 0 then replace(replace(str, 'fi', '{LIGATURE}'), '1', '{WIDE_ONE}') else replace(str, 'fi', '{LIGATURE}') end as str,
+        case when turned then 0.0 else s end as a, case when turned then s when (doc_id + line_no) % 7 = 0 then s * 0.05::double else 0.0 end as b, case when turned then -s else 0.0 end as c, case when turned then 0.0 else s end as d,
+        case when (doc_id + off) % 101 = 7 then 1e9::double when doc_id % 4 = 1 then {LEFT}::double + {COLUMN}::double * (j - 1) else {LEFT}::double + {ADVANCE}::double * off end as e,
+        {TOP}::double + {PITCH}::double * line_in_page + case when doc_id % 4 = 1 then 0.0::double else ((7 * off + doc_id) % 5 - 2) * 0.9::double end as f, {ADVANCE}::double * length(str) as width,
+        case when (doc_id + line_no) % 19 = 4 then 'Serif-Bold' else 'Serif' end as font_name
+        from (select *, (doc_id + line_no) % 29 = 5 as turned, (case when (doc_id + off) % 97 = 3 then 0.0 when (7 * doc_id + 3 * line_no) % 23 = 0 then 14.0 when (7 * doc_id + 3 * line_no) % 23 = 1 then 12.0 else 10.0 end)::double as s from tokens where doc_id % 4 != 1 or j <= 4)""",
+    "scanned": f"""select doc_id, page, line_no, off, replace(replace(str, '{LIGATURE}', 'fi'), '{WIDE_ONE}', '1') as str, e as x0, e + width as x1, f as baseline, sqrt(c * c + d * d) as size, abs(b) > 0.1 * sqrt(a * a + b * b) as rotated, font_name
+        from raw_items where regexp_matches(str, '[^\\s]') and width != 0 and (c != 0 or d != 0)""",
+    "sane": "select * from scanned where abs(x0) <= 1e6 and abs(x1) <= 1e6 and abs(baseline) <= 1e6 and size > 0",
+    "body": """select doc_id, page, body_size from (select doc_id, page, half as body_size, row_number() over (partition by doc_id, page order by count(*) desc, min(struct_pack(l := line_no, o := off))) as k
+        from (select *, floor(size * 2 + 0.5) / 2 as half from sane) group by doc_id, page, half) where k = 1""",
     "doc_pages": f"""select doc_id, page::int as page, {WIDTH}::double as width, {HEIGHT}::double as height, ((doc_id + page) % 4 * 90)::int as rotation,
         case when doc_id % 2 = 0 then {{'x': 20.0::double, 'y': 30.0::double, 'w': 500.0::double, 'h': 700.0::double}} end as crop
         from (select doc_id, unnest(range(1, (len(string_split(text, chr(10))) + {LINES_PER_PAGE} - 1) // {LINES_PER_PAGE} + 1)) as page from documents)""",

@@ -14,6 +14,7 @@ from foliospark.operators import layout as L
 from foliospark.operators import pages as P
 from foliospark.operators import raster as R
 from foliospark.operators import redact as D
+from foliospark.operators import regions as G
 from foliospark.plans import catalog, registry
 from foliospark.sources import files as S
 
@@ -165,7 +166,9 @@ def test_words_glue_and_split(spark):
 def test_blank_and_regions(spark):
     cells = [(1, 1, x, y, 0 if (x, y) in {(1, 1), (2, 2), (7, 7)} else 255) for x in range(10) for y in range(10)]
     a = spark.createDataFrame(cells, "doc_id long, page int, x int, y int, grey int")
-    mask = R.visual_diff(a, a.withColumn("grey", F.lit(255)))
+    rows = [[0 if (x, y) in {(1, 1), (2, 2), (7, 7)} else 255 for x in range(10)] for y in range(10)]
+    page = spark.createDataFrame([(1, 1, rows)], "doc_id long, page int, rows array<array<int>>")
+    mask = R.visual_diff(page, page.withColumn("rows", F.transform("rows", lambda r: F.transform(r, lambda v: F.lit(255)))))
     assert sorted((r.x0, r.y0, r.x1, r.y1, r.ink) for r in R.change_regions(mask).collect()) == [(1, 1, 2, 2, 2), (7, 7, 7, 7, 1)]
     flat = R.ink_stats(a.withColumn("grey", F.lit(100))).select(R.classify_blank(F.col("ink_ratio"), F.col("stddev"), F.lit(False))).first()[0]
     assert flat == "content"
@@ -221,3 +224,91 @@ def test_registry_refuses_duplicates():
 def test_chain(spark):
     df = registry.chain(spark.range(5), [(lambda d, n: d.filter(F.col("id") >= n), {"n": 2}), (lambda d: d.withColumn("x", F.col("id") * 2), {})])
     assert [r.x for r in df.collect()] == [4, 6, 8]
+
+
+def test_local_mean_and_rotation(spark):
+    """Rows of any length, against loops over the pixels."""
+    import math
+    import random
+
+    rng = random.Random(1)
+    rows = [[rng.randrange(256) for _ in range(n)] for n in (9, 0, 14, 3, 11)]
+    pages = spark.createDataFrame([(1, 1, rows), (2, 1, [[], [7]])], "doc_id long, page int, rows array<array<int>>")
+    got = {r.doc_id: r.means for r in R.local_mean(pages, 2).collect()}
+
+    def mean(y, x):
+        box = [rows[j][i] for j in range(max(0, y - 2), min(5, y + 3)) if len(rows[j]) > x for i in range(max(0, x - 2), min(len(rows[j]), x + 3))]
+        return sum(box) / len(box)
+
+    assert got[2] == [[], [7.0]]
+    assert [[round(v, 9) for v in r] for r in got[1]] == [[round(mean(y, x), 9) for x in range(len(r))] for y, r in enumerate(rows)]
+    turned = {r.doc_id: r.rows for r in R.rotate_raster(pages, 20.0).collect()}
+    s, c, cx, cy = math.sin(math.radians(20)), math.cos(math.radians(20)), 6.5, 2.0
+
+    def source(x, y):
+        at = math.floor((x - cx) * c + (y - cy) * s + cx + 0.5), math.floor((y - cy) * c - (x - cx) * s + cy + 0.5)
+        return rows[at[1]][at[0]] if 0 <= at[1] < 5 and 0 <= at[0] < len(rows[at[1]]) else 255
+
+    assert turned[1] == [[source(x, y) for x in range(len(r))] for y, r in enumerate(rows)] and turned[2] == [[], [7]]
+
+
+def test_scanned_items(spark):
+    """Blank, narrow and sizeless items go; sizes and turns come from the matrix; characters are normalised."""
+    raw = [
+        ("\ufb01rst \uff11", 10.0, 0.5, 0.0, 10.0, 30.0), ("up", 0.0, 12.0, -12.0, 0.0, 10.0), (" ", 10.0, 0.0, 0.0, 10.0, 5.0), ("thin", 10.0, 0.0, 0.0, 10.0, 0.0), ("none", 10.0, 0.0, 0.0, 0.0, 20.0),
+        ("leans", 10.0, 1.2, 3.0, 4.0, 20.0),
+    ]
+    df = spark.createDataFrame([(1, 1, i, 0, *r[:5], 50.0, 100.0, r[5], "Serif") for i, r in enumerate(raw)], "doc_id long, page int, line_no int, off int, str string, a double, b double, c double, d double, e double, f double, width double, font_name string")
+    got = {r.str: (r.x0, r.x1, r.baseline, r["size"], r.rotated) for r in L.scan_text_items(df).collect()}
+    assert got == {"first 1": (50.0, 80.0, 100.0, 10.0, False), "up": (50.0, 60.0, 100.0, 12.0, True), "leans": (50.0, 70.0, 100.0, 5.0, True)}
+
+
+def page_items(spark, cells, page=1):
+    """Items from (str, x0, baseline, size, font)."""
+    rows = [(1, page, i, 0, s, float(x), float(x) + 5.0 * len(s), float(b), float(z), False, f) for i, (s, x, b, z, f) in enumerate(cells)]
+    return spark.createDataFrame(rows, "doc_id long, page int, line_no int, off int, str string, x0 double, x1 double, baseline double, size double, rotated boolean, font_name string")
+
+
+TABLE = [(f"r{r}c{c}", 50 + 130 * c, 200 + 16 * r, 10, "Serif") for r in range(4) for c in range(3)]
+
+
+def test_tables_and_markdown(spark):
+    """A table between a heading and text, found with its cells; a bold line is a heading, list items keep their marks."""
+    text = [("Title", 50, 60, 15, "Serif"), ("Under", 50, 90, 12, "Serif"), ("Short", 50, 120, 10, "Serif-Bold"), ("below one", 50, 400, 10, "Serif"), ("two", 50, 412, 10, "Serif"), ("3) third", 62, 460, 10, "Serif"), ("• dot", 50, 490, 10, "Serif")]
+    items = page_items(spark, TABLE + text)
+    found = [r for r in G.detect_tables(items).collect() if r.rows]
+    assert [r.rows for r in found] == [[[f"r{r}c{c}" for c in range(3)] for r in range(4)]] and found[0].refused is None
+    got = G.page_markdown(items).first()
+    assert got.refused is None
+    want = ["# Title", "## Under", "### Short", "| r0c0 | r0c1 | r0c2 |", "| --- | --- | --- |", "| r1c0 | r1c1 | r1c2 |", "| r2c0 | r2c1 | r2c2 |", "| r3c0 | r3c1 | r3c2 |", "below one two", "3. third", "- dot"]
+    assert [x.strip() for x in got.markdown.split("\n") if x.strip()] == want
+    turned = G.detect_tables(items.withColumn("rotated", F.col("str") == "r1c1")).collect()
+    assert [r.refused for r in turned if r.refused] == ["rotated"] and not any(r.rows for r in turned)
+
+
+def test_pages_with_too_many_items(spark):
+    from foliospark.operators.layout import MAX_ITEMS
+
+    many = spark.range(MAX_ITEMS + 1).selectExpr("1L as doc_id", "1 as page", "cast(id as int) as line_no", "0 as off", "'x' as str", "cast(id % 500 as double) as x0", "cast(id % 500 + 5 as double) as x1", "cast(id div 500 * 12 as double) as baseline", "10D as size", "false as rotated", "'Serif' as font_name")
+    assert [r.refused for r in G.detect_tables(many).collect()] == ["items"] and G.page_markdown(many).first().refused == "items"
+    assert L.reading_order(many).filter("region = -1").count() == MAX_ITEMS + 1
+    few = G.detect_tables(many.limit(MAX_ITEMS)).collect()
+    assert not any(r.refused == "items" for r in few)
+
+
+def test_runs_by_the_tallest(spark):
+    items = page_items(spark, [("ab", 50, 100, 10, "S"), ("cd", 60, 101, 14, "S"), ("far", 200, 100, 10, "S"), ("low", 50, 120, 10, "S")])
+    got = sorted((r.text, r.x0, r.x1) for r in G.group_runs_relative(items, 842.0).collect())
+    assert got == [("abcd", 50.0, 70.0), ("far", 200.0, 215.0), ("low", 50.0, 65.0)]
+
+
+def test_cap_of_regions():
+    """Two hundred regions of a page are kept, and the rest is told of."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    rows = [[0 if x % 2 == 0 and y % 2 == 0 else 255 for x in range(40)] for y in range(21)]
+    page = spark.createDataFrame([(1, 1, rows), (2, 1, rows[:5])], "doc_id long, page int, rows array<array<int>>")
+    mask = R.visual_diff(page, page.withColumn("rows", F.transform("rows", lambda r: F.transform(r, lambda v: F.lit(255)))))
+    got = R.first_regions(R.change_regions(mask), 200).groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("overflow").alias("o")).collect()
+    assert {r.doc_id: (r.n, r.o) for r in got} == {1: (200, True), 2: (60, False)}
