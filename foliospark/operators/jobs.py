@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.storage import checkpointed
+
 #: Moves that a queue item may make.
 MOVES = {
     "queued": ["running", "cancelled"],
@@ -30,11 +32,13 @@ def search_rank(docs: DataFrame, key: str, tests: list[tuple[str, str, int]], re
 def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """df with its place in the order from 1: sorted by range, counted by range, so that no task holds all rows."""
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*by)
+    # a checkpoint, as the bounds of ranges are sampled and both uses must see the same ones
+    ranged = checkpointed(df.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
     ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
     sizes = ranged.groupBy("_part").count()
     before = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranged.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, (F.col("_before") + F.col("_in")).cast("int")).drop("_part", "_in", "_p", "_before")
+    # a row for each shuffle partition, so the broadcast doesn't grow with df
+    return ranged.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_part", "_in", "_p", "_before")
 
 
 def first_k(df: DataFrame, group: list[str], order: list[str], k: int) -> DataFrame:

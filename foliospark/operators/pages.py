@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.storage import checkpointed
+
 
 def page_catalog(pages: DataFrame, files: DataFrame) -> DataFrame:
     """(doc_id, num_pages, bytes, fingerprint): the fingerprint is that of the first 64 KiB."""
@@ -134,7 +136,8 @@ def walk_tree(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
     found = level.withColumn("cut", open_)
     for depth in range(1, max_depth):
         level = level.join(children, F.col("node") == F.col("up")).filter(~F.array_contains("path", F.col("child")))
-        level = level.select(F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path")).checkpoint()
+        level = level.select(F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path"))
+        level = checkpointed(level)
         if level.isEmpty():
             return found
         if depth == max_depth - 1:

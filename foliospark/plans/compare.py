@@ -172,7 +172,14 @@ def plan_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.plan(pages.filter("page % 2 = 1"), pages.filter("page % 3 = 1").select("doc_id", "page", choice.alias("choice")))
 
 
-@register("j11_residue_scan", "select doc_id, needle, 'utf8' as enc from documents join (select lower(n_name) as needle from nation union select 'mit license' union select 'MIT License' union select 'password') on contains(text, needle)")
+@register("j11_residue_scan", """
+with needles as (select lower(n_name) as needle from nation union select 'mit license' union select 'MIT License' union select 'password'),
+  wide as (select needle, string_split(needle, '') as chars from needles),
+  forms as (select needle, 'utf8' as enc, needle as form from needles
+    union all select needle, 'hex-utf8', lower(hex(encode(needle))) from needles
+    union all select needle, 'utf16be', array_to_string(list_transform(chars, lambda c: chr(0) || c), '') from wide
+    union all select needle, 'hex-utf16be', lower(array_to_string(list_transform(chars, lambda c: '00' || hex(encode(c))), '')) from wide)
+select doc_id, needle, enc from documents join forms on contains(text, form)""")  # the needles are ASCII; a byte order mark is never in UTF-8
 def residue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     needles = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("needle")).union(spark.createDataFrame([("mit license",), ("MIT License",), ("password",)], ["needle"])).distinct()
     return R.residue(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content")), needles)

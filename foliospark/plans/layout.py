@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.operators import layout as L
+from foliospark.operators.redact import keyword_hits
 from foliospark.plans.registry import register
 from foliospark.sources import bridge
 from foliospark.sources.bridge import bridged
+from foliospark.tables import table
 
 BANDS = """banded as (select *, (sum(case when abs(pb - baseline) > greatest(2.0, size * 0.35) then 1 else 0 end) over (partition by doc_id, page order by baseline, x0))::int as band
   from (select *, lag(baseline) over (partition by doc_id, page order by baseline, x0) as pb from text_items)),
@@ -162,10 +164,7 @@ def census_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 with {RUN_TEXT}, keys as (select distinct lower(r_name) as keyword from region union select lower(n_name) from nation union select 'the' union select 'und')
 select doc_id, page, band, run, keyword, ((length(text) - length(replace(lower(text), keyword, ''))) / length(keyword))::int as n_hits from run_text join keys on contains(lower(text), keyword)"""))
 def keyword_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from foliospark.functions.text import count_matches
-    from foliospark.tables import table
-
-    keys = table(spark, sf_dir, "region").select(F.lower("r_name").alias("keyword")).union(table(spark, sf_dir, "nation").select(F.lower("n_name"))).union(spark.createDataFrame([("the",), ("und",)], ["keyword"])).distinct()
-    runs = L.run_texts(bridge.text_items(spark, sf_dir))
-    hits = F.broadcast(keys) if keys.count() <= 10_000 else keys  # a stated list of keywords
-    return runs.join(hits, F.lower("text").contains(F.col("keyword"))).select("doc_id", "page", "band", "run", "keyword", count_matches(F.col("text"), F.col("keyword")).alias("n_hits"))
+    keys = table(spark, sf_dir, "region").select(F.lower("r_name").alias("keyword")).union(table(spark, sf_dir, "nation").select(F.lower("n_name")))
+    keys = keys.union(spark.createDataFrame([("the",), ("und",)], ["keyword"]))
+    hits = keyword_hits(L.run_texts(bridge.text_items(spark, sf_dir)), keys)
+    return hits.select("doc_id", "page", "band", "run", "keyword", "n_hits")

@@ -219,8 +219,6 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("j24_walk_tree", f"""with recursive {TREE}, walk as (select node, 0 as depth, node as path from nodes where parent is null
   union all select n.node, depth + 1, path || '/' || n.node from nodes n join walk w on n.parent = w.node) select node, depth, path from walk""")
 def walk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
     return P.walk_tree(tree(spark, sf_dir)).select("node", "depth", F.array_join("path", "/").alias("path"))
 
 

@@ -195,7 +195,7 @@ def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank(docs, "c_custkey", [("=", "customer#000000001", 100), ("^", "customer#00000001", 90), ("~", "00000001", 70)], "00000001", 20)
 
 
-@register("l7_natural_name_sort", r"""select page_id, (row_number() over (order by a, b, c, page_id))::int as pos from (
+@register("l7_natural_name_sort", r"""select page_id, row_number() over (order by a, b, c, page_id) as pos from (
   select page_id, lower(regexp_extract(url, '^(.*?)(\d+)', 1)) as a, try_cast(regexp_extract(url, '^(.*?)(\d+)', 2) as bigint) as b, lower(url) as c from pages)""")
 def natural_name_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.operators.jobs import numbered

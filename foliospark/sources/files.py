@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import name_error
+from foliospark.storage import checkpointed
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -73,8 +74,6 @@ def resolve_names(names: DataFrame, mark: str = "-", range_rows: int = 200_000)
     as a name that has lost its place to its parent is numbered from 2 itself.
     """
     spark = names.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
     name, low = F.col("name"), F.col("low")
     linted = names.select(F.col("batch").cast("string"), F.col("idx").cast("long"), "name", name_error(name).alias("error"))
     good = linted.filter(F.col("error").isNull() & name.isNotNull()).withColumn("low", F.lower("name"))
@@ -85,7 +84,8 @@ def resolve_names(names: DataFrame, mark: str = "-", range_rows: int = 200_000)
     parent = F.coalesce(*(F.when(fits, F.struct(F.concat(stem, ext).alias("low"), n.cast("long").alias("n"))) for stem, n, ext, fits in parsed))
     firsts = good.groupBy("batch", "low").agg(F.min("idx").alias("idx"))
     children = firsts.withColumn("parent", parent).filter("parent is not null").select(F.col("batch").alias("b"), F.col("parent.low").alias("of"), F.col("parent.n").alias("n"), "idx", F.col("low").alias("child"))
-    clashes = children.join(firsts.select("batch", "low"), F.col("b").eqNullSafe(F.col("batch")) & (F.col("of") == low)).select("batch", "low", "n", "idx", "child").checkpoint()
+    both = children.join(firsts.select("batch", "low"), F.col("b").eqNullSafe(F.col("batch")) & (F.col("of") == low))
+    clashes = checkpointed(both.select("batch", "low", "n", "idx", "child"))
 
     rows = good.select("batch", "low", "idx", "name", F.lit(1).alias("real"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("child"))
     any_clash = not clashes.isEmpty()
@@ -95,10 +95,10 @@ def resolve_names(names: DataFrame, mark: str = "-", range_rows: int = 200_000)
     if not any_clash:
         numbered = placed.withColumn("n", F.col("rank") + 1)
     else:
-        placed = placed.checkpoint()
+        placed = checkpointed(placed)
         # m: how many of the parent's rows come before the child's first
         met = placed.filter("real = 0").groupBy("batch", "low").agg(F.array_sort(F.collect_list(F.struct("n", F.col("rank").alias("m"), "child"))).alias("met"))
-        met = met.select(F.col("batch").alias("_b"), F.col("low").alias("_l"), "met").checkpoint()
+        met = checkpointed(met.select(F.col("batch").alias("_b"), F.col("low").alias("_l"), "met"))
         lost = spark.createDataFrame([], "batch string, low string")
         skips = F.aggregate(
             "met", F.array().cast("array<long>"), lambda acc, x: F.when(x["n"] - 1 - F.col("late") - F.size(acc) >= x["m"], F.concat(acc, F.array(x["n"]))).otherwise(acc)
@@ -106,9 +106,9 @@ def resolve_names(names: DataFrame, mark: str = "-", range_rows: int = 200_000)
         while True:
             late = lost.select(F.col("batch").alias("_lb"), F.col("low").alias("_ll"), F.lit(1).alias("late"))
             judged = met.join(late, F.col("_b").eqNullSafe(F.col("_lb")) & (F.col("_l") == F.col("_ll")), "left").select("_b", "_l", "met", F.coalesce("late", F.lit(0)).alias("late"))
-            judged = judged.withColumn("skips", skips).checkpoint()
+            judged = checkpointed(judged.withColumn("skips", skips))
             now = judged.select(F.col("_b").alias("batch"), F.explode("met").alias("x"), "skips").filter(~F.array_contains("skips", F.col("x.n"))).filter(F.col("x.m") > 0)
-            now = now.select("batch", F.col("x.child").alias("low")).checkpoint()
+            now = checkpointed(now.select("batch", F.col("x.child").alias("low")))
             if now.exceptAll(lost).isEmpty() and lost.exceptAll(now).isEmpty():
                 break
             lost = now

@@ -16,16 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliospark.operators.jobs import MOVES
+from foliospark.storage import shared_dir
 
 LATENESS = "1 hour"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster names; Spark's own default only where none is named."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{where.rstrip('/')}/foliospark-streams/{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of Parquet files."""
     path = f"{sf_dir}/events.parquet"
@@ -42,7 +37,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """The stream's result over all that is there: written to the shared folder, then read."""
     spark = stream.sparkSession
-    at = shared_dir(spark)
+    at = f"{shared_dir(spark)}/foliospark-streams/{uuid.uuid4().hex}"
     if mode == "append":
         query = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start(f"{at}/out")
     else:  # a result that is replaced as a whole: the last batch stands

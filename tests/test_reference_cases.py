@@ -221,6 +221,59 @@ def test_registry_refuses_duplicates():
         registry.register(name)(lambda spark, sf_dir: None)
 
 
+def test_registry_versions(monkeypatch):
+    monkeypatch.setattr(registry, "OPERATIONS", {})
+    for version in (2, 10, 1):
+        registry.register("a", version=version)(version)
+    registry.register("b")("b")
+    assert set(registry.OPERATIONS) == {"a.v1", "a.v2", "a.v10", "b.v1"}
+    assert registry.latest(registry.OPERATIONS) == {"a": 10, "b": "b"}
+
+
+def test_dedupe_proposals(spark):
+    """A mark goes if an earlier kept one of its page covers it; one that went covers nothing."""
+    schema = "doc_id long, page int, mark_id int, nx double, ny double, nw double, nh double"
+    rows = [
+        (1, 1, 0, 0.2, 0.2, 0.3, 0.1), (1, 1, 1, 0.21, 0.21, 0.1, 0.05), (1, 1, 2, 0.185, 0.2, 0.33, 0.11), (1, 1, 3, 0.17, 0.2, 0.36, 0.11), (1, 1, 4, 0.175, 0.2, 0.02, 0.02),
+        (1, 1, 5, 0.6, 0.6, 0.1, 0.1), (1, 2, 1, 0.21, 0.21, 0.1, 0.05), (2, 1, 1, 0.21, 0.21, 0.1, 0.05),
+    ]
+    got = D.dedupe_proposals(spark.createDataFrame(rows[::-1], schema)).collect()
+    assert sorted(tuple(r) for r in got) == [rows[i] for i in (0, 3, 5, 6, 7)]
+    assert D.dedupe_proposals(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_text_diff_clauses(spark):
+    """Changed runs are clauses of words; what stays, goes and comes is what both texts hold."""
+    rng = random.Random(3)
+    texts = [(i, *(" ".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(2))) for i in range(60)]
+    planted = [(100, "the fee is due in May", "the large fee was due\n in  May 2020"), (101, None, "all new"), (102, "gone", None), (103, "same", " same "), (104, " ".join(["x"] * 1200), " ".join(["y"] * 1200))]
+    got = {r.pair_id: r for r in C.text_diff_clauses(spark.createDataFrame(texts + planted, "pair_id long, a string, b string")).collect()}
+    assert (got[100].added, got[100].removed) == (["large", "was", "2020"], ["is"])
+    assert (got[101].added, got[101].removed) == (["all new"], []) and (got[102].added, got[102].removed) == ([], ["gone"])
+    assert (got[103].added, got[103].removed, got[103].wholesale) == ([], [], False)
+    assert (got[104].added, got[104].removed, got[104].wholesale) == ([], [], True)
+    for i, a, b in texts:
+        x, y = a.split(), b.split()
+        came, went = (" ".join(c).split() for c in (got[i].added, got[i].removed))
+        assert len(x) - len(went) == len(y) - len(came) == lcs(x, y)
+        assert sorted(x + came) == sorted(y + went)
+
+
+def test_stated_lists(spark):
+    texts = spark.createDataFrame([(1, "One fish, one FISH"), (2, "none"), (3, None)], "i int, text string")
+    words = spark.createDataFrame([("one",), ("fish",), ("one",)], ["keyword"])
+    assert sorted((r.i, r.keyword, r.n_hits) for r in D.keyword_hits(texts, words).collect()) == [(1, "fish", 2), (1, "one", 2), (2, "one", 1)]
+    with pytest.raises(ValueError, match="needles"):
+        D.keyword_hits(texts, spark.range(D.MOST_NEEDLES + 1).selectExpr("string(id) as keyword"))
+
+
+def test_numbered(spark):
+    df = spark.range(5000).selectExpr("id", "hash(id) as h", "id % 3 as k")
+    got = J.numbered(df, ["k", "h"], "pos").orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(1, 5001)) and [(r.k, r.h) for r in got] == sorted((r.k, r.h) for r in got)
+    assert J.numbered(df.limit(0), ["k"], "pos").count() == 0
+
+
 def test_chain(spark):
     df = registry.chain(spark.range(5), [(lambda d, n: d.filter(F.col("id") >= n), {"n": 2}), (lambda d: d.withColumn("x", F.col("id") * 2), {})])
     assert [r.x for r in df.collect()] == [4, 6, 8]
