@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import host_reputation, language, licenses, line_frequency, minmax, packing, pii, repeats, sharding, sql, winnowing
+from foliospark.llm import chat, host_reputation, language, licenses, line_frequency, minmax, packing, pii, repeats, search, sharding, spelling, sql, winnowing
 from foliospark.llm.common import stored
 from foliospark.tables import table
 
@@ -66,6 +66,22 @@ def op10_bootstrap_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal(docs, keep=["doc_id"]), "doc_id")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digest(chat.format_turns(rows))
+
+
+def op12_variable_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), damage=199)
+
+
+def op13_block_max_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES = {
     "op1_host_reputation": op1_host_reputation,
     "op2_hypergeometric_shuffle": op2_hypergeometric_shuffle,
@@ -77,5 +93,17 @@ QUERIES = {
     "op8_line_frequency": op8_line_frequency,
     "op9_language": op9_language,
     "op10_bootstrap_pii": op10_bootstrap_pii,
+    "op11_chat_format": op11_chat_format,
+    "op12_variable_grams": op12_variable_grams,
+    "op13_block_max_maxscore": op13_block_max_maxscore,
+}
+ORACLES = {
+    "op1_host_reputation": sql.OP1,
+    "op5_minmax": sql.OP5,
+    "op6_column_repeats": sql.OP6,
+    "op7_winnowing": sql.OP7,
+    "op8_line_frequency": sql.OP8,
+    "op11_chat_format": sql.OP11,
+    "op12_variable_grams": sql.OP12,
+    "op13_block_max_maxscore": sql.OP13,
 }
-ORACLES = {"op1_host_reputation": sql.OP1, "op5_minmax": sql.OP5, "op6_column_repeats": sql.OP6, "op7_winnowing": sql.OP7, "op8_line_frequency": sql.OP8}

@@ -145,3 +145,77 @@ counted as (
 failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counted)
 select *, not base_failed and n_words - n_words_removed >= 0.5 * n_words as kept from failed
 """
+
+#: Turns by number, role and text; what the template adds is counted, and what escaping adds.
+OP11 = r"""
+with rows_ as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+controls as (select ['<s>', '[SYS]', '[/SYS]', '[INST]', '[/INST]', '[OUT]', '</s>', '[ROLE]', '[SAYS]', '[/ROLE]'] as c),
+added as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k, lag(role) over (partition by conv_id order by turn nulls first, role, text) as before,
+    lead(role) over (partition by conv_id order by turn nulls first, role, text) is null as is_last,
+    list_sum(list_transform(c, lambda x: 2 * ((length(text) - length(replace(text, x, ''))) // length(x)))) + length(text) - length(replace(text, '\', '')) as in_text,
+    list_sum(list_transform(c, lambda x: 2 * ((length(role) - length(replace(role, x, ''))) // length(x)))) + length(role) - length(replace(role, '\', '')) as in_role
+  from rows_, controls),
+turns as (
+  select *, case role when 'system' then 11 when 'user' then 13 when 'assistant' then 9 else 19 + length(role) + in_role end + length(text) + in_text + case when k = 1 then 3 else 0 end as chars,
+    case when k = 1 then role in ('system', 'user') else (before in ('system', 'assistant') and role = 'user') or (before = 'user' and role = 'assistant') end and (not is_last or role = 'assistant') as fine
+  from added)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by k) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(chars)::bigint as formatted_chars, bool_and(fine) as valid
+from turns group by conv_id
+"""
+
+#: CRC-32 by its table; near words share what is left when one letter goes, of both or of the longer.
+OP12 = r"""
+with recursive crc as (
+  select list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+runs as (
+  select coalesce(doc_id::varchar, '') || ':' as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as run
+  from documents),
+counted as (select id, run, count(*) as n, hex(encode(id || run)) as x from runs where length(run) >= 6 group by id, run),
+bytes as (
+  select id, run, n, list_transform(range(0, (len(x) // 2)::bigint), lambda i: 16 * (instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1) as b
+  from counted),
+hashed as (select run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) as h from bytes, crc),
+damaged as (select case when h % 199 = 0 then left(run, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, n from hashed),
+words as (select word, sum(n)::bigint as n from damaged where length(word) >= 6 group by word having sum(n) >= 5),
+places as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+holes as (select word, n, i, left(word, i - 1) || substr(word, i + 1) as rest from places),
+pairs as (
+  select distinct a.word as word, b.word as other, b.n as m from holes a join holes b on a.i = b.i and a.rest = b.rest and a.word != b.word
+  union select h.word, w.word, w.n from holes h join words w on h.rest = w.word
+  union select w.word, h.word, h.n from holes h join words w on h.rest = w.word),
+near as (select word, count(*) as n_near, max(m) as m from pairs group by word),
+best as (select word, min(other) as other, any_value(near.n_near) as n_near, any_value(near.m) as m from near join pairs using (word) where pairs.m = near.m group by word),
+judged as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when m >= 5 * w.n then other end as form, case when m >= 5 * w.n then m end::bigint as form_n
+  from words w left join best using (word)),
+chain as (
+  select word, word as at from judged
+  union all select chain.word, judged.form from chain join judged on judged.word = chain.at where judged.form is not null),
+ends as (select chain.word, chain.at as root from chain join judged on judged.word = chain.at where judged.form is null)
+select word, form, root, n, n_near, form_n from judged join ends using (word)
+"""
+
+#: Every document that shares a term is scored.
+OP13 = r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+dn as (select r, doc_id, len(w)::bigint as n from d where len(w) > 0),
+sums as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from dn),
+items as (
+  select row_number() over () as q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from (select distinct item_id, text from benchmark)),
+asked as (select q, t, count(*)::bigint as c from (select q, unnest(w) as t from items) group by all),
+held as (select r, t, count(*)::bigint as tf from (select r, unnest(w) as t from d) where t in (select t from asked) group by all),
+weights as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as weight from held, sums group by t, n_docs),
+parts as (select r, t, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)) as part from held join dn using (r), sums),
+scores as (select q, r, sum(c * weight * part)::bigint as score from asked join weights using (t) join parts using (t) group by q, r),
+ranked as (
+  select item_id, row_number() over (partition by q order by score desc, doc_id nulls last)::int as rank, doc_id, score from scores join dn using (r) join items using (q) where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
