@@ -1,19 +1,33 @@
 """Comparison of document revisions, page by page and word by word.
 
-Pages of a pair of documents are aligned by their digests, gaps between aligned
-pages are paired by shared words, and each pair of pages is compared by a
-shortest edit script. All pairs of documents are compared at once; the group of
-one task is one pair of documents.
+All pairs of documents are aligned at once, by windows over the digests of their
+pages: a page that both revisions hold once, and that no pair of equal pages
+crosses, belongs to every longest common subsequence, so the pages between two
+such anchors form a gap of their own. Gaps that one side leaves empty need no
+more. For the others a set-similarity join lists the pages that share half of
+their words, and one task gets the numbers of a gap's pages and that list, never
+their words. Only pairs of changed pages have their words compared, by a
+shortest edit script.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from hashlib import sha256
+from itertools import pairwise
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.storage import checkpointed
+
 #: Longest edit script, and steps, beyond which two pages are simply different.
 MOST_EDITS, BUDGET = 1000, 20_000_000
+#: Least similarity of two changed pages that count as revisions of one; the digest of a page without words.
+ALIKE, EMPTY = 0.5, sha256(b"").hexdigest()
+#: What a product of a count and a share may be off by.
+TINY = 1e-9
 Op = tuple[str, int, int, int, int]
 
 
@@ -28,6 +42,8 @@ def edit_script(a: list, b: list, most: int = MOST_EDITS) -> list[Op]:
     the same on every run.
     """
     n, m, steps = len(a), len(b), 0
+    if not n or not m:
+        return [("delete", 0, n, 0, 0)] if n else [("insert", 0, 0, 0, m)] if m else []
     off = m + 1  # diagonals from -m to n
     reach = [-1] * (n + m + 3)
     reach[1 + off] = 0
@@ -96,40 +112,122 @@ def similarity(a: list[str], b: list[str]) -> float:
     return len(set(a) & set(b)) / most if most else 1.0
 
 
-def page_pairs(old: list[list[str]], new: list[list[str]]) -> tuple[list[tuple[int | None, int | None]], bool]:
-    """Pairs of page places, None where a side has none; and whether pages were paired by number for want of a match."""
-    ops = edit_script([" ".join(p) for p in old], [" ".join(p) for p in new])
-    pairs: list[tuple[int | None, int | None]] = []
-    if not any(op[0] == "equal" for op in ops):
-        both = min(len(old), len(new))
-        pairs = [(i, i) for i in range(both)] + [(i, None) for i in range(both, len(old))] + [(None, j) for j in range(both, len(new))]
-        return pairs, both > 1
-    gap_old: list[int] = []
-    gap_new: list[int] = []
-
-    def close() -> None:
-        free = list(gap_new)
-        for i in gap_old:
-            best = max(free, key=lambda j: (similarity(old[i], new[j]), -j), default=None)
-            if best is not None and similarity(old[i], new[best]) >= 0.5:
-                free.remove(best)
-                pairs.append((i, best))
+def common_places(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence: by a shortest edit script, or from all equal pairs where that is too long.
+
+    What only one side holds can't be part of it. The pairs are taken in the order of a, those of one element from the
+    last in b; the longest rising run of places in b is then found by binary search.
+    """
+    try:
+        return [(a0 + k, b0 + k) for kind, a0, a1, b0, _ in edit_script(a, b) if kind == "equal" for k in range(a1 - a0)]
+    except TooDifferent:
+        at: dict = {}
+        for j, x in enumerate(b):
+            at.setdefault(x, []).append(j)
+        ends: list[int] = []  # the least last place of a run of each length, and that run's chain
+        chains: list[tuple] = []
+        for i, x in enumerate(a):
+            for j in reversed(at.get(x, ())):
+                k = bisect_left(ends, j)
+                chain = (i, j, chains[k - 1] if k else None)
+                ends[k : k + 1], chains[k : k + 1] = [j], [chain]
+        out, chain = [], chains[-1] if chains else None
+        while chain:
+            out.append(chain[:2])
+            chain = chain[2]
+        return out[::-1]
+
+
+def pair_gap(old: list[tuple[int, str]], new: list[tuple[int, str]], alike: list[tuple[int, int, float]]) -> list[tuple[int | None, int | None, bool]]:
+    """(old place, new place, equal) of the pages of one gap, (place, digest) in order; alike: similar pairs of places.
+
+    Pages in a longest common subsequence are equal. Between two of them each old page, in order, takes the most similar
+    new one that is free, the first on ties; two pages without words are as similar as can be.
+    """
+    equal = common_places([d for _, d in old], [d for _, d in new])
+    pairs = [(old[i][0], new[j][0], True) for i, j in equal]
+    cuts = [(-1, -1), *equal, (len(old), len(new))]
+    near: dict[int, list[tuple[float, int]]] = {}
+    for i, j, sim in alike:
+        near.setdefault(i, []).append((-sim, j))
+    for (i0, j0), (i1, j1) in pairwise(cuts):
+        free = dict(new[j0 + 1 : j1])
+        for place, digest in old[i0 + 1 : i1]:
+            if digest == EMPTY:
+                best = next((j for j, d in free.items() if d == EMPTY), None)
             else:
-                pairs.append((i, None))
-        pairs.extend((None, j) for j in free)
-        gap_old.clear()
-        gap_new.clear()
-
-    for kind, a0, a1, b0, b1 in ops:
-        if kind == "equal":
-            close()
-            pairs += zip(range(a0, a1), range(b0, b1), strict=True)
-        elif kind == "delete":
-            gap_old += range(a0, a1)
-        else:
-            gap_new += range(b0, b1)
-    close()
-    return pairs, False
+                best = min((x for x in near.get(place, ()) if x[1] in free), default=(0, None))[1]
+            free.pop(best, None)
+            pairs.append((place, best, False))
+        pairs += [(None, j, False) for j in free]
+    return pairs
+
+
+def placed_pages(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(doc_id, side, page, place, digest, ...) of both revisions: anchors, and the gaps between them.
+
+    paired: an anchor's partner; gap: anchors up to the page; open: whether the gap has pages of both sides; met: whether
+    the documents share a page at all. The rows are dealt by document once; all windows find theirs in place.
+    """
+    c, doc = F.col, Window.partitionBy("doc_id")
+    side = lambda df, k: df.select("doc_id", F.lit(k).alias("side"), c("page").cast("int").alias("page"), F.sha2(F.array_join("words", " "), 256).alias("digest"))
+    pages = side(old, 0).unionByName(side(new, 1)).repartition("doc_id")
+    pages = pages.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "side").orderBy("page")))
+    same = Window.partitionBy("doc_id", "digest")
+    there = F.when(c("side") == 1, c("place"))
+    pages = pages.withColumns({"n_old": F.count_if(c("side") == 0).over(same), "n_new": F.count(there).over(same), "low": F.min(there).over(same), "high": F.max(there).over(same)})
+    pages = pages.withColumn("met", F.max((c("n_old") > 0) & (c("n_new") > 0)).over(doc))
+    before = Window.partitionBy("doc_id", "side").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("doc_id", "side").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    pages = pages.withColumns({"reach": F.max("high").over(before), "ahead": F.min("low").over(after)})
+    free = F.coalesce(c("reach") < c("low"), F.lit(True)) & F.coalesce(c("ahead") > c("low"), F.lit(True))
+    pages = pages.withColumn("own", (c("side") == 0) & (c("n_old") == 1) & (c("n_new") == 1) & free)
+    pages = pages.withColumn("anchor", F.max("own").over(same)).withColumn("paired", F.when(c("own"), c("low")))
+    to_here = Window.partitionBy("doc_id", "side").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    pages = pages.withColumn("gap", F.sum(c("anchor").cast("int")).over(to_here))
+    gap = Window.partitionBy("doc_id", "gap")
+    loose = lambda k: F.max(~c("anchor") & (c("side") == k)).over(gap)
+    pages = pages.withColumn("open", loose(0) & loose(1) & ~c("anchor") & c("met"))
+    pages = pages.withColumn("both", F.least(F.max(F.when(c("side") == 0, c("place"))).over(doc), F.max(there).over(doc)))
+    return pages.select("doc_id", "side", "page", "place", "digest", "anchor", "paired", "gap", "open", "met", "both")
+
+
+PAIR = "doc_id long, old_place int, new_place int, equal boolean, unaligned boolean"
+
+
+def align_pages(old: DataFrame, new: DataFrame) -> DataFrame:
+    """PAIR rows: each page of both revisions (doc_id, page, words) with its partner, if it has one.
+
+    place: the page's number in its revision, from 1. Documents that share no page are paired by number; unaligned says
+    that this was done for more than one pair.
+    """
+    c, none = F.col, F.lit(None).cast("int")
+    pages = checkpointed(placed_pages(old, new))
+    anchors = pages.filter("paired is not null").select("doc_id", c("place").alias("old_place"), c("paired").alias("new_place"), F.lit(True).alias("equal"))
+    lone = pages.filter(c("met") & ~c("anchor") & ~c("open"))
+    lone = lone.select("doc_id", F.when(c("side") == 0, c("place")).alias("old_place"), F.when(c("side") == 1, c("place")).alias("new_place"), F.lit(False).alias("equal"))
+
+    def words(df: DataFrame, k: int) -> DataFrame:
+        inside = pages.filter(c("open") & (c("side") == k)).select("doc_id", "gap", "page", "place")
+        return df.select("doc_id", c("page").cast("int").alias("page"), "words").join(inside, ["doc_id", "page"]).select("doc_id", "gap", "place", "words")
+
+    alike = similar_pages(words(old, 0), words(new, 1), ["doc_id", "gap"], "place", ALIKE)
+    nothing = F.lit(None).cast("double")
+    members = pages.filter("open").select("doc_id", "gap", "side", "place", "digest", none.alias("other"), nothing.alias("sim"))
+    listed = alike.select("doc_id", "gap", F.lit(2).alias("side"), c("old_place").alias("place"), F.lit(None).cast("string").alias("digest"), c("new_place").alias("other"), "sim")
+
+    def pair(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["side", "place"])
+        sides = [list(rows.loc[rows["side"] == k, ["place", "digest"]].itertuples(index=False, name=None)) for k in (0, 1)]
+        near = rows.loc[rows["side"] == 2, ["place", "other", "sim"]]
+        out = pd.DataFrame(pair_gap(*sides, [(i, int(j), s) for i, j, s in near.itertuples(index=False, name=None)]), columns=["old_place", "new_place", "equal"])
+        return out.assign(doc_id=rows["doc_id"].iloc[0]).astype({"old_place": "Int32", "new_place": "Int32"})[["doc_id", "old_place", "new_place", "equal"]]
+
+    filled = members.unionByName(listed).groupBy("doc_id", "gap").applyInPandas(pair, "doc_id long, old_place int, new_place int, equal boolean")
+    numbered = pages.filter(~c("met")).groupBy("doc_id", "place").agg(F.max(c("side") == 0).alias("a"), F.max(c("side") == 1).alias("b"), F.max("both").alias("both"))
+    numbered = numbered.select("doc_id", F.when(c("a"), c("place")).alias("old_place"), F.when(c("b"), c("place")).alias("new_place"), F.lit(False).alias("equal"), F.coalesce(c("both") > 1, F.lit(False)).alias("unaligned"))
+    met = anchors.unionByName(lone).unionByName(filled).withColumn("unaligned", F.lit(False))
+    return met.unionByName(numbered)
 
 
 def compare_pages(a: list[str], b: list[str]) -> tuple[list[int], list[int], bool]:
@@ -145,22 +243,36 @@ RESULT = "doc_id long, old_page int, new_page int, removed array<string>, insert
 
 
 def compare_documents(old: DataFrame, new: DataFrame) -> DataFrame:
-    """RESULT for each pair of pages of the documents that both sides hold: (doc_id, page, words)."""
+    """RESULT for each pair of pages of the documents of both sides: (doc_id, page, words).
+
+    A page without a partner has nothing removed or inserted; equal pages aren't read again.
+    """
+    c = F.col
+    pairs = checkpointed(align_pages(old, new))
+    both = c("old_place").isNotNull() & c("new_place").isNotNull()
+    changed = pairs.filter(~c("equal") & both)
 
-    def run(both: pd.DataFrame) -> pd.DataFrame:
-        both = both.sort_values("page")
-        sides = [[list(w) for w in both.loc[both["side"] == k, "words"]] for k in (0, 1)]
-        doc = both["doc_id"].iloc[0]
-        pairs, unaligned = page_pairs(*sides)
-        rows = []
-        for i, j in pairs:
-            gone, new_, whole = compare_pages(sides[0][i], sides[1][j]) if i is not None and j is not None else ([], [], False)
-            rows.append((doc, None if i is None else i + 1, None if j is None else j + 1, [sides[0][i][k] for k in gone], [sides[1][j][k] for k in new_], len(gone), len(new_), whole, unaligned))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
-        return out.astype({"old_page": "Int32", "new_page": "Int32"})
+    def words(df: DataFrame, place: str, name: str) -> DataFrame:
+        numbered = df.select("doc_id", "words", F.row_number().over(Window.partitionBy("doc_id").orderBy("page")).alias(place))
+        return numbered.select("doc_id", place, c("words").alias(name))
 
-    named = [side.select("doc_id", "page", "words", F.lit(k).alias("side")) for k, side in enumerate((old, new))]
-    return named[0].unionByName(named[1]).groupBy("doc_id").applyInPandas(run, RESULT)
+    met = changed.join(words(old, "old_place", "a"), ["doc_id", "old_place"]).join(words(new, "new_place", "b"), ["doc_id", "new_place"])
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for doc, i, j, a, b, unaligned in rows[["doc_id", "old_place", "new_place", "a", "b", "unaligned"]].itertuples(index=False, name=None):
+                a, b = list(a), list(b)
+                gone, came, whole = compare_pages(a, b)
+                out.append((doc, i, j, [a[k] for k in gone], [b[k] for k in came], len(gone), len(came), whole, unaligned))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")])
+
+    none = F.array().cast("array<string>")
+    same = pairs.filter(c("equal") | ~both).select(
+        "doc_id", c("old_place").alias("old_page"), c("new_place").alias("new_page"), none.alias("removed"), none.alias("inserted"), F.lit(0).alias("n_removed"), F.lit(0).alias("n_inserted"),
+        F.lit(False).alias("wholesale"), "unaligned",
+    )
+    return met.select("doc_id", "old_place", "new_place", "a", "b", "unaligned").mapInPandas(run, RESULT).unionByName(same)
 
 
 def compare_stats(pairs: DataFrame) -> DataFrame:
@@ -190,11 +302,42 @@ def text_diff_clauses(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "pair_id long, added array<string>, removed array<string>, wholesale boolean")
 
 
-def shared_words(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(doc_id, old_page, new_page, shared, most, sim) of all pairs of pages of a document that share a word: (doc_id, page, words)."""
-    a = old.select("doc_id", F.col("page").alias("old_page"), F.size("words").alias("na"), F.array_distinct("words").alias("wa"))
-    b = new.select("doc_id", F.col("page").alias("new_page"), F.size("words").alias("nb"), F.array_distinct("words").alias("wb"))
-    one = a.select("doc_id", "old_page", "na", F.explode("wa").alias("w"))
-    two = b.select("doc_id", "new_page", "nb", F.explode("wb").alias("w"))
-    met = one.join(two, ["doc_id", "w"]).groupBy("doc_id", "old_page", "new_page").agg(F.count("*").alias("shared"), F.greatest(F.max("na"), F.max("nb")).alias("most"))
-    return met.select("doc_id", "old_page", "new_page", "shared", "most", (F.col("shared") / F.col("most")).alias("sim"))
+def similar_pages(old: DataFrame, new: DataFrame, group: list[str], page: str, least: float) -> DataFrame:
+    """(group, old_<page>, new_<page>, shared, most, sim) of the pages of a group with a similarity of `least` or more.
+
+    A similarity is the distinct words that two pages share over the words of the longer one. Pages that reach `least`
+    share `least` of each one's words, so they share one of each one's rarest words, up to the number that may be missing:
+    only those words are joined on, the rarest by how many pages of the group hold them. least 0: any shared word. Pages
+    without words aren't listed.
+    """
+    c, names = F.col, (f"old_{page}", f"new_{page}")
+    pages = [df.select(*group, c(page).alias("_page"), F.size("words").alias("_n"), F.array_distinct("words").alias("_set"), F.lit(k).alias("_side")) for k, df in enumerate((old, new))]
+    both = pages[0].unionByName(pages[1])
+    missing = F.size("_set") - F.greatest(F.lit(1), F.ceil(c("_n") * F.lit(least) - TINY)) + 1  # of so many words one is shared
+    words = both.filter(missing > 0).select(*group, "_side", "_page", "_n", F.size("_set").alias("_d"), missing.alias("_take"), F.explode("_set").alias("_w"))
+    held = words.withColumn("_f", F.count("*").over(Window.partitionBy(*group, "_w")))
+    rank = F.row_number().over(Window.partitionBy(*group, "_side", "_page").orderBy("_f", "_w"))
+    rare = held.withColumn("_k", rank).filter(c("_k") <= c("_take"))
+    one = lambda k, x: rare.filter(c("_side") == k).select(*group, "_w", c("_page").alias(names[k]), c("_n").alias(f"_n{x}"), c("_d").alias(f"_d{x}"))
+    can = (c("_da") >= least * c("_nb") - TINY) & (c("_db") >= least * c("_na") - TINY)
+    met = one(0, "a").join(one(1, "b"), [*group, "_w"]).filter(can).select(*group, *names, F.greatest("_na", "_nb").alias("most")).distinct()
+    sets = lambda k, x: pages[k].select(*group, c("_page").alias(names[k]), c("_set").alias(f"_set{x}"))
+    whole = met.join(sets(0, "a"), [*group, names[0]]).join(sets(1, "b"), [*group, names[1]])
+    counted = whole.select(*group, *names, F.size(F.array_intersect("_seta", "_setb")).cast("long").alias("shared"), "most").withColumn("sim", c("shared") / c("most"))
+    return counted.filter((c("sim") >= least) & (c("shared") > 0))
+
+
+def best_matches(old: DataFrame, new: DataFrame, steps: tuple[float, ...] = (0.5, 0.2, 0.0)) -> DataFrame:
+    """(doc_id, old_page, new_page, sim): the most similar new page of each old page that shares a word, the first on ties.
+
+    Pages are searched at falling similarities; only those without a match go on to the next one.
+    """
+    best = F.max(F.struct("sim", (-F.col("new_page")).alias("p")))
+    out, rest = None, old
+    for k, least in enumerate(steps):
+        found = similar_pages(rest, new, ["doc_id"], "page", least).groupBy("doc_id", "old_page").agg(best.alias("b"))
+        found = checkpointed(found.select("doc_id", "old_page", (-F.col("b.p")).alias("new_page"), F.col("b.sim").alias("sim")))
+        out = found if out is None else out.unionByName(found)
+        if k + 1 < len(steps):
+            rest = rest.join(found.select("doc_id", F.col("old_page").alias("page")), ["doc_id", "page"], "left_anti")
+    return out

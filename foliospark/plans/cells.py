@@ -9,7 +9,7 @@ from foliospark.functions import text as T
 from foliospark.operators import cells as C
 from foliospark.operators import layout as L
 from foliospark.plans.registry import register
-from foliospark.sources.bridge import bridged, doc_lines, text_items
+from foliospark.sources.bridge import bridged, doc_lines, raw_items, text_items
 from foliospark.tables import table
 
 CUSTOMERS = "cells as (select c_custkey // 100 as tid, row_number() over (partition by c_custkey // 100 order by c_custkey) - 1 as row_no, 0 as col_no, c_name as text from customer union all select c_custkey // 100, row_number() over (partition by c_custkey // 100 order by c_custkey) - 1, 1, c_acctbal::varchar from customer union all select c_custkey // 100, row_number() over (partition by c_custkey // 100 order by c_custkey) - 1, 2, c_mktsegment || '|' || c_custkey from customer)"
@@ -128,11 +128,13 @@ def split_bands_by_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(medians(rows), ["doc_id", "page"]).withColumn("band", F.sum(over).over(Window.partitionBy("doc_id", "page").orderBy("baseline")).cast("int")).select("doc_id", "page", "baseline", "band")
 
 
-@register("w7_gutter_columns", bridged("""with g as (select doc_id, page, x0, x1, max(x1) over (partition by doc_id, page order by x0, x1 rows between unbounded preceding and 1 preceding) as reach from text_items),
+@register("w7_gutter_columns", bridged("""with g as (select doc_id, page, x0, x1, max(x1) over (partition by doc_id, page order by x0, x1 rows between unbounded preceding and 1 preceding) as reach from sane where not rotated),
 c as (select doc_id, page, (reach + x0) / 2 as x from g where x0 - reach > 6) select doc_id, page, x from c qualify count(*) over (partition by doc_id, page) >= 2"""))
 def gutter_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Middles of the gaps of over six points that no item of a page crosses, where a page has two or more."""
     w = Window.partitionBy("doc_id", "page").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
-    gaps = text_items(spark, sf_dir).withColumn("reach", F.max("x1").over(w)).filter(F.col("x0") - F.col("reach") > 6).select("doc_id", "page", ((F.col("reach") + F.col("x0")) / 2).alias("x"))
+    items = L.sanitise_items(L.scan_text_items(raw_items(spark, sf_dir))).filter(~F.col("rotated"))
+    gaps = items.withColumn("reach", F.max("x1").over(w)).filter(F.col("x0") - F.col("reach") > 6).select("doc_id", "page", ((F.col("reach") + F.col("x0")) / 2).alias("x"))
     return gaps.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "page"))).filter("n >= 2").drop("n")
 
 

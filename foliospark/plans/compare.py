@@ -78,17 +78,17 @@ SIM = REVISED + """, x as (select doc_id, page as old_page, len(words) as na, un
 sim as (select doc_id, old_page, new_page::int as new_page, count(*) as shared, greatest(max(na), max(nb))::int as most, count(*) / greatest(max(na), max(nb))::double as sim from x join y using (doc_id, w) group by all)"""
 
 
-@register("j3_page_similarity", bridged(f"with {SIM} select doc_id, old_page, new_page, shared, most from sim"))
+@register("j3_page_similarity", bridged(f"with {SIM} select doc_id, old_page, new_page, shared, most from sim where sim >= 0.5"))
 def page_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the two revisions of a document that share half of their words."""
     pages = page_words(spark, sf_dir)
-    return C.shared_words(pages, revised(pages)).drop("sim")
+    return C.similar_pages(pages, revised(pages), ["doc_id"], "page", C.ALIKE).drop("sim")
 
 
 @register("l6_best_match", bridged(f"with {SIM}, r as (select *, row_number() over (partition by doc_id, old_page order by sim desc, new_page) as rn from sim) select doc_id, old_page, new_page, round(sim, 6) as sim from r where rn = 1"))
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = page_words(spark, sf_dir)
-    best = F.max(F.struct("sim", (-F.col("new_page")).alias("p")))
-    return C.shared_words(pages, revised(pages)).groupBy("doc_id", "old_page").agg(best.alias("b")).select("doc_id", "old_page", (-F.col("b.p")).alias("new_page"), F.round("b.sim", 6).alias("sim"))
+    return C.best_matches(pages, revised(pages)).withColumn("sim", F.round("sim", 6))
 
 
 @register("j2_pair_gap_pages")

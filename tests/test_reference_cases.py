@@ -63,16 +63,120 @@ def test_compare_pages(a, b, removed, inserted):
     assert [x[i] for i in gone] == removed and [y[j] for j in new] == inserted and not whole
 
 
-def test_page_pairs():
+def aligned(spark, old, new):
+    """[(old place, new place)] by document, equal pairs and unaligned documents; revisions are lists of pages by document."""
+    df = lambda docs: spark.createDataFrame([(d, 10 + 3 * i, w) for d, pages in docs.items() for i, w in enumerate(pages)], "doc_id long, page int, words array<string>")
+    pairs, equal, unaligned = {}, {}, set()
+    for r in C.align_pages(df(old), df(new)).collect():
+        pairs.setdefault(r.doc_id, []).append((r.old_place and r.old_place - 1, r.new_place and r.new_place - 1))
+        if r.equal:
+            equal.setdefault(r.doc_id, []).append((r.old_place - 1, r.new_place - 1))
+        if r.unaligned:
+            unaligned.add(r.doc_id)
+    return {d: sorted(p, key=str) for d, p in pairs.items()}, {d: sorted(p) for d, p in equal.items()}, unaligned
+
+
+def test_page_pairs(spark):
     base = [f"w{i}" for i in range(10)]
     other, added = [f"x{i}" for i in range(10)], [f"y{i}" for i in range(10)]
     edited = [*base[:5], "changed", *base[6:]]
-    assert C.page_pairs([base, other], [edited, other, added]) == ([(0, 0), (1, 1), (None, 2)], False)
-    assert C.page_pairs([base, other], [added, edited]) == ([(0, 0), (1, 1)], True)
-    assert C.page_pairs([base], [added]) == ([(0, 0)], False)
+    got, _, unaligned = aligned(spark, {1: [base, other], 2: [base, other], 3: [base], 4: [base], 6: [[], base]}, {1: [edited, other, added], 2: [added, edited], 3: [added], 5: [base], 6: [base, []]})
+    assert got == {1: [(0, 0), (1, 1), (None, 2)], 2: [(0, 0), (1, 1)], 3: [(0, 0)], 4: [(0, None)], 5: [(None, 0)], 6: got[6]} and unaligned == {2}
+    assert got[6] in ([(0, 1), (1, None), (None, 0)], [(0, None), (1, 0), (None, 1)], [(0, 1), (1, 0)])
     assert C.similarity(["a", "a", "b"], ["a", "b", "c"]) == 2 / 3 and C.similarity([], []) == 1.0
 
 
+def greedy(old, new, equal):
+    """Pairs of pages by the rule spelled out: between equal pairs each old page takes the most similar free one."""
+    out, cuts = list(equal), [(-1, -1), *equal, (len(old), len(new))]
+    for (i0, j0), (i1, j1) in zip(cuts, cuts[1:]):
+        free = list(range(j0 + 1, j1))
+        for i in range(i0 + 1, i1):
+            best = max(free, key=lambda j: (C.similarity(old[i], new[j]), -j), default=None)
+            if best is not None and C.similarity(old[i], new[best]) >= 0.5:
+                free.remove(best)
+                out.append((i, best))
+            else:
+                out.append((i, None))
+        out += [(None, j) for j in free]
+    return sorted(out, key=str)
+
+
+def test_alignment_against_plain_rules(spark):
+    """Repeated, moved, blank, edited, added and removed pages: a longest common subsequence, and the greedy rule between."""
+    rng = random.Random(8)
+    old, new = {}, {}
+    for d in range(60):
+        page = lambda: [rng.choice("abcdefghijkl") + str(rng.randint(0, 3)) for _ in range(rng.choice([0, 1, 6, 6, 6]))]
+        some = [page() for _ in range(6)]
+        old[d] = [list(rng.choice(some)) if rng.random() < 0.5 else page() for _ in range(rng.randint(1, 14))]
+        new[d] = [list(p) for p in old[d] if rng.random() < 0.8] + [page() for _ in range(rng.randint(0, 2))]
+        if rng.random() < 0.5:
+            rng.shuffle(new[d])
+        for p in new[d]:
+            if p and rng.random() < 0.4:
+                p[rng.randrange(len(p))] = "edit"
+    old, new = ({d: p for d, p in x.items() if p} for x in (old, new))
+    got, equal, _ = aligned(spark, old, new)
+    shared = [d for d in old if d in new and any(p in new[d] for p in old[d])]
+    assert len(shared) > 40 and got.keys() == old.keys() | new.keys()
+    for d in shared:
+        a, b = ([" ".join(p) for p in x[d]] for x in (old, new))
+        own = equal[d]
+        assert len(own) == lcs(a, b) and all(a[i] == b[j] for i, j in own) and all(x < y and z < w for (x, z), (y, w) in zip(own, own[1:]))
+        assert got[d] == greedy(old[d], new[d], own)
+
+
+@pytest.mark.parametrize("n", [501, 5000])
+def test_alignment_of_long_documents(spark, n):
+    """Any number of changed pages: with an equal page among them, edited, reversed, and none equal at all."""
+    pages = [[f"p{i}w{k}" for k in range(6)] for i in range(n)]
+    fresh = [[f"q{i}w{k}" for k in range(6)] for i in range(n)]
+    edited = [[*p[:5], "new"] for p in pages]
+    middle = n // 2
+    old = dict.fromkeys(range(4), pages)
+    new = {0: fresh, 1: [*fresh[:middle], pages[middle], *fresh[middle + 1 :]], 2: [*edited[:middle], pages[middle], *edited[middle + 1 :]], 3: pages[::-1]}
+    got, equal, unaligned = aligned(spark, old, new)
+    assert unaligned == {0} and equal == {1: [(middle, middle)], 2: [(middle, middle)], 3: equal[3]} and len(equal[3]) == 1
+    every = sorted(((i, i) for i in range(n)), key=str)
+    assert got[0] == every and got[2] == every and len(got[1]) == 2 * n - 1
+    assert len(got[3]) == len(greedy(old[3], new[3], equal[3])) if n < 1000 else 2 * n - 1 >= len(got[3]) >= n
+
+
+def test_common_places_beyond_the_budget():
+    rng = random.Random(2)
+    a = [rng.randrange(3000) for _ in range(2500)]
+    b = [rng.randrange(3000) for _ in range(2500)]
+    got = C.common_places(a, b)
+    assert len(got) == lcs(a, b) and all(a[i] == b[j] for i, j in got) and all(x < y and z < w for (x, z), (y, w) in zip(got, got[1:]))
+
+
+def test_empty_sides():
+    """An empty page against any number of words is one insertion or deletion."""
+    words = [f"w{i}" for i in range(1001)]
+    assert C.edit_script([], words) == [("insert", 0, 0, 0, 1001)] and C.edit_script(words, []) == [("delete", 0, 1001, 0, 0)] and C.edit_script([], []) == []
+    assert C.compare_pages([], words) == ([], list(range(1001)), False)
+
+
+def test_similar_pages(spark):
+    """The joins find exactly the pairs at the threshold, and each page's best match."""
+    rng = random.Random(4)
+    make = lambda: [[rng.choice("aabcdefghijklmnop") + rng.choice("00012") for _ in range(rng.choice([0, 1, 5, 9, 30]))] for _ in range(40)]
+    sides = {d: (make(), make()) for d in range(3)}
+    for a, b in sides.values():
+        b[:10] = [[*p[: len(p) // 2], *b[i][: len(p) // 2]] for i, p in enumerate(a[:10])]
+    df = [spark.createDataFrame([(d, i, p) for d, two in sides.items() for i, p in enumerate(two[k])], "doc_id long, page int, words array<string>") for k in (0, 1)]
+    every = {(d, i, j): C.similarity(p, q) for d, (a, b) in sides.items() for i, p in enumerate(a) for j, q in enumerate(b) if set(p) & set(q)}
+    for least in (0.5, 0.2, 0.0):
+        got = {(r.doc_id, r.old_page, r.new_page): r.sim for r in C.similar_pages(*df, ["doc_id"], "page", least).collect()}
+        assert got == {k: s for k, s in every.items() if s >= least} and len(got) > 10
+    best = {}
+    for (d, i, j), s in sorted(every.items()):
+        if s > best.get((d, i), (0,))[0]:
+            best[d, i] = s, j
+    assert {(r.doc_id, r.old_page): (r.sim, r.new_page) for r in C.best_matches(*df).collect()} == best
+
+
 def test_compare_documents(spark):
     base, other = [f"w{i}" for i in range(10)], [f"x{i}" for i in range(10)]
     old = spark.createDataFrame([(1, 1, base), (1, 2, other)], "doc_id long, page int, words array<string>")
@@ -246,11 +350,12 @@ def test_text_diff_clauses(spark):
     """Changed runs are clauses of words; what stays, goes and comes is what both texts hold."""
     rng = random.Random(3)
     texts = [(i, *(" ".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(2))) for i in range(60)]
-    planted = [(100, "the fee is due in May", "the large fee was due\n in  May 2020"), (101, None, "all new"), (102, "gone", None), (103, "same", " same "), (104, " ".join(["x"] * 1200), " ".join(["y"] * 1200))]
+    planted = [(100, "the fee is due in May", "the large fee was due\n in  May 2020"), (101, None, "all new"), (102, "gone", None), (103, "same", " same "), (104, " ".join(["x"] * 1200), " ".join(["y"] * 1200)), (105, "", "z " * 1200)]
     got = {r.pair_id: r for r in C.text_diff_clauses(spark.createDataFrame(texts + planted, "pair_id long, a string, b string")).collect()}
     assert (got[100].added, got[100].removed) == (["large", "was", "2020"], ["is"])
     assert (got[101].added, got[101].removed) == (["all new"], []) and (got[102].added, got[102].removed) == ([], ["gone"])
     assert (got[103].added, got[103].removed, got[103].wholesale) == ([], [], False)
+    assert len(got[105].added[0].split()) == 1200 and not got[105].wholesale
     assert (got[104].added, got[104].removed, got[104].wholesale) == ([], [], True)
     for i, a, b in texts:
         x, y = a.split(), b.split()
