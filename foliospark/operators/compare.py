@@ -5,8 +5,8 @@ pages: a page that both revisions hold once, and that no pair of equal pages
 crosses, belongs to every longest common subsequence, so the pages between two
 such anchors form a gap of their own. Gaps that one side leaves empty need no
 more. For the others a set-similarity join lists the pages that share half of
-their words, and one task gets the numbers of a gap's pages and that list, never
-their words. Only pairs of changed pages have their words compared, by a
+their words. Only where that leaves a choice, one task gets the numbers of a
+gap's pages and that list, never their words. Only pairs of changed pages have their words compared, by a
 shortest edit script.
 """
 
@@ -166,8 +166,9 @@ def pair_gap(old: list[tuple[int, str]], new: list[tuple[int, str]], alike: list
 def placed_pages(old: DataFrame, new: DataFrame) -> DataFrame:
     """(doc_id, side, page, place, digest, ...) of both revisions: anchors, and the gaps between them.
 
-    paired: an anchor's partner; gap: anchors up to the page; open: whether the gap has pages of both sides; met: whether
-    the documents share a page at all. The rows are dealt by document once; all windows find theirs in place.
+    paired: an anchor's partner; gap: anchors up to the page; open: whether the gap has pages of both sides, pairs: how
+    many pairs these make, repeated: whether one of them has an equal page anywhere; met: whether the documents share a
+    page at all. The rows are dealt by document once; all windows find theirs in place.
     """
     c, doc = F.col, Window.partitionBy("doc_id")
     side = lambda df, k: df.select("doc_id", F.lit(k).alias("side"), c("page").cast("int").alias("page"), F.sha2(F.array_join("words", " "), 256).alias("digest"))
@@ -186,35 +187,68 @@ def placed_pages(old: DataFrame, new: DataFrame) -> DataFrame:
     to_here = Window.partitionBy("doc_id", "side").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     pages = pages.withColumn("gap", F.sum(c("anchor").cast("int")).over(to_here))
     gap = Window.partitionBy("doc_id", "gap")
-    loose = lambda k: F.max(~c("anchor") & (c("side") == k)).over(gap)
-    pages = pages.withColumn("open", loose(0) & loose(1) & ~c("anchor") & c("met"))
+    loose = lambda k: F.count_if(~c("anchor") & (c("side") == k)).over(gap)
+    pages = pages.withColumn("pairs", loose(0) * loose(1)).withColumn("open", (c("pairs") > 0) & ~c("anchor") & c("met"))
+    pages = pages.withColumn("repeated", F.max(~c("anchor") & (c("n_old") > 0) & (c("n_new") > 0)).over(gap))
     pages = pages.withColumn("both", F.least(F.max(F.when(c("side") == 0, c("place"))).over(doc), F.max(there).over(doc)))
-    return pages.select("doc_id", "side", "page", "place", "digest", "anchor", "paired", "gap", "open", "met", "both")
+    return pages.select("doc_id", "side", "page", "place", "digest", "anchor", "paired", "gap", "open", "pairs", "repeated", "met", "both")
 
 
 PAIR = "doc_id long, old_place int, new_place int, equal boolean, unaligned boolean"
 
 
+#: Pages that are broadcast at most; pairs of pages of a gap that are compared directly.
+BROADCAST_ROWS, FEW_PAIRS = 200_000, 16
+
+
+def changed_words(old: DataFrame, new: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, side, gap, place, open, pairs, words) of the pages whose words matter: those in open gaps, and of documents that share none.
+
+    These pages are marked for broadcast where they were counted to be few; else Spark shuffles.
+    """
+    c = F.col
+    wanted = pages.filter(c("open") | ~c("met")).select("doc_id", "side", "page", "gap", "place", "open", "pairs")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    sides = [df.select("doc_id", F.lit(k).alias("side"), c("page").cast("int").alias("page"), "words") for k, df in enumerate((old, new))]
+    return sides[0].unionByName(sides[1]).join(wanted, ["doc_id", "side", "page"]).select("doc_id", "side", "gap", "place", "open", "pairs", "words")
+
+
 def align_pages(old: DataFrame, new: DataFrame) -> DataFrame:
     """PAIR rows: each page of both revisions (doc_id, page, words) with its partner, if it has one.
 
     place: the page's number in its revision, from 1. Documents that share no page are paired by number; unaligned says
     that this was done for more than one pair.
     """
-    c, none = F.col, F.lit(None).cast("int")
     pages = checkpointed(placed_pages(old, new))
+    return paired_pages(pages, checkpointed(changed_words(old, new, pages)))
+
+
+def paired_pages(pages: DataFrame, words: DataFrame) -> DataFrame:
+    """align_pages from placed_pages and changed_words."""
+    c, none = F.col, F.lit(None).cast("int")
     anchors = pages.filter("paired is not null").select("doc_id", c("place").alias("old_place"), c("paired").alias("new_place"), F.lit(True).alias("equal"))
     lone = pages.filter(c("met") & ~c("anchor") & ~c("open"))
     lone = lone.select("doc_id", F.when(c("side") == 0, c("place")).alias("old_place"), F.when(c("side") == 1, c("place")).alias("new_place"), F.lit(False).alias("equal"))
-
-    def words(df: DataFrame, k: int) -> DataFrame:
-        inside = pages.filter(c("open") & (c("side") == k)).select("doc_id", "gap", "page", "place")
-        return df.select("doc_id", c("page").cast("int").alias("page"), "words").join(inside, ["doc_id", "page"]).select("doc_id", "gap", "place", "words")
-
-    alike = similar_pages(words(old, 0), words(new, 1), ["doc_id", "gap"], "place", ALIKE)
+    large, small = (words.filter(c("open") & x) for x in (c("pairs") > FEW_PAIRS, c("pairs") <= FEW_PAIRS))
+    found = similar_pages(large.filter("side = 0"), large.filter("side = 1"), ["doc_id", "gap"], "place", ALIKE).select("doc_id", "gap", "old_place", "new_place", "sim")
+    side = lambda k, place, name: small.filter(c("side") == k).select("doc_id", "gap", c("place").alias(place), c("words").alias(name))
+    direct = side(0, "old_place", "a").join(side(1, "new_place", "b"), ["doc_id", "gap"])
+    direct = direct.select("doc_id", "gap", "old_place", "new_place", (F.size(F.array_intersect("a", "b")) / F.greatest(F.lit(1), F.size("a"), F.size("b"))).alias("sim")).filter(c("sim") >= ALIKE)
+    alike = found.unionByName(direct)
+    # in most gaps no page has two candidates and no digest comes twice: their pairs are known, and no task need hold the gap
+    pages_of = lambda k: Window.partitionBy("doc_id", "gap", k)
+    alike = alike.withColumn("twice", (F.count("*").over(pages_of("old_place")) > 1) | (F.count("*").over(pages_of("new_place")) > 1))
+    crowded = alike.groupBy("doc_id", "gap").agg(F.max("twice").alias("twice"))
+    opened = pages.filter("open").join(crowded, ["doc_id", "gap"], "left").withColumn("hard", c("repeated") | F.coalesce("twice", F.lit(False)))
+    partner = alike.filter("not twice")
+    partner = partner.select("doc_id", "gap", F.explode(F.array(F.struct(F.lit(0).alias("side"), c("old_place").alias("place"), c("new_place").alias("other")), F.struct(F.lit(1).alias("side"), c("new_place").alias("place"), c("old_place").alias("other")))).alias("p"))
+    partner = partner.select("doc_id", "gap", "p.*")
+    opened = opened.join(partner, ["doc_id", "gap", "side", "place"], "left")
+    easy = opened.filter(~c("hard") & ((c("side") == 0) | c("other").isNull()))
+    easy = easy.select("doc_id", F.when(c("side") == 0, c("place")).otherwise(c("other")).alias("old_place"), F.when(c("side") == 0, c("other")).otherwise(c("place")).alias("new_place"), F.lit(False).alias("equal"))
     nothing = F.lit(None).cast("double")
-    members = pages.filter("open").select("doc_id", "gap", "side", "place", "digest", none.alias("other"), nothing.alias("sim"))
-    listed = alike.select("doc_id", "gap", F.lit(2).alias("side"), c("old_place").alias("place"), F.lit(None).cast("string").alias("digest"), c("new_place").alias("other"), "sim")
+    members = opened.filter("hard").select("doc_id", "gap", "side", "place", "digest", none.alias("other"), nothing.alias("sim"))
+    listed = alike.join(opened.filter("hard").select("doc_id", "gap").distinct(), ["doc_id", "gap"], "left_semi").select("doc_id", "gap", F.lit(2).alias("side"), c("old_place").alias("place"), F.lit(None).cast("string").alias("digest"), c("new_place").alias("other"), "sim")
 
     def pair(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["side", "place"])
@@ -226,7 +260,7 @@ def align_pages(old: DataFrame, new: DataFrame) -> DataFrame:
     filled = members.unionByName(listed).groupBy("doc_id", "gap").applyInPandas(pair, "doc_id long, old_place int, new_place int, equal boolean")
     numbered = pages.filter(~c("met")).groupBy("doc_id", "place").agg(F.max(c("side") == 0).alias("a"), F.max(c("side") == 1).alias("b"), F.max("both").alias("both"))
     numbered = numbered.select("doc_id", F.when(c("a"), c("place")).alias("old_place"), F.when(c("b"), c("place")).alias("new_place"), F.lit(False).alias("equal"), F.coalesce(c("both") > 1, F.lit(False)).alias("unaligned"))
-    met = anchors.unionByName(lone).unionByName(filled).withColumn("unaligned", F.lit(False))
+    met = anchors.unionByName(lone).unionByName(easy).unionByName(filled).withColumn("unaligned", F.lit(False))
     return met.unionByName(numbered)
 
 
@@ -248,15 +282,13 @@ def compare_documents(old: DataFrame, new: DataFrame) -> DataFrame:
     A page without a partner has nothing removed or inserted; equal pages aren't read again.
     """
     c = F.col
-    pairs = checkpointed(align_pages(old, new))
+    pages = checkpointed(placed_pages(old, new))
+    words = checkpointed(changed_words(old, new, pages))
+    pairs = checkpointed(paired_pages(pages, words))
     both = c("old_place").isNotNull() & c("new_place").isNotNull()
     changed = pairs.filter(~c("equal") & both)
-
-    def words(df: DataFrame, place: str, name: str) -> DataFrame:
-        numbered = df.select("doc_id", "words", F.row_number().over(Window.partitionBy("doc_id").orderBy("page")).alias(place))
-        return numbered.select("doc_id", place, c("words").alias(name))
-
-    met = changed.join(words(old, "old_place", "a"), ["doc_id", "old_place"]).join(words(new, "new_place", "b"), ["doc_id", "new_place"])
+    side = lambda k, place, name: words.filter(c("side") == k).select("doc_id", c("place").alias(place), c("words").alias(name))
+    met = changed.join(side(0, "old_place", "a"), ["doc_id", "old_place"]).join(side(1, "new_place", "b"), ["doc_id", "new_place"])
 
     def run(batches):
         for rows in batches:

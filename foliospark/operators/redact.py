@@ -6,11 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import count_matches
+from foliospark.operators.needles import find
 
 PAGE = ["doc_id", "page"]
-#: Needles (in all their encodings) that one search takes.
-MOST_NEEDLES = 10_000
 
 
 def mark_to_rect(marks: DataFrame) -> DataFrame:
@@ -86,18 +84,10 @@ def coalesce_marks(marks: DataFrame, gap: float = 0.012) -> DataFrame:
     return marks.groupBy(*PAGE, "kind").applyInPandas(join, "doc_id long, page int, kind string, nx double, ny double, nw double, nh double")
 
 
-def stated(needles: DataFrame, most: int = MOST_NEEDLES) -> DataFrame:
-    """A stated list, marked for broadcast: every text is searched for each of its rows, so a longer one is refused."""
-    n = needles.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"over {most} needles: search for them in several lists")
-    return F.broadcast(needles)
-
-
 def keyword_hits(texts: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
-    """texts with keyword and n_hits, a row for each lower-case keyword of the stated list that the text holds."""
-    held = texts.join(stated(keywords.select("keyword").distinct()), F.contains(F.lower(text), F.col("keyword")))
-    return held.withColumn("n_hits", count_matches(F.col(text), F.col("keyword")))
+    """texts with keyword and n_hits, a row for each lower-case keyword that the text holds, of any number of them."""
+    searched = texts.withColumn("_lower", F.lower(text))
+    return find(searched, "_lower", keywords.withColumn("_pattern", F.col("keyword")), "_pattern", ["keyword"]).drop("_lower")
 
 
 def residue(blobs: DataFrame, needles: DataFrame) -> DataFrame:
@@ -106,4 +96,4 @@ def residue(blobs: DataFrame, needles: DataFrame) -> DataFrame:
     forms = {"utf8": F.encode(text, "utf-8"), "utf16be": F.encode(text, "utf-16be"), "bom-utf16be": F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "utf-16be")),
              "hex-utf8": F.encode(F.lower(F.hex(F.encode(text, "utf-8"))), "utf-8"), "hex-utf16be": F.encode(F.lower(F.hex(F.encode(text, "utf-16be"))), "utf-8")}
     coded = needles.select("needle", F.explode(F.array(*[F.struct(F.lit(k).alias("enc"), v.alias("bytes")) for k, v in forms.items()])).alias("f"))
-    return blobs.join(stated(coded), F.contains(F.col("content"), F.col("f.bytes"))).select("doc_id", "needle", F.col("f.enc").alias("enc"))
+    return find(blobs.select("doc_id", "content"), "content", coded.select("needle", "f.enc", "f.bytes"), "bytes", ["needle", "enc"]).select("doc_id", "needle", "enc")

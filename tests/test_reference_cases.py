@@ -11,6 +11,7 @@ from foliospark.functions import unicode as U
 from foliospark.operators import compare as C
 from foliospark.operators import jobs as J
 from foliospark.operators import layout as L
+from foliospark.operators import needles as N
 from foliospark.operators import pages as P
 from foliospark.operators import raster as R
 from foliospark.operators import redact as D
@@ -364,12 +365,27 @@ def test_text_diff_clauses(spark):
         assert sorted(x + came) == sorted(y + went)
 
 
-def test_stated_lists(spark):
-    texts = spark.createDataFrame([(1, "One fish, one FISH"), (2, "none"), (3, None)], "i int, text string")
-    words = spark.createDataFrame([("one",), ("fish",), ("one",)], ["keyword"])
-    assert sorted((r.i, r.keyword, r.n_hits) for r in D.keyword_hits(texts, words).collect()) == [(1, "fish", 2), (1, "one", 2), (2, "one", 1)]
-    with pytest.raises(ValueError, match="needles"):
-        D.keyword_hits(texts, spark.range(D.MOST_NEEDLES + 1).selectExpr("string(id) as keyword"))
+def test_keywords(spark):
+    texts = spark.createDataFrame([(1, "One fish, one FISH", "x"), (2, "none", "y"), (3, None, "z"), (4, "aaaaa", None)], "i int, text string, n_hits string").drop("n_hits")
+    words = spark.createDataFrame([("one",), ("fish",), ("one",), ("aa",), ("aaa",), ("",), (None,)], "keyword string")
+    assert sorted((r.i, r.keyword, r.n_hits) for r in D.keyword_hits(texts, words).collect()) == [(1, "fish", 2), (1, "one", 2), (2, "one", 1), (4, "aa", 2), (4, "aaa", 1)]
+    assert D.keyword_hits(texts, words.limit(0)).count() == 0 and D.keyword_hits(texts.limit(0), words).count() == 0
+
+
+@pytest.mark.parametrize("block", [10_000, N.BLOCK_BYTES])
+def test_many_needles(spark, block):
+    """A hundred thousand needles, many inside others, against plain counting; in one block or in many."""
+    rng = random.Random(6)
+    n = 100_000 if block > 10_000 else 6_000
+    needles = {"".join(rng.choice("abcdé") for _ in range(rng.randint(2, 9))) for _ in range(n)} | {f"needle{i}" for i in range(n - 5000)}
+    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 60))) for _ in range(60)] + [f"x needle{i} y" for i in (7, 70, 990)]
+    found = N.find(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", spark.createDataFrame([(w, w) for w in needles], "p string, keyword string"), "p", ["keyword"], block)
+    got = {(r.i, r.keyword): r.n_hits for r in found.collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for w in {t[a:b] for a in range(len(t)) for b in range(a + 2, min(len(t), a + 11) + 1)} & needles:
+            want[i, w] = t.count(w)
+    assert got == want and len(got) > 500
 
 
 def test_numbered(spark):
