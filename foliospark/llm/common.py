@@ -105,3 +105,19 @@ def free_names(df: DataFrame, wanted: list[str]) -> DataFrame:
     """df without columns whose names the operator gives to its own output."""
     lower = {w.lower() for w in wanted}
     return df.drop(*[c for c in df.columns if c.lower() in lower])
+
+
+#: The struct that holds what an operator has no part in.
+REST = "columns_of_the_caller"
+
+
+def own_columns(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns that an operator works on, and all others by number in one struct: no name of theirs can clash with its own."""
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(c for c in docs.columns if c not in own)]
+    return docs.select(*own, F.struct(*rest, F.lit(True).alias("present")).alias(REST))
+
+
+def all_columns(columns: list[str], *own: str, **fresh: Column) -> list[Column]:
+    """The caller's columns from what own_columns made of them; fresh: those that get new values."""
+    place = {c: i for i, c in enumerate(c for c in columns if c not in own)}
+    return [(fresh[c] if c in fresh else F.col(REST)[f"c{place[c]}"] if c in place else F.col(c)).alias(c) for c in columns]

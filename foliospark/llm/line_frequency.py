@@ -13,10 +13,10 @@ near copies can't be told from pages that are mostly menu.
 Defined cases
   null or empty text   no words; the base rules reject it
   null host            a host of its own
-  very long text       judged whole, in time linear in its length but for a sort of its windows
+  very long text       judged whole; its windows are sorted, and each of its lines is looked for by binary search
   repeated rows, ties  judged alike; they count as one document
   empty table          empty result
-  clashing columns     a column of the input with the name of an output column is replaced
+  clashing columns     a column of the input with the name of an output column is replaced; all others stay
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import SPACES, let, small, stored, text_key, words_of
+from foliospark.llm.common import SPACES, all_columns, let, own_columns, small, stored, text_key, words_of
 
+#: Lines that one document's list can hold, as a power of two; shorter lists than this are read through.
+SEARCH_BITS, SHORT = 24, 16
 OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_words_removed", "clean_text", "kept"]
 
 
@@ -96,6 +98,24 @@ def frequent_lines(distinct: DataFrame, max_share: float, min_docs: int) -> Data
     return per_line.join(per_host, F.col("_host").eqNullSafe(F.col("_of"))).filter(F.col("count") > max_share * F.col("docs")).select("_host", "_line")
 
 
+def held_lines(distinct: DataFrame, often: DataFrame) -> DataFrame:
+    """(_of, _key, _gone): for each distinct document the frequent lines of its host that it holds, sorted.
+
+    A document's list is no longer than the document; a host's lines are never gathered.
+    """
+    each = distinct.select(F.col("_host").alias("_of"), "_key", F.explode("_lines").alias("_l"))
+    met = each.join(often, F.col("_of").eqNullSafe(F.col("_host")) & (F.col("_l") == F.col("_line")))
+    return met.groupBy("_of", "_key").agg(F.sort_array(F.collect_set("_l")).alias("_gone"))
+
+
+def among(sorted_: Column, x: Column) -> Column:
+    """Whether the sorted array holds x: by binary search, as an array's own search would make long texts quadratic."""
+    place = lambda at, step: F.when(F.coalesce(F.get(sorted_, at + step - 1) <= x, F.lit(False)), at + step).otherwise(at)
+    steps = F.array(*[F.lit(1 << k) for k in range(SEARCH_BITS - 1, -1, -1)])
+    found = F.get(sorted_, F.aggregate(steps, F.lit(0), place) - 1)
+    return F.when(F.size(sorted_) <= SHORT, F.array_contains(sorted_, x)).otherwise(F.coalesce(found == x, F.lit(False)))
+
+
 def line_frequency_rules(
     docs: DataFrame, text: str = "text", host: str = "source", max_share: float = 0.05, min_docs: int = 20, min_left: float = 0.5
 ) -> DataFrame:
@@ -104,17 +124,16 @@ def line_frequency_rules(
     max_share, min_docs: a line on more of its host's documents than both is removed.
     min_left: a document that keeps a smaller share of its words is depleted.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in OUT])
+    rest = [c for c in docs.columns if c.lower() not in OUT]
     distinct = stored(line_sets(docs, text, host), "line-sets")
-    often = frequent_lines(distinct, max_share, min_docs).groupBy(F.col("_host").alias("_of")).agg(F.collect_set("_line").alias("_often"))
-    often = small(stored(often, "lines"))
-    judged = base_rules(docs, text).withColumn("_h", F.col(host).cast("string"))
-    judged = judged.join(often, judged["_h"].eqNullSafe(often["_of"]), "left")
-    left = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: ~F.array_contains(F.col("_often"), line_hash(x)) | ~x.rlike(r"\S"))
-    judged = judged.withColumn("_clean", F.when(F.col("_often").isNull(), F.col(text)).otherwise(F.when(F.col(text).isNotNull(), F.array_join(left, "\n"))))
-    removed = F.when(F.col("_clean") != F.col(text), F.col("n_words") - F.size(words_of(F.col("_clean"), SPACES))).otherwise(F.lit(0)).cast("long")
-    return (
-        judged.withColumns({"n_words_removed": removed, "clean_text": F.col("_clean")})
-        .withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_words_removed") >= min_left * F.col("n_words")))
-        .drop("_h", "_of", "_often", "_clean")
-    )
+    often = small(stored(frequent_lines(distinct, max_share, min_docs), "lines"))
+    gone = small(stored(held_lines(distinct, often), "held-lines"))
+    packed = own_columns(docs.select(*[F.col(f"`{c}`") for c in rest]), *dict.fromkeys((text, host)))  # one column may be both
+    judged = base_rules(packed, text).withColumns({"_h": F.col(host).cast("string"), "_k": text_key(F.col(text))})
+    judged = judged.join(gone, judged["_h"].eqNullSafe(gone["_of"]) & (judged["_k"] == gone["_key"]), "left")
+    left = F.filter(F.split(F.col(text), "\n"), lambda x: ~x.rlike(r"\S") | ~let(line_hash(x), lambda h: among(F.col("_gone"), h)))
+    judged = judged.withColumn("_clean", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
+    removed = F.when(F.col("_gone").isNotNull(), F.col("n_words") - F.size(words_of(F.col("_clean"), SPACES))).otherwise(F.lit(0)).cast("long")
+    judged = judged.withColumns({"n_words_removed": removed, "clean_text": F.col("_clean")})
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_words_removed") >= min_left * F.col("n_words")))
+    return judged.select(*all_columns(rest, text, host), *OUT)

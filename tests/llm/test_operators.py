@@ -70,6 +70,18 @@ def test_quality_shared_lines_of_large_hosts(spark):
     assert got == {i: (3, own[i], True) if i % 10 == 0 else (0, t, True) for i, t, _ in rows}
 
 
+def test_quality_long_lists_of_lines(spark):
+    """Thousands of shared lines on each page: lists that are searched, and lines that stand between them in order."""
+    word = lambda *n: "".join(chr(97 + x // 16) + chr(97 + x % 16) for x in n)
+    menu = [f"menu {word(i // 200, i % 200)}" for i in range(8000)]
+    texts = ["\n".join([*menu[: 4000 + 100 * i], f"own{word(i)} " * 9000, "", *menu[4000 + 100 * i :], "last " + word(i)]) for i in range(30)]
+    rows = [(i, t, "a", f"x{i}", "y") for i, t in enumerate(texts)]
+    judged = line_frequency.line_frequency_rules(spark.createDataFrame(rows, "doc_id long, text string, source string, _h string, _gone string"))
+    got = {r.doc_id: (r.n_words_removed, r.clean_text, r.kept, r._h, r._gone) for r in judged.collect()}
+    want = brute.boilerplate([r[:3] for r in rows])
+    assert got == {i: (*want[i], f"x{i}", "y") for i in range(30)} and got[0][0] == 16_000
+
+
 # ---- near duplicates
 
 

@@ -63,6 +63,25 @@ def test_special_cases(spark, docs, texts):
     assert max(r["sum(length)"] for r in held) <= 1024 and max(r["count(1)"] for r in held) <= corpus_pipeline.DOCUMENTS
 
 
+#: Names that the operators of the first four stages give to columns of their own.
+OPERATORS_OWN = """kept n_words clean_text word_chars n_symbols n_dup_lines n_repeat_words base_failed n_words_removed spans items n_hit contaminated base key label doc h t present_ row
+    _h _base _of _kept _often _clean _gone _key _k _spans _items _row _cands _more _doc _host _lines columns_of_the_caller component_id n_shingles""".split()
+
+
+def test_columns_pass(spark):
+    """Every column of the caller's goes through all stages with its values, whatever its name."""
+    prose = [" ".join(f"word{(7 * i + j) % 997}x{j}" for j in range(80)) for i in range(12)]
+    rows = [(i, t + f" mail a{i}@b.de", "en", "s", len(t), *(f"{i} {c}" for c in OPERATORS_OWN)) for i, t in enumerate(prose)]
+    schema = ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long", *(f"`{c}` string" for c in OPERATORS_OWN)])
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL)
+        assert docs.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+        got = {r.doc_id: r for r in docs.collect()}
+        assert len(got) == 12 and all(got[i][c] == f"{i} {c}" for i in got for c in OPERATORS_OWN)
+    assert all("[email]" in r.text and r.n_chars == len(r.text) and r.lang == "en" and r.source == "s" for r in got.values())
+
+
 def test_frequent_lines_are_gone(spark):
     """What the quality rules remove from a text isn't in the stage's output."""
     word = lambda *n: "".join(chr(97 + x // 16) + chr(97 + x % 16) for x in n)
