@@ -21,13 +21,14 @@ def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
   from (select *, lag(state) over (partition by item_id order by seq) as was from job_events)"""))
 def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.element_at(F.array(*map(F.lit, STATES)), (F.col("event_id") % len(STATES) + 1).cast("int"))
-    return S.drained(S.job_states(S.event_stream(spark, sf_dir).select(F.col("user_id").alias("item_id"), "ts", "event_id", state.alias("state"))))
+    events = S.event_stream(spark, sf_dir).select(F.col("user_id").alias("item_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", state.alias("state"))
+    return S.settled_rows(events, S.job_states, "ts")[0]
 
 
 @register("x3_stream_token_frames", "select date_trunc('hour', ts) as start, count(*) as tokens, round(sum(value), 4) as total from events group by 1")
 def stream_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    framed = S.token_frames(S.event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value")
-    return S.drained(framed, "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    events = S.event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "value")
+    return S.settled_rows(events, lambda rows: S.token_frames(rows, "ts", "value"), "ts")[0].withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @register("x4_stream_page_verdicts", "select event_id, case when value <= 0.5 then 'blank' when value <= 1.5 then 'near' else 'content' end as verdict from events")
