@@ -109,7 +109,7 @@ def flatten_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("r8_deskew_search")
 def deskew_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.deskew_search(grid_pixels(spark, sf_dir))
+    return R.deskew_search(page_rasters(spark, sf_dir))
 
 
 _S, _C = math.sin(math.radians(2.0)), math.cos(math.radians(2.0))

@@ -1,5 +1,6 @@
 """Golden cases of the operators, on tiny inputs."""
 
+import math
 import random
 
 import pandas as pd
@@ -279,12 +280,49 @@ def test_blank_and_regions(spark):
     assert flat == "content"
 
 
-def test_deskew_finds_a_planted_angle(spark):
-    import math
+def deskewed(spark, pages):
+    df = spark.createDataFrame([(1, i, p) for i, p in enumerate(pages)], "doc_id long, page int, rows array<array<int>>")
+    return {r.page: (r.angle, r.score) for r in R.deskew_search(df).collect()}
 
-    cells = {(x, round(40 + 12 * k + x * math.tan(math.radians(2)))) for k in range(5) for x in range(150)}
-    got = R.deskew_search(spark.createDataFrame([(1, 1, x, y, 0) for x, y in cells], "doc_id long, page int, x int, y int, grey int")).first()
-    assert abs(got.angle - 2) <= 0.5
+
+def test_deskew_finds_a_planted_angle(spark):
+    """Bars turned by -4 degrees need a turn of 4, also on a page that is thinned; a flat page none."""
+
+    def bars(angle, size, times=1):
+        wide, high = size
+        page = [[255] * wide for _ in range(high)]
+        c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+        for below in (-144, -72, 0, 72, 144):
+            for t in range(-160, 161):
+                x, y = round(wide / 2 + times * (t * c - below * s)), round(high / 2 + times * (t * s + below * c))
+                for dy in range(4 * times):
+                    for dx in range(40):
+                        if 0 <= x + dx < wide and 0 <= y + dy < high:
+                            page[y + dy][x + dx] = 20
+        return page
+
+    got = deskewed(spark, [bars(-4, (400, 560)), bars(3, (400, 560)), bars(-4, (1200, 1680), 3), [[255] * 40] * 30, [], [[], [10]]])
+    assert abs(got[0][0] - 4) <= 0.5 and abs(got[1][0] + 3) <= 0.5 and abs(got[2][0] - 4) <= 1 and got[3] == (0, 0) and got[4] == (0, 0) and got[5][0] == 0
+
+
+def test_deskew_against_plain_loops(spark):
+    rng = random.Random(5)
+    pages = [[[rng.choice([255, 255, 200, 30, 160]) for _ in range(rng.randint(0, 30))] for _ in range(rng.randint(1, 20))] for _ in range(12)]
+
+    def score(page, angle):
+        high, wide = len(page), max(map(len, page))
+        s, c = math.sin(math.radians(angle)), math.cos(math.radians(angle))
+        ink = [0] * high
+        for y, row in enumerate(page):
+            for x, v in enumerate(row):
+                at = math.floor(high / 2 + (x - wide / 2) * s + (y - high / 2) * c + 0.5)
+                if v <= 160 and 0 <= at < high:
+                    ink[at] += 255 - v
+        return sum((v - sum(ink) / high) ** 2 for v in ink) / high
+
+    for i, (angle, best) in deskewed(spark, pages).items():
+        scores = {a / 2: score(pages[i], a / 2) for a in range(-10, 11)}
+        assert best == pytest.approx(max(scores.values())) and scores[angle] == pytest.approx(best) and (angle == 0 or scores[0] < best)
 
 
 def test_marks(spark):
