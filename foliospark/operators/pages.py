@@ -125,28 +125,33 @@ def route_pages(pages: DataFrame, page_fn: Callable[[DataFrame], DataFrame], lea
     return both.select(*key, F.when(n == F.coalesce(due, F.lit(0)), F.col("text")).otherwise(wrong.cast("string")).alias("text"))
 
 
-def walk_tree(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(node, depth, path, cut) level by level from the roots of (node, parent, title); cycles are cut.
-
-    cut: the node is at the last depth and has children, which aren't walked.
+def walk_tree(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, depth, path, cut) of all that is below the roots of (node, parent, ...), by doubling pointers.
+
+    Each round a node that hasn't reached a root takes over the pointer of the one it points to, and the path between:
+    after k rounds it has 2^k ancestors, so a tree of depth 1,000 takes ten joins. A path that meets a node twice is
+    dropped: cycles are cut. Nodes whose ancestors end at a missing node aren't below a root, and aren't given. A node
+    with several parents has a row for each of its paths.
+    cut: max_depth is given, the node is at the last depth that it allows and has children, which aren't given.
     """
-    level = nodes.filter("parent is null").select("node", F.lit(0).alias("depth"), F.array("node").alias("path"))
-    children = nodes.filter("parent is not null").select(F.col("node").alias("child"), F.col("parent").alias("up"))
-    open_ = F.lit(False)
-    found = level.withColumn("cut", open_)
-    for depth in range(1, max_depth):
-        level = level.join(children, F.col("node") == F.col("up")).filter(~F.array_contains("path", F.col("child")))
-        level = level.select(F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path"))
-        level = checkpointed(level)
-        if level.isEmpty():
-            return found
-        if depth == max_depth - 1:
-            parents = children.select(F.col("up").alias("_up")).distinct()
-            level = level.join(parents, F.col("node") == F.col("_up"), "left").select("node", "depth", "path", F.col("_up").isNotNull().alias("cut"))
-            found = found.unionByName(level)
-        else:
-            found = found.unionByName(level.withColumn("cut", open_))
-    return found
+    state = nodes.select("node", F.col("parent").alias("up"), F.array("node").alias("path"))
+    done, open_, reach = state.filter("up is null"), state.filter("up is not null"), 1
+    while max_depth is None or reach < max_depth:
+        at = done.unionByName(open_).select(F.col("node").alias("_at"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        joined = open_.join(at, F.col("up") == F.col("_at")).filter(~F.arrays_overlap("_path", "path"))
+        stepped = checkpointed(joined.select("node", F.col("_up").alias("up"), F.concat("_path", "path").alias("path")))
+        found, open_, reach = stepped.filter("up is null"), stepped.filter("up is not null"), reach * 2
+        if found.isEmpty():  # a longer path would have one of this round's length before it
+            break
+        done = done.unionByName(found)
+        if open_.isEmpty():
+            break
+    out = done.select("node", (F.size("path") - 1).alias("depth"), "path")
+    if max_depth is None:
+        return out.withColumn("cut", F.lit(False))
+    parents = nodes.filter("parent is not null").select(F.col("parent").alias("_up")).distinct()
+    last = out.filter(F.col("depth") < max_depth).join(parents, F.col("node") == F.col("_up"), "left")
+    return last.select("node", "depth", "path", ((F.col("depth") == max_depth - 1) & F.col("_up").isNotNull()).alias("cut"))
 
 
 def manifest_diff(a: DataFrame, b: DataFrame, key: str, revision: str) -> DataFrame:

@@ -8,7 +8,7 @@ are then in its row of the table, and at most whole pages are shuffled.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,33 +152,122 @@ def rotate_raster(rasters: DataFrame, degrees: float) -> DataFrame:
     return middle.withColumn("rows", turned).drop("_cx", "_cy")
 
 
-def change_regions(mask: DataFrame) -> DataFrame:
-    """(doc_id, page, region, x0, y0, x1, y1, ink): 8-connected components of changed pixels of each page of visual_diff."""
+def changed_runs(mask: DataFrame, strip: int) -> DataFrame:
+    """(doc_id, page, strip, last, ys, x0s, x1s): the runs of changed pixels of every `strip` scanlines, by y and x0."""
+    n = F.size("rows")
+    ks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / strip).cast("int")))
+    part = lambda k: F.struct(k.alias("strip"), (k * strip + strip >= n).alias("last"), F.slice("rows", k * strip + 1, F.lit(strip)).alias("lines"))
+    # outer, as in scanlines
+    cut = mask.select(*PAGE, F.explode_outer(F.transform(ks, part)).alias("s")).filter("s is not null")
+
+    def edges(line: Column, step: int) -> Column:
+        """The x of changed pixels whose neighbour on that side isn't changed."""
+        ends = lambda p, x: p["changed"] & ~F.coalesce(F.get(line, x + step)["changed"], F.lit(False))
+        return F.array_compact(F.transform(line, lambda p, x: F.when(ends(p, x), x)))
+
+    first = F.col("s.strip") * strip
+    runs = F.flatten(F.transform("s.lines", lambda line, y: F.zip_with(edges(line, -1), edges(line, 1), lambda a, b: F.struct((first + y).alias("y"), a.alias("x0"), b.alias("x1")))))
+    made = cut.select(*PAGE, "s.strip", "s.last", runs.alias("runs"))
+    return made.select(*PAGE, "strip", "last", F.col("runs.y").alias("ys"), F.col("runs.x0").alias("x0s"), F.col("runs.x1").alias("x1s"))
+
+
+def merge_touching(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, unite: Callable[[int, int], None]) -> None:
+    """Unite the runs (by y and x0) of each two lines that follow one another where they touch, corners included: one sweep."""
+    above, below = 0, int(np.searchsorted(y, y[0], "right")) if len(y) else 0
+    while below < len(y):
+        if y[above] == y[below]:
+            below += 1
+        elif y[above] < y[below] - 1 or x1[above] + 1 < x0[below]:
+            above += 1
+        elif x0[above] > x1[below] + 1:
+            below += 1
+        else:
+            unite(above, below)
+            # the run that ends first meets no further one
+            if x1[above] < x1[below]:
+                above += 1
+            else:
+                below += 1
+
+
+def change_regions(mask: DataFrame, strip: int = 256) -> DataFrame:
+    """(doc_id, page, region, x0, y0, x1, y1, ink): 8-connected components of changed pixels of each page of visual_diff.
+
+    Strips of scanlines are labelled alone, by runs of pixels; a part is known by its first pixel. Parts of a page are
+    then united where their runs meet along the borders of strips: for a page that is one strip nothing is left to do,
+    for others only the runs on borders go to one task. Regions are numbered by their first pixels, line by line.
+    """
     import pandas as pd
 
-    def label(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x"], ignore_index=True)
-        place = {(x, y): i for i, (x, y) in enumerate(zip(page["x"], page["y"], strict=True))}
-        root = np.arange(len(page))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for (x, y), i in place.items():
-            for near in ((x - 1, y), (x - 1, y - 1), (x, y - 1), (x + 1, y - 1)):
-                if near in place:
-                    a, b = find(i), find(place[near])
-                    root[max(a, b)] = min(a, b)
-        page["region"] = [find(i) for i in range(len(page))]
-        page["region"] = page["region"].rank(method="dense").astype(int) - 1
-        out = page.groupby("region", as_index=False).agg(x0=("x", "min"), y0=("y", "min"), x1=("x", "max"), y1=("y", "max"), ink=("x", "size"))
-        return out.assign(doc_id=page["doc_id"].iloc[0], page=page["page"].iloc[0])[["doc_id", "page", "region", "x0", "y0", "x1", "y1", "ink"]]
-
-    pixels = scanlines(mask).select(*PAGE, F.col("y"), F.posexplode_outer("line").alias("x", "p")).filter("p.changed")
-    return pixels.select(*PAGE, "x", "y").groupBy(*PAGE).applyInPandas(label, "doc_id long, page int, region int, x0 int, y0 int, x1 int, y1 int, ink long")
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(11)]
+            for doc, page, k, last, *runs in zip(*(batch.column(c) for c in ("doc_id", "page", "strip", "last", "ys", "x0s", "x1s")), strict=True):
+                y, x0, x1 = (np.asarray(r.values, np.int64) for r in runs)
+                find, unite = union(len(y))
+                merge_touching(y, x0, x1, unite)
+                root = np.fromiter(map(find, range(len(y))), np.int64, len(y))
+                tops, at = np.unique(root, return_inverse=True)
+                box = [np.full(len(tops), np.iinfo(np.int64).max), y[tops], np.full(len(tops), -1), np.full(len(tops), -1)]
+                for into, value, op in ((box[0], x0, np.minimum), (box[2], x1, np.maximum), (box[3], y, np.maximum)):
+                    op.at(into, at, value)
+                name = (y << 32) + x0
+                ink = np.bincount(at, x1 - x0 + 1, len(tops)).astype(np.int64)
+                # border runs: those of the first line meet what is above, those of the last what is below
+                edge = np.zeros(len(y), bool)
+                if k.as_py():
+                    edge |= y == k.as_py() * strip
+                if not last.as_py():
+                    edge |= y == (k.as_py() + 1) * strip - 1
+                none = np.zeros(len(tops), np.int64)
+                for column, parts, border in zip(
+                    out[2:], (name[tops], *box, ink, none, none, none), (name[root[edge]], *[np.zeros(edge.sum(), np.int64)] * 5, y[edge], x0[edge], x1[edge]), strict=True
+                ):
+                    column.append(np.concatenate([parts, border]))
+                rows = len(tops) + int(edge.sum())
+                out[0].append(np.full(rows, doc.as_py()))
+                out[1].append(np.full(rows, page.as_py()))
+            flat = [np.concatenate([np.zeros(0, np.int64), *c]) for c in out]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.int64(), *[pa.int32()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(flat, kinds, strict=True)], names=names)
+
+    def along_borders(runs: pd.DataFrame) -> pd.DataFrame:
+        runs = runs.sort_values(["y", "a", "b"], ignore_index=True)
+        parts, at = np.unique(runs["part"].to_numpy(), return_inverse=True)
+        find, unite = union(len(parts))
+        merge_touching(*(runs[c].to_numpy() for c in ("y", "a", "b")), lambda i, j: unite(at[i], at[j]))
+        root = np.fromiter(map(find, range(len(parts))), np.int64, len(parts))
+        return pd.DataFrame({"doc_id": runs["doc_id"].iloc[0], "page": runs["page"].iloc[0], "part": parts, "root": parts[root]})
+
+    kinds = ["doc_id long", "page int", "part long", "x0 int", "y0 int", "x1 int", "y1 int", "ink long", "y int", "a int", "b int"]
+    names = [k.split()[0] for k in kinds]
+    labelled = changed_runs(mask, strip).repartition(*PAGE, "strip").mapInArrow(label, ", ".join(kinds))
+    parts = labelled.filter("ink > 0").drop("y", "a", "b").withColumn("root", F.lit(None).cast("long"))
+    roots = labelled.filter("ink = 0").select(*PAGE, "part", "y", "a", "b").groupBy(*PAGE).applyInPandas(along_borders, "doc_id long, page int, part long, root long")
+    # one shuffle, by page: parts and their roots meet in a group, then the parts of a root, then a page's regions
+    both = parts.unionByName(roots, allowMissingColumns=True).repartition(*PAGE)
+    box = lambda: [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("ink").alias("ink")]
+    named = both.groupBy(*PAGE, "part").agg(*box(), F.coalesce(F.min("root"), "part").alias("root"))
+    regions = named.groupBy(*PAGE, "root").agg(*box())
+    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("root")) - 1
+    return regions.withColumn("region", number).select(*PAGE, "region", "x0", "y0", "x1", "y1", "ink")
+
+
+def union(n: int) -> tuple[Callable[[int], int], Callable[[int, int], None]]:
+    """find and unite over 0 .. n-1; a set's root is its smallest member."""
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def unite(i: int, j: int) -> None:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+
+    return find, unite
 
 
 def first_regions(regions: DataFrame, most: int) -> DataFrame:

@@ -350,6 +350,61 @@ def test_tree_cuts_cycles(spark):
     assert sorted((r.node, r.depth) for r in P.walk_tree(nodes).collect()) == [("a", 0), ("b", 1), ("c", 2)]
 
 
+def test_deep_tree(spark):
+    """A chain of 1,000 with twigs, in about ten rounds; the cap as an option; several parents; missing parents; loops."""
+    rows = [("0", None), *[(str(i), str(i - 1)) for i in range(1, 1000)], *[(f"t{i}", str(i)) for i in range(0, 1000, 100)]]
+    nodes = spark.createDataFrame(rows, "node string, parent string")
+    rounds, plain = [], P.checkpointed
+    P.checkpointed = lambda df: rounds.append(1) or plain(df)
+    try:
+        got = {r.node: (r.depth, r.path[-3:]) for r in P.walk_tree(nodes).collect()}
+    finally:
+        P.checkpointed = plain
+    assert len(rounds) <= 11 and len(got) == 1010
+    assert got["999"] == (999, ["997", "998", "999"]) and got["t900"] == (901, ["899", "900", "t900"])
+    cut = {r.node: r.cut for r in P.walk_tree(nodes, 32).collect()}
+    assert set(cut) == {*map(str, range(32)), "t0"} and [n for n, c in cut.items() if c] == ["31"]
+    odd = [("a", None), ("b", "a"), ("c", "b"), ("b", "c"), ("d", "b"), ("d", "a"), ("x", "gone"), ("l", "l"), (None, "a")]
+    walked = P.walk_tree(spark.createDataFrame(odd, "node string, parent string")).filter("node is not null")
+    assert sorted("/".join(r.path) for r in walked.collect()) == ["a", "a/b", "a/b/c", "a/b/d", "a/d"]
+    assert P.walk_tree(nodes.limit(0)).count() == 0
+
+
+def regions_of(grid):
+    """Plain flood fill: (x0, y0, x1, y1, ink) of the 8-connected sets of True, by their first cells."""
+    left, out = {(y, x) for y, line in enumerate(grid) for x, v in enumerate(line) if v}, []
+    for cell in sorted(left):
+        if cell in left:
+            left.remove(cell)
+            todo, seen = [cell], []
+            while todo:
+                y, x = todo.pop()
+                seen.append((y, x))
+                near = {(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            ys, xs = zip(*seen, strict=True)
+            out.append((min(xs), min(ys), max(xs), max(ys), len(seen)))
+    return out
+
+
+@pytest.mark.parametrize("strip", [1, 2, 5, 256])
+def test_regions_across_strips(spark, strip):
+    """Parts of strips are one region where they touch, whatever the height of strips: noise, spirals, ragged and empty lines."""
+    draw = random.Random(7)
+    grids = [[[draw.random() < share for _ in range(draw.randint(0, 23))] for _ in range(n)] for share in (0.1, 0.3, 0.45, 0.6) for n in (1, 7, 30)]
+    spiral = [[(min(x, y, 22 - x, 22 - y) % 2 == 0 and (x, y) != (0, 1 + x)) for x in range(23)] for y in range(23)]
+    comb = [[x % 2 == 0 or y == 18 for x in range(21)] for y in range(19)]
+    grids += [spiral, comb, [], [[], [True], []], [[True, False], [], [True, True]], [[False] * 5] * 9]
+    pages = [(1, k, [[(0, 0, v) for v in line] for line in grid]) for k, grid in enumerate(grids)]
+    mask = spark.createDataFrame([*pages, (2, 0, None)], "doc_id long, page int, rows array<array<struct<grey: int, other: int, changed: boolean>>>")
+    got = R.change_regions(mask, strip).orderBy("doc_id", "page", "region").collect()
+    assert all(r.doc_id == 1 for r in got)
+    for k, grid in enumerate(grids):
+        assert [tuple(r)[3:] for r in got if r.page == k] == regions_of(grid)
+        assert [r.region for r in got if r.page == k] == list(range(len(regions_of(grid))))
+
+
 def test_rungs(spark):
     df = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 5.0), ("a", 3, 4.0)], "k string, quality int, bytes double")
     assert [r.bytes for r in J.rung_points(df, ["k"]).orderBy("quality").collect()] == [10.0, 10.0, 5.0]
