@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.unicode import nfkc
 
-#: Beyond this a coordinate is garbage; and pages with more items are set aside.
+#: Beyond the first a coordinate is garbage; pages of more items have no tables and no markdown.
 COORDINATE_LIMIT, MAX_ITEMS = 1e6, 20_000
+#: Rows are split only where more than this is left over, far above what rounding makes of a running mean.
+SLACK = 1e-6
 PAGE = ["doc_id", "page"]
 #: Names of fonts that are bold.
 BOLD = r"(?i)bold|black|heavy"
@@ -162,14 +165,13 @@ def census(pages: DataFrame, least: int = 32) -> DataFrame:
 # ---- kernels whose result depends on the order of the items of a page
 
 
-def first_fit_rows(baselines: list[float], sizes: list[float]) -> list[int]:
-    """Row of each item: the first whose running mean baseline is within max(2, 0.35 size); rows numbered downwards."""
+def fold_rows(baselines: list[float], near: list[float]) -> list[int]:
+    """Row of each item: the first whose running mean baseline is near enough; rows numbered downwards."""
     means: list[float] = []
     counts: list[int] = []
     rows = []
-    for b, s in zip(baselines, sizes, strict=True):
-        near = max(2.0, 0.35 * s)
-        at = next((i for i, m in enumerate(means) if abs(m - b) <= near), None)
+    for b, reach in zip(baselines, near, strict=True):
+        at = next((i for i, m in enumerate(means) if abs(m - b) <= reach), None)
         if at is None:
             means.append(b)
             counts.append(1)
@@ -182,6 +184,28 @@ def first_fit_rows(baselines: list[float], sizes: list[float]) -> list[int]:
     return [place[r] for r in rows]
 
 
+def first_fit_rows(baselines: list[float], sizes: list[float]) -> list[int]:
+    """Row of each item: the first whose running mean baseline is within max(2, 0.35 size); rows numbered downwards.
+
+    A mean lies among the baselines of its row. So the items are split where none reaches across a gap, what is left of
+    them that all reach each other is one row, and only the rest is folded item by item: no step looks at all rows.
+    """
+    b, near = np.asarray(baselines, float), np.maximum(2.0, 0.35 * np.asarray(sizes, float))
+    order = np.argsort(b, kind="stable")
+    at, up, down = b[order], np.maximum.accumulate((b + near)[order]), np.minimum.accumulate((b - near)[order][::-1])[::-1]
+    parts = np.split(order, np.flatnonzero((at[1:] - up[:-1] > SLACK) & (down[1:] - at[:-1] > SLACK)) + 1)
+    rows, n = np.zeros(len(b), int), 0
+    for part in parts if len(b) else []:
+        if b[part[-1]] - b[part[0]] + SLACK <= near[part].min():
+            rows[part] = n
+            n += 1
+        else:
+            part.sort()
+            rows[part] = np.add(fold_rows(b[part].tolist(), near[part].tolist()), n)
+            n = int(rows[part].max()) + 1
+    return rows.tolist()
+
+
 def extent(page: pd.DataFrame) -> float:
     return 0.0 if page.empty else float((page["baseline"] + 0.25 * page["size"]).max() - (page["baseline"] - page["size"]).min())
 
@@ -218,27 +242,42 @@ def reading_regions(page: pd.DataFrame, body: float, depth: int = 0) -> Iterator
 
 
 def reading_order(items: DataFrame) -> DataFrame:
-    """doc_id, page, line_no, off, region: regions of each page in reading order.
-
-    A page of more than MAX_ITEMS items isn't cut: its region is -1.
-    """
+    """doc_id, page, line_no, off, region: regions of each page in reading order. A page is cut in one task, in a time of n log n."""
 
     def cut(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(["baseline", "x0"], kind="stable", ignore_index=True)
         half = (page["size"] * 2 + 0.5).floordiv(1) / 2
         body = float(half.value_counts(sort=True).index[0])
-        if len(page) > MAX_ITEMS:
-            return page[["doc_id", "page", "line_no", "off"]].assign(region=-1)
         return pd.concat([p[["doc_id", "page", "line_no", "off"]].assign(region=i) for i, p in enumerate(reading_regions(page, body))])
 
     return sanitise_items(items).groupBy(*PAGE).applyInPandas(cut, "doc_id long, page int, line_no int, off int, region int")
 
 
 def first_fit(items: DataFrame) -> DataFrame:
-    """doc_id, page, line_no, off, row_no by running mean baselines."""
+    """doc_id, page, line_no, off, row_no by running mean baselines, as first_fit_rows.
 
-    def rows(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["line_no", "off"], ignore_index=True)
-        return page[["doc_id", "page", "line_no", "off"]].assign(row_no=first_fit_rows(page["baseline"].tolist(), page["size"].tolist()))
-
-    return items.groupBy(*PAGE).applyInPandas(rows, "doc_id long, page int, line_no int, off int, row_no int")
+    Windows split a page at gaps that no item reaches across; its parts are dealt to tasks in chunks of about MAX_ITEMS,
+    so that a page of any size is no one's group, and one of the usual size is a single chunk.
+    """
+    b = F.col("baseline")
+    w, back = Window.partitionBy(*PAGE).orderBy("baseline"), Window.partitionBy(*PAGE).orderBy(F.desc("baseline"))
+    near = F.greatest(F.lit(2.0), 0.35 * F.col("size"))
+    reach = items.select(*PAGE, "line_no", "off", "baseline", "size", F.min(b - near).over(back).alias("down"))  # of all from here on, equal baselines too
+    reach = reach.withColumn("up", F.max(b + near).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("before", F.lag("baseline").over(w))
+    opens = F.coalesce((b - F.col("up") > SLACK) & (F.col("down") - F.col("before") > SLACK), F.lit(False))
+
+    def rows(items: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values(["line_no", "off"], ignore_index=True)
+        return items[[*PAGE, "line_no", "off", "chunk"]].assign(row=first_fit_rows(items["baseline"].tolist(), items["size"].tolist()))
+
+    dealt = reach.withColumn("chunk", chunk_of(opens, w)).select(*PAGE, "line_no", "off", "baseline", "size", "chunk")
+    fitted = dealt.groupBy(*PAGE, "chunk").applyInPandas(rows, "doc_id long, page int, line_no int, off int, chunk long, row int")
+    number = F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("chunk", "row")) - 1
+    return fitted.select(*PAGE, "line_no", "off", number.alias("row_no"))
+
+
+def chunk_of(opens: Column, order: Window, size: int = MAX_ITEMS) -> Column:
+    """The number of the chunk of each row of an ordered window: whole parts, of which `opens` marks the first rows, by the place where they start."""
+    starts = F.when(opens, F.row_number().over(order) - 1)
+    # a marked row's equals in the order follow it: they are in its part, and the sum is theirs too
+    return F.floor(F.coalesce(F.max(starts).over(order), F.lit(0)) / size)

@@ -1,7 +1,7 @@
 """Table regions and markdown of pages: kernels of one page, run for all pages of a corpus.
 
-A page is the group of one task; pages with more items than MAX_ITEMS are set
-aside with a reason rather than cut.
+A page is the group of one task; pages with more items than a caller's
+maximum are set aside with a reason rather than cut.
 """
 
 from __future__ import annotations
@@ -9,10 +9,13 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from foliospark.operators.layout import BOLD, MAX_ITEMS, first_fit_rows, reading_regions, sanitise_items
+from foliospark.operators.layout import BOLD, MAX_ITEMS, PAGE, chunk_of, first_fit_rows, reading_regions, sanitise_items
 
+#: Parts of a page are split only beyond what rounding makes of shares of its height.
+EPSILON = 1e-9
 MIN_GAP, MIN_GUTTERS, EDGE, COVER = 6.0, 2, 3.0, 0.65
 #: Glyphs that open a list item.
 BULLET = re.compile(r"[•▪◦‣·*]\s+")
@@ -103,12 +106,12 @@ def table_of(band: pd.DataFrame) -> tuple[list[list[str]], pd.DataFrame] | None:
 REGION = "doc_id long, page int, region int, rows array<array<string>>, x0 double, y0 double, x1 double, y1 double, refused string"
 
 
-def detect_tables(items: DataFrame) -> DataFrame:
+def detect_tables(items: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """REGION rows: tables of each page by bands; bands with rotated text and pages with too many items are refused."""
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
         doc, number, out = page["doc_id"].iloc[0], page["page"].iloc[0], []
-        if len(page) > MAX_ITEMS:
+        if len(page) > max_items:
             out.append((doc, number, 0, None, None, None, None, None, "items"))
         else:
             for band in bands(with_rows(page.sort_values(["baseline", "x0"], ignore_index=True))):
@@ -172,15 +175,15 @@ def table_markdown(rows: list[list[str]]) -> str:
     return "\n".join([line(rows[0]), line(["---"] * len(rows[0])), *map(line, rows[1:])])
 
 
-def page_markdown(items: DataFrame) -> DataFrame:
+def page_markdown(items: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """(doc_id, page, markdown, refused): the first table, with the text above before it and the text below behind it.
 
-    A page of more than MAX_ITEMS items has no markdown, and `items` as the reason.
+    A page of more than max_items items has no markdown, and `items` as the reason.
     """
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(["baseline", "x0"], ignore_index=True)
-        if len(page) > MAX_ITEMS:
+        if len(page) > max_items:
             return pd.DataFrame([(page["doc_id"].iloc[0], page["page"].iloc[0], None, "items")], columns=columns)
         body = float(((page["size"] * 2 + 0.5).floordiv(1) / 2).value_counts().index[0])
         text = lambda part: [m for r in reading_regions(part, body) if (m := region_markdown(r, body))] if len(part) else []
@@ -199,13 +202,26 @@ def page_markdown(items: DataFrame) -> DataFrame:
 
 
 def group_runs_relative(items: DataFrame, height: float) -> DataFrame:
-    """(doc_id, page, run, text, x0, x1): runs whose band follows the tallest item so far, texts put together as they are."""
+    """(doc_id, page, run, text, x0, x1): runs whose band follows the tallest item so far, texts put together as they are.
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
+    Windows split a page where an item lies further down than the tallest one above could reach; its parts are dealt to
+    tasks in chunks of about MAX_ITEMS, and a task looks for an item's band in the item's part alone.
+    """
+    y, h = F.col("baseline") / height, F.col("size") / height
+    w = Window.partitionBy(*PAGE).orderBy("baseline")
+    tallest = F.max(h).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(y - F.lag(y).over(w) > F.greatest(F.lit(0.004), 0.35 * tallest) + EPSILON, F.lit(False))
+    parts = items.select(*PAGE, "baseline", "x0", "x1", "size", "str").withColumn("opens", opens)
+    parts = parts.withColumn("part", F.sum(F.col("opens").cast("int")).over(w)).withColumn("chunk", chunk_of(F.col("opens"), w)).drop("opens")
+
+    def bands_of(items: pd.DataFrame) -> pd.DataFrame:
         rows: list[list] = []
-        for item in page.sort_values(["baseline", "x0"]).itertuples(index=False):
+        first, part = 0, None  # the part's first band
+        for item in items.sort_values(["baseline", "x0", "str"]).itertuples(index=False):
             y, h = item.baseline / height, item.size / height
-            band = next((b for b in rows if abs(b[0] - y) <= max(0.004, 0.35 * b[1])), None)
+            if item.part != part:
+                first, part = len(rows), item.part
+            band = next((b for b in rows[first:] if abs(b[0] - y) <= max(0.004, 0.35 * b[1])), None)
             if band is None:
                 rows.append([y, h, [item]])
             else:
@@ -216,11 +232,13 @@ def group_runs_relative(items: DataFrame, height: float) -> DataFrame:
             last = None
             for item in sorted(members, key=lambda i: i.x0):
                 if last is not None and -1 <= (item.x0 - last) / (h * height) <= 2.5:
-                    out[-1][3] += item.str
-                    out[-1][5] = max(out[-1][5], item.x1)
+                    out[-1][4] += item.str
+                    out[-1][6] = max(out[-1][6], item.x1)
                 else:
-                    out.append([item.doc_id, item.page, len(out), item.str, item.x0, item.x1])
+                    out.append([item.doc_id, item.page, item.chunk, len(out), item.str, item.x0, item.x1])
                 last = item.x1
-        return pd.DataFrame(out, columns=["doc_id", "page", "run", "text", "x0", "x1"])
+        return pd.DataFrame(out, columns=["doc_id", "page", "chunk", "at", "text", "x0", "x1"])
 
-    return items.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, run int, text string, x0 double, x1 double")
+    found = parts.groupBy(*PAGE, "chunk").applyInPandas(bands_of, "doc_id long, page int, chunk long, at int, text string, x0 double, x1 double")
+    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("chunk", "at")) - 1
+    return found.select(*PAGE, number.alias("run"), "text", "x0", "x1")

@@ -558,11 +558,73 @@ def test_pages_with_too_many_items(spark):
 
     many = spark.range(MAX_ITEMS + 1).selectExpr("1L as doc_id", "1 as page", "cast(id as int) as line_no", "0 as off", "'x' as str", "cast(id % 500 as double) as x0", "cast(id % 500 + 5 as double) as x1", "cast(id div 500 * 12 as double) as baseline", "10D as size", "false as rotated", "'Serif' as font_name")
     assert [r.refused for r in G.detect_tables(many).collect()] == ["items"] and G.page_markdown(many).first().refused == "items"
-    assert L.reading_order(many).filter("region = -1").count() == MAX_ITEMS + 1
+    assert {r.region for r in L.reading_order(many).collect()} == {0}
+    assert [r.refused for r in G.detect_tables(many, MAX_ITEMS + 1).collect() if r.refused] == []
     few = G.detect_tables(many.limit(MAX_ITEMS)).collect()
     assert not any(r.refused == "items" for r in few)
 
 
+def plain_first_fit(baselines, sizes):
+    """Item by item over all rows so far."""
+    return L.fold_rows(baselines, [max(2.0, 0.35 * s) for s in sizes])
+
+
+def plain_runs(items, height):
+    """(text, x0, x1) of the runs of a page in order, item by item over all bands so far."""
+    rows, out = [], []
+    for i in sorted(items, key=lambda i: (i["baseline"], i["x0"], i["str"])):
+        y, h = i["baseline"] / height, i["size"] / height
+        for row in rows:
+            if abs(row["y"] - y) <= max(0.004, 0.35 * row["h"]):
+                row["h"] = max(row["h"], h)
+                row["items"].append(i)
+                break
+        else:
+            rows.append({"y": y, "h": h, "items": [i]})
+    for row in rows:
+        last = None
+        for i in sorted(row["items"], key=lambda i: i["x0"]):
+            if last is not None and -1 <= (i["x0"] - last) / (row["h"] * height) <= 2.5:
+                out[-1] = (out[-1][0] + i["str"], out[-1][1], max(out[-1][2], i["x1"]))
+            else:
+                out.append((i["str"], i["x0"], i["x1"]))
+            last = i["x1"]
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 20, 20_000])
+def test_rows_split_at_gaps(spark, monkeypatch, chunk):
+    """Pages split at gaps give what the fold of the whole page gives: level, uneven, drifting and equal baselines, tall and tiny items."""
+    draw, pages = random.Random(3), []
+    for kind in range(40):
+        n, step = draw.choice([1, 3, 40, 150]), draw.choice([0.4, 3.0, 12.0, 30.0])
+        pages.append([(round(draw.randrange(n) * step + draw.uniform(0, kind % 5), draw.choice([1, 6])), draw.choice([4.0, 9.5, 10.0, 40.0]) if kind % 2 else 10.0) for _ in range(n)])
+    pages.append([(k * 1.9, 10.0) for k in range(400)])
+    rows = [(1, p, k // 7, k % 7, chr(97 + k % 26), float(draw.randrange(500)), 5.0 * draw.randrange(1, 9), b, s, False, "Serif") for p, page in enumerate(pages) for k, (b, s) in enumerate(page)]
+    rows = [(*r[:6], r[5] + r[6], *r[7:]) for r in rows]
+    items = spark.createDataFrame(rows, "doc_id long, page int, line_no int, off int, str string, x0 double, x1 double, baseline double, size double, rotated boolean, font_name string")
+    monkeypatch.setattr(L.chunk_of, "__defaults__", (chunk,))
+    fitted = L.first_fit(items).orderBy("page", "line_no", "off").collect()
+    runs = G.group_runs_relative(items, 842.0).orderBy("page", "run").collect()
+    for p, page in enumerate(pages):
+        want = plain_first_fit(*map(list, zip(*page, strict=True)))
+        assert L.first_fit_rows(*map(list, zip(*page, strict=True))) == want
+        assert [r.row_no for r in fitted if r.page == p] == want
+        named = [{"str": r[4], "x0": r[5], "x1": r[6], "baseline": r[7], "size": r[8]} for r in rows if r[1] == p]
+        assert [(r.text, r.x0, r.x1) for r in runs if r.page == p] == plain_runs(named, 842.0)
+        assert [r.run for r in runs if r.page == p] == list(range(len(plain_runs(named, 842.0))))
+    assert L.first_fit_rows([], []) == [] and L.first_fit(items.limit(0)).count() == 0
+
+
+def test_page_of_many_rows(spark):
+    """200,000 items of one page, 50,000 rows: no step goes over all rows for each item."""
+    many = spark.range(200_000).selectExpr("1L as doc_id", "1 as page", "cast(id as int) as line_no", "0 as off", "'x' as str", "cast(id % 4 * 100 as double) as x0", "cast(id % 4 * 100 + 5 as double) as x1", "cast(id div 4 * 12 as double) as baseline", "10D as size", "false as rotated")
+    got = L.first_fit(many).agg(F.max("row_no").alias("top"), F.count_if(F.expr("row_no != line_no div 4")).alias("wrong")).first()
+    assert (got.top, got.wrong) == (49_999, 0)
+    assert L.reading_order(many).filter("region != line_no % 4").isEmpty()  # four columns
+    assert G.group_runs_relative(many, 842.0).count() == 200_000
+
+
 def test_runs_by_the_tallest(spark):
     items = page_items(spark, [("ab", 50, 100, 10, "S"), ("cd", 60, 101, 14, "S"), ("far", 200, 100, 10, "S"), ("low", 50, 120, 10, "S")])
     got = sorted((r.text, r.x0, r.x1) for r in G.group_runs_relative(items, 842.0).collect())
