@@ -157,23 +157,41 @@ def rotate_raster(rasters: DataFrame, degrees: float) -> DataFrame:
     return middle.withColumn("rows", turned).drop("_cx", "_cy")
 
 
+def runs_of(flags: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, x0, x1) of the runs of set flags in lines of these lengths that lie one behind the other."""
+    ends = np.cumsum(lengths)
+    begins = ends - lengths
+    edge = np.zeros(len(flags) + 1, bool)
+    edge[begins] = edge[ends] = True
+    starts = np.flatnonzero(flags & (edge[:-1] | ~np.concatenate([[False], flags[:-1]])))
+    stops = np.flatnonzero(flags & (edge[1:] | ~np.concatenate([flags[1:], [False]])))
+    line = np.searchsorted(ends, starts, "right")
+    return line, starts - begins[line], stops - begins[line]
+
+
 def changed_runs(mask: DataFrame, strip: int) -> DataFrame:
     """(doc_id, page, strip, last, ys, x0s, x1s): the runs of changed pixels of every `strip` scanlines, by y and x0."""
     n = F.size("rows")
     ks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / strip).cast("int")))
-    part = lambda k: F.struct(k.alias("strip"), (k * strip + strip >= n).alias("last"), F.slice("rows", k * strip + 1, F.lit(strip)).alias("lines"))
+    part = lambda k: F.struct(k.alias("strip"), (k * strip + strip >= n).alias("last"), F.transform(F.slice("rows", k * strip + 1, F.lit(strip)), lambda line: line["changed"]).alias("lines"))
     # outer, as in scanlines
-    cut = mask.select(*PAGE, F.explode_outer(F.transform(ks, part)).alias("s")).filter("s is not null")
-
-    def edges(line: Column, step: int) -> Column:
-        """The x of changed pixels whose neighbour on that side isn't changed."""
-        ends = lambda p, x: p["changed"] & ~F.coalesce(F.get(line, x + step)["changed"], F.lit(False))
-        return F.array_compact(F.transform(line, lambda p, x: F.when(ends(p, x), x)))
+    cut = mask.select(*PAGE, F.explode_outer(F.transform(ks, part)).alias("s")).filter("s is not null").select(*PAGE, "s.*")
 
-    first = F.col("s.strip") * strip
-    runs = F.flatten(F.transform("s.lines", lambda line, y: F.zip_with(edges(line, -1), edges(line, 1), lambda a, b: F.struct((first + y).alias("y"), a.alias("x0"), b.alias("x1")))))
-    made = cut.select(*PAGE, "s.strip", "s.last", runs.alias("runs"))
-    return made.select(*PAGE, "strip", "last", F.col("runs.y").alias("ys"), F.col("runs.x0").alias("x0s"), F.col("runs.x1").alias("x1s"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strips = batch.column("lines")
+            lines = strips.flatten()
+            flags = lines.flatten().fill_null(False).to_numpy(zero_copy_only=False)
+            line, x0, x1 = runs_of(flags, lines.value_lengths().fill_null(0).to_numpy().astype(np.int64))
+            ends = np.cumsum(strips.value_lengths().to_numpy())  # in lines
+            of = np.searchsorted(ends, line, "right")
+            firsts = batch.column("strip").to_numpy() * strip - np.concatenate([[0], ends[:-1]])
+            at = pa.array(np.searchsorted(of, np.arange(len(ends) + 1)), pa.int32())
+            found = [pa.ListArray.from_arrays(at, pa.array(c, pa.int32())) for c in (firsts[of] + line, x0, x1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *found], names=[*batch.schema.names[:4], "ys", "x0s", "x1s"])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in (*((f.name, f.dataType.simpleString()) for f in cut.schema.fields[:4]), *((c, "array<int>") for c in ("ys", "x0s", "x1s"))))
+    return cut.mapInArrow(run, kinds)
 
 
 def merge_touching(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, unite: Callable[[int, int], None]) -> None:

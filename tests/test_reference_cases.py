@@ -388,6 +388,15 @@ def regions_of(grid):
     return out
 
 
+@pytest.mark.parametrize("strip", [1, 2, 256])
+def test_regions_of_nulls(spark, strip):
+    """Null pixels and lines aren't changed; pages without lines have no region."""
+    one, none, same = (0, 9, True), (0, None, None), (0, 0, False)
+    pages = [(1, 1, [[one, none, one], None, [], [same, one]]), (2, 1, []), (3, 1, None), (4, 1, [[]])]
+    mask = spark.createDataFrame(pages, "doc_id long, page int, rows array<array<struct<grey: int, other: int, changed: boolean>>>")
+    assert sorted(tuple(r) for r in R.change_regions(mask, strip).collect()) == [(1, 1, 0, 0, 0, 0, 0, 1), (1, 1, 1, 2, 0, 2, 0, 1), (1, 1, 2, 1, 3, 1, 3, 1)]
+
+
 @pytest.mark.parametrize("strip", [1, 2, 5, 256])
 def test_regions_across_strips(spark, strip):
     """Parts of strips are one region where they touch, whatever the height of strips: noise, spirals, ragged and empty lines."""
