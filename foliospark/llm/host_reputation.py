@@ -16,6 +16,8 @@ Defined cases
   null url or no ://      empty host and path; judged by the rate of the empty host
   null label              not an outcome
   very long url           judged whole
+  user, port, final dot   part of the host, not of its domain and suffix
+  host that is a suffix   its own domain
   repeated labels         a page is bad if one of its labels is
   repeated pages, ties    each row is judged; each counts as an outcome of its host
   unlabelled host         its domain's, suffix's or the overall posterior
@@ -33,7 +35,12 @@ from foliospark.llm.common import ascii_lower, small, stored
 #: (rule, verdict): host and path prefix.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 #: Second-level labels under which countries register names.
-SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "net", "org"]
+SECOND_LEVEL = ["ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "gv", "ltd", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch"]
+#: Further suffixes under which anybody gets a name. The whole public list may be given in its place.
+SUFFIXES = [
+    "appspot.com", "azurewebsites.net", "blogspot.com", "cloudfront.net", "firebaseapp.com", "fly.dev", "github.io", "gitlab.io",
+    "herokuapp.com", "id.au", "me.uk", "netlify.app", "pages.dev", "readthedocs.io", "vercel.app", "web.app", "workers.dev",
+]
 OUT = ["host", "path", "rule", "verdict", "domain", "suffix", "bad_rate", "bad_bound"]
 #: The prior's strength lies between these, in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
@@ -47,17 +54,36 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    """The public suffix: the last label, or the last two as in co.uk; empty for an address."""
-    two = rf"(?:^|\.)((?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}})$"
-    last = F.regexp_extract(host, r"([^.]*)$", 1)
-    return F.when(host.rlike(r"^[0-9.:\[\]]+$"), F.lit("")).when(host.rlike(two), F.regexp_extract(host, two, 1)).otherwise(last)
+def name_of(host: Column) -> Column:
+    """The host without user, port and final dots."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@|:[0-9]*\z", ""), r"\.+\z", "")
 
 
-def domain_of(host: Column, suffix: Column) -> Column:
+def suffix_of(name: Column, suffixes: list[str] = SUFFIXES) -> Column:
+    """The public suffix: the longest that is stated, else two labels as in co.uk, else the last label; empty for an address.
+
+    suffixes are in the form of the public list: `io`, `*.ck` for all names below one, `!www.ck` for what isn't a suffix
+    all the same. They become sets within the expression; no table of hosts is joined with them.
+    """
+    plain = [x for x in suffixes if x[0] not in "*!"]
+    below, never = [x[2:] for x in suffixes if x[0] == "*"], [x[1:] for x in suffixes if x[0] == "!"]
+    longest = max((x.count(".") + 1 for x in suffixes), default=1)
+    two = rf"(?:^|\.)((?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}})\z"
+    found = F.when(name.rlike(two), F.regexp_extract(name, two, 1)).otherwise(F.regexp_extract(name, r"([^.]*)\z", 1))
+    labels = F.size(F.split(name, r"\."))
+    for n in range(1, longest + 1):
+        tail, rest = F.substring_index(name, ".", -n), F.substring_index(name, ".", 1 - n)
+        stated = tail.isin(*plain) | (rest.isin(*below) if n > 1 else F.lit(False))
+        found = F.when((labels >= n) & stated, tail).otherwise(found)
+    for n in range(2, longest + 1) if never else ():
+        found = F.when((labels >= n) & F.substring_index(name, ".", -n).isin(*never), F.substring_index(name, ".", 1 - n)).otherwise(found)
+    return F.when(name.rlike(r"^[0-9.:\[\]]+\z") | name.startswith("["), F.lit("")).otherwise(found)
+
+
+def domain_of(name: Column, suffix: Column) -> Column:
     """The registered domain: one label more than the suffix; an address is its own."""
-    parts, labels = F.split(host, r"\."), F.size(F.split(suffix, r"\.")) + 1
-    return F.when(suffix == "", host).otherwise(F.concat_ws(".", F.slice(parts, F.greatest(F.size(parts) - labels + 1, F.lit(1)), labels)))
+    parts, labels = F.split(name, r"\."), F.size(F.split(suffix, r"\.")) + 1
+    return F.when(suffix == "", name).otherwise(F.concat_ws(".", F.slice(parts, F.greatest(F.size(parts) - labels + 1, F.lit(1)), labels)))
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -103,13 +129,13 @@ def reputations(hosts: DataFrame, z: float) -> DataFrame:
 
 def host_reputation(
     pages: DataFrame, labels: DataFrame, url: str = "url", page: str = "page_id", label_id: str = "doc_id", bad: str = "toxic",
-    rules: list[tuple[str, str]] = RULES, max_bad: float = 0.5, z: float = 1.645,
+    rules: list[tuple[str, str]] = RULES, max_bad: float = 0.5, z: float = 1.645, suffixes: list[str] = SUFFIXES,
 ) -> DataFrame:
     """pages with the columns OUT; a page is filtered when its verdict is block."""
     pages = pages.drop(*[c for c in pages.columns if c.lower() in OUT])
     split = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    split = split.withColumn("suffix", suffix_of(F.col("host")))
-    split = split.withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    split = split.withColumn("suffix", suffix_of(name_of(F.col("host")), suffixes))
+    split = split.withColumn("domain", domain_of(name_of(F.col("host")), F.col("suffix")))
 
     outcome = labels.filter(F.col(bad).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.max((F.col(bad) > 0).cast("long")).alias("_bad"))
     seen = split.select(F.col(page).alias("_page"), "host", "domain", "suffix").join(outcome, F.col("_page") == F.col("_id"), "left")

@@ -8,14 +8,20 @@ with split as (
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
   from pages),
+bare as (
+  select *, regexp_replace(regexp_replace(host, '(?s)^.*@|:[0-9]*\z', '', 'g'), '\.+\z', '') as name from split),
 suffixed as (
-  select *, case when regexp_matches(host, '^[0-9.:\[\]]+$') then ''
-    when regexp_matches(host, '(?:^|\.)((?:ac|co|com|edu|gov|net|org)\.[a-z]{2})$') then regexp_extract(host, '(?:^|\.)((?:ac|co|com|edu|gov|net|org)\.[a-z]{2})$', 1)
-    else regexp_extract(host, '([^.]*)$', 1) end as suffix
-  from split),
+  select *, case when regexp_matches(name, '^[0-9.:\[\]]+\z') or starts_with(name, '[') then ''
+    when regexp_extract(name, '([^.]*\.[^.]*)\z', 1) in ('appspot.com', 'azurewebsites.net', 'blogspot.com', 'cloudfront.net', 'firebaseapp.com', 'fly.dev', 'github.io', 'gitlab.io',
+      'herokuapp.com', 'id.au', 'me.uk', 'netlify.app', 'pages.dev', 'readthedocs.io', 'vercel.app', 'web.app', 'workers.dev')
+      then regexp_extract(name, '([^.]*\.[^.]*)\z', 1)
+    when regexp_matches(name, '(?:^|\.)((?:ac|co|com|edu|go|gob|gouv|gov|gv|ltd|mil|ne|net|nhs|nom|or|org|plc|sch)\.[a-z]{2})\z')
+      then regexp_extract(name, '(?:^|\.)((?:ac|co|com|edu|go|gob|gouv|gov|gv|ltd|mil|ne|net|nhs|nom|or|org|plc|sch)\.[a-z]{2})\z', 1)
+    else regexp_extract(name, '([^.]*)\z', 1) end as suffix
+  from bare),
 named as (
-  select *, case when suffix = '' then host
-    else array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - len(string_split(suffix, '.')), 1), len(string_split(host, '.'))), '.') end as domain
+  select *, case when suffix = '' then name
+    else array_to_string(list_slice(string_split(name, '.'), greatest(len(string_split(name, '.')) - len(string_split(suffix, '.')), 1), len(string_split(name, '.'))), '.') end as domain
   from suffixed),
 outcome as (select doc_id, max((toxic > 0)::bigint) as bad from labels where toxic is not null group by doc_id),
 hosts as (
