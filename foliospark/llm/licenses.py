@@ -88,8 +88,40 @@ LICENSES = [
     ("agpl-{}", "1.0 3.0", "agpl", 0.2),
     ("sspl-1.0 busl-1.1 elastic-2.0 json polyform-noncommercial-1.0.0 polyform-small-business-1.0.0", "", "restricted", 0.1),
 ]
+#: Names of published licences of many versions, as (names, label, how permissive); any version follows a name.
+FAMILIES = [
+    ("afl ecl mulanpsl lppl naist ogl-uk oldap php w3c zpl python unicode cecill-b etalab", "permissive", 1.0),
+    ("apl apsl artistic cal cecill cecill-c cern-ohl cpal cua-opl frameworx liliq-p liliq-r liliq-rplus nasa nosl nposl oclc ofl osl qpl rpl rpsl rscpl sissl spl odbl ms-rl", "copyleft", 0.5),
+    ("nlod odc-by", "permissive", 0.9),
+    ("gfdl", "gfdl", 0.4),
+]
+FAMILY = {name: (label, x) for names, label, x in FAMILIES for name in names.split()}
+#: Published exceptions that may stand behind `with`.
+EXCEPTIONS = frozenset("""
+389-exception asterisk-exception autoconf-exception-2.0 autoconf-exception-3.0 autoconf-exception-generic autoconf-exception-macro
+bison-exception-1.24 bison-exception-2.2 bootloader-exception classpath-exception-2.0 clisp-exception-2.0 cryptsetup-openssl-exception
+digirule-foss-exception ecos-exception-2.0 fawkes-runtime-exception fltk-exception fmt-exception font-exception-2.0 freertos-exception-2.0
+gcc-exception-2.0 gcc-exception-2.0-note gcc-exception-3.1 gmsh-exception gnat-exception gnu-compiler-exception gnu-javamail-exception
+gpl-3.0-interface-exception gpl-3.0-linking-exception gpl-3.0-linking-source-exception gpl-cc-1.0 gstreamer-exception-2005
+gstreamer-exception-2008 i2p-gpl-java-exception kicad-libraries-exception lgpl-3.0-linking-exception libpri-openh323-exception
+libtool-exception linux-syscall-note llgpl llvm-exception lzma-exception mif-exception ocaml-lgpl-linking-exception occt-exception-1.0
+openjdk-assembly-exception-1.0 openvpn-openssl-exception ps-or-pdf-font-exception-20170817 qpl-1.0-inria-2004-exception
+qt-gpl-exception-1.0 qt-lgpl-exception-1.1 qwt-exception-1.0 sane-exception shl-2.0 shl-2.1 stunnel-exception swi-exception
+swift-exception texinfo-exception u-boot-exception-2.0 ubdl-exception universal-foss-exception-1.0 vsftpd-openssl-exception
+wxwindows-exception-3.1 x11vnc-openssl-exception
+""".split())
 IDENTIFIERS = {name.format(v): (label, x) for names, versions, label, x in LICENSES for name in names.split() for v in (versions.split() or [""])}
 PERMISSIVE = {label: x for label, x in IDENTIFIERS.values()} | {"gpl": 0.3, "bsd": 1.0, "public-domain": 1.0, "reserved": 0.0}
+PERMISSIVE = {label: x for label, x in FAMILY.values()} | PERMISSIVE
+#: What an identifier's version may be followed by: a country or another stated variant; and an exception, as older identifiers have it.
+VARIANT = re.compile(r"(?<=[0-9a-z])-(?:[a-z]{2}|igo|no-invariants|invariants|cl8|perl|no-rfn|rfn)$")
+OLD_EXCEPTION = re.compile(r"^(.*[0-9])-with-[a-z0-9-]+-exception$")
+VERSION = re.compile(r"-v?[0-9]+(?:\.[0-9]+)*[a-z]?$")
+#: Between two known identifiers a slash is read as `or`, a comma as `and`.
+LIST = re.compile(r"\s*([/,])\s*([A-Za-z0-9.+-]+)")
+RELAXES = 0.2
+#: No published identifier is longer.
+LONGEST = 100
 TAGS = ("license identifier", "licence identifier")
 TAG = re.compile(r"licen[sc]e-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
 TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9.+-]+)")
@@ -100,6 +132,22 @@ TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 1
 FIELDS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
 
 
+def identified(token: str) -> tuple[str, float] | None:
+    """Label and permissiveness of an identifier: a published one, or one made of a known name, a version and stated variants."""
+    if len(token) > LONGEST:
+        return None
+    low = re.sub(r"(-only|-or-later|\+)$", "", token.lower())
+    if m := OLD_EXCEPTION.match(low):
+        found = identified(m[1])
+        return found and (found[0], min(1.0, found[1] + RELAXES))
+    if low in IDENTIFIERS:
+        return IDENTIFIERS[low]
+    if VERSION.search(low) and (found := FAMILY.get(VERSION.sub("", low))):
+        return found
+    shorter = VARIANT.sub("", low)
+    return identified(shorter) if shorter != low and VERSION.search(shorter) else None
+
+
 class Value(NamedTuple):
     labels: frozenset[str]
     permissive: float
@@ -108,12 +156,16 @@ class Value(NamedTuple):
 def evaluate(expression: str) -> Value | None:
     """Labels and permissiveness of a licence expression; None if it is malformed.
 
-    An identifier that isn't known gives no label and permits nothing: with `and` nor does the whole, with `or` the
+    `with` relaxes a licence by a published exception only. An identifier that isn't known gives no label and permits nothing: with `and` nor does the whole, with `or` the
     other side may be chosen.
     """
     tokens, at = [], 0
     while at < len(expression.rstrip()):
         m = TOKEN.match(expression, at)
+        if not m and tokens and (m := LIST.match(expression, at)) and identified(tokens[-1]) and identified(m[2]):
+            tokens += ["or" if m[1] == "/" else "and", m[2]]
+            at = m.end()
+            continue
         if not m:
             break  # the expression ends where other text begins
         tokens.append(m[1])
@@ -126,7 +178,7 @@ def evaluate(expression: str) -> Value | None:
             return False
         op, b, a = operators.pop(), values.pop(), values.pop()
         if op == "with":
-            values.append(Value(a.labels, min(1.0, a.permissive + 0.2) if a.labels else 0.0))
+            values.append(Value(a.labels, min(1.0, a.permissive + (0.0 if b.labels else b.permissive)) if a.labels else 0.0))
         else:
             values.append(Value(a.labels | b.labels, (max if op == "or" else min)(a.permissive, b.permissive)))
         return True
@@ -150,11 +202,14 @@ def evaluate(expression: str) -> Value | None:
                 return None
             operators.pop()
         elif operand and token not in "()" and low not in BINDS:
-            if last in BINDS and token.isalpha() and token.islower() and low not in IDENTIFIERS:
+            if last in BINDS and token.isalpha() and token.islower() and not identified(low):
                 operators.pop()  # a small `and` before a plain word: text behind the expression
                 operand = False
                 break
-            label, x = IDENTIFIERS.get(re.sub(r"(-only|-or-later|\+)$", "", low), (None, 0.0))
+            if operators and operators[-1] == "with":
+                label, x = None, RELAXES if low in EXCEPTIONS else 0.0
+            else:
+                label, x = identified(low) or (None, 0.0)
             values.append(Value(frozenset([label] if label else []), x))
             operand = False
         else:
@@ -195,7 +250,7 @@ def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple:
             expressions.append(m[1].strip())
             value = evaluate(m[1])
             if value is None:
-                labels.update(IDENTIFIERS[t.lower()][0] for t in TOKEN.findall(m[1]) if t.lower() in IDENTIFIERS)
+                labels.update(found[0] for t in TOKEN.findall(m[1]) if (found := identified(t)))
             else:
                 labels.update(value.labels)
                 scores.append(value.permissive)

@@ -213,6 +213,10 @@ def test_licenses(docs):
         ("MIT", {"mit"}, 1.0), ("MIT OR GPL-3.0", {"mit", "gpl-3"}, 1.0), ("MIT AND GPL-3.0", {"mit", "gpl-3"}, 0.3), ("GPL-2.0 WITH Classpath-exception-2.0", {"gpl-2"}, 0.5),
         ("(MIT OR GPL-3.0) AND AGPL-3.0", {"mit", "gpl-3", "agpl"}, 0.2), ("MIT OR GPL-3.0 AND AGPL-3.0", {"mit", "gpl-3", "agpl"}, 1.0), ("unknown-1.0", set(), 0.0), ("mit and more text", {"mit"}, 1.0),
         ("MIT AND LicenseRef-Proprietary", {"mit"}, 0.0), ("MIT OR LicenseRef-Proprietary", {"mit"}, 1.0), ("LicenseRef-X WITH y-exception", set(), 0.0), ("GPL-2.0-or-later OR CC-BY-SA-3.0", {"gpl-2", "cc-by-sa"}, 0.5),
+        ("AFL-2.1", {"permissive"}, 1.0), ("OSL-2.0", {"copyleft"}, 0.5), ("CECILL-2.1", {"copyleft"}, 0.5), ("LPPL-1.3c", {"permissive"}, 1.0), ("MulanPSL-2.0", {"permissive"}, 1.0),
+        ("GFDL-1.3-no-invariants-or-later", {"gfdl"}, 0.4), ("GPL-2.0-with-classpath-exception", {"gpl-2"}, 0.5), ("CC-BY-3.0-US", {"cc-by"}, 0.9), ("Artistic-1.0-cl8", {"copyleft"}, 0.5),
+        ("GPL-2.0 WITH banana", {"gpl-2"}, 0.3), ("GPL-2.0 WITH (MIT)", {"gpl-2"}, 0.3), ("CC-BY-3.0 WITH MIT", {"cc-by"}, 0.9), ("mit-banana", set(), 0.0), ("GPL-2.0-banana", set(), 0.0),
+        ("MIT/GPL-3.0", {"mit", "gpl-3"}, 1.0), ("MIT, GPL-3.0", {"mit", "gpl-3"}, 0.3), ("MIT, see the file", {"mit"}, 1.0), ("1-with-" * 100_000 + "MIT", set(), 0.0),
     ],
 )
 def test_expressions(expression, labels, score):
@@ -314,6 +318,26 @@ def test_communication_matrix():
 # ---- URL filter
 
 
+@pytest.mark.parametrize(
+    ("host", "suffix", "domain"),
+    [
+        ("x.or.jp", "or.jp", "x.or.jp"), ("me.github.io", "github.io", "me.github.io"), ("a.b.co.uk:8080", "co.uk", "b.co.uk"), ("a.b.com.", "com", "b.com"), ("u:p@a.b.org:1", "org", "b.org"),
+        ("co.uk", "co.uk", "co.uk"), ("localhost", "localhost", "localhost"), ("10.0.0.1:80", "", "10.0.0.1"), ("[2001:db8::1]:443", "", "[2001:db8::1]"), ("", "", ""), ("...", "", ""), ("a.me.ck", "me.ck", "a.me.ck"),
+        ("a.www.ck", "ck", "www.ck"), ("ck", "ck", "ck"), ("a.b.c.kobe.jp", "c.kobe.jp", "b.c.kobe.jp"), ("github.io", "github.io", "github.io"), ("a.b.x.y.z", "b.x.y.z", "a.b.x.y.z"),
+    ],
+)
+def test_suffixes(spark, host, suffix, domain):
+    stated = [*host_reputation.SUFFIXES, "*.ck", "!www.ck", "*.kobe.jp", "b.x.y.z"]
+    name = host_reputation.name_of(F.lit(host))
+    found = host_reputation.suffix_of(name, stated)
+    assert tuple(spark.range(1).select(found, host_reputation.domain_of(name, found)).first()) == (suffix, domain)
+
+
+@pytest.mark.parametrize("stated", [[], ["*.ck"], ["!www.ck"]])
+def test_few_suffixes(spark, stated):
+    assert spark.range(1).select(host_reputation.suffix_of(F.lit("a.b.ck"), stated)).first()[0] == ("b.ck" if stated == ["*.ck"] else "ck")
+
+
 def test_rules_and_hosts(spark):
     rows = [
         (1, "http://a.net/x"), (2, "http://EXAMPLE.net/en/1?q=/"), (3, "https://w.example.com/de/"), (4, "x.org/fr/"), (5, None), (6, "http://o.org/fr/a#b"), (7, "http://notexample.com/de/x"),
