@@ -103,10 +103,7 @@ def lcs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pandas as pd
 
     from foliospark.operators.compare import TooDifferent, edit_script
-    from foliospark.plans.compare import page_words
-
-    pages = page_words(spark, sf_dir)
-    pairs = pages.select("doc_id", "page", "words", F.lead("words").over(Window.partitionBy("doc_id").orderBy("page")).alias("next")).filter("next is not null")
+    from foliospark.plans.compare import next_pages
 
     def run(batches):
         for rows in batches:
@@ -118,7 +115,7 @@ def lcs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
                     out.append((doc, page, "wholesale", 0, len(a), 0, len(b)))
             yield pd.DataFrame(out, columns=["doc_id", "page", "kind", "a_start", "a_end", "b_start", "b_end"])
 
-    return pairs.mapInPandas(run, "doc_id long, page int, kind string, a_start int, a_end int, b_start int, b_end int")
+    return next_pages(spark, sf_dir).mapInPandas(run, "doc_id long, page int, kind string, a_start int, a_end int, b_start int, b_end int")
 
 
 @register("d2_suppress_reflow")
