@@ -1,4 +1,4 @@
-"""Unicode normal forms, which Spark has no expression for: small Arrow-batched helpers."""
+"""Unicode normal forms, which Spark has no expression for."""
 
 from __future__ import annotations
 
@@ -26,10 +26,9 @@ def fold_text(c: Column) -> Column:
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility normal form."""
+    """Compatibility normal form, by the ICU library that Spark ships; ASCII is its own.
 
-    @F.pandas_udf("string")
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
-
-    return normal(c)
+    A Python function would lose how the rows are dealt, so that windows over pages had all items shuffled again.
+    """
+    other = c.isNotNull() & (F.octet_length(c) > F.length(c))  # in UTF-8 that is: not ASCII
+    return F.when(other, F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))).otherwise(c)

@@ -55,28 +55,39 @@ def banded(items: DataFrame) -> DataFrame:
 
 def split_runs(items: DataFrame) -> DataFrame:
     """Banded items with run: a new one where the gap is more than 2.5 sizes."""
+    return in_runs(items).drop("_px1", "_psize", "_new")
+
+
+def in_runs(items: DataFrame) -> DataFrame:
+    """split_runs with _new, whether the item opens its run, and _px1, _psize: the end and size of the item before it in its band."""
     w = Window.partitionBy(*PAGE, "band").orderBy("x0")
-    gap = F.col("x0") - F.lag("x1").over(w) > 2.5 * F.greatest(F.lag("size").over(w), F.col("size"))
-    return items.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("run", F.sum("_new").over(w).cast("int")).drop("_new")
+    before = items.withColumns({"_px1": F.lag("x1").over(w), "_psize": F.lag("size").over(w)})
+    gap = F.col("x0") - F.col("_px1") > 2.5 * F.greatest("_psize", "size")
+    return before.withColumn("_new", F.coalesce(gap, F.lit(False))).withColumn("run", F.sum(F.col("_new").cast("int")).over(w).cast("int"))
+
+
+def since_run(total: Column, before: Column) -> Column:
+    """A running total of a band, as of its run: less what it was before the run's first item. Totals don't fall, so the last start is the greatest."""
+    w = Window.partitionBy(*PAGE, "band").orderBy("x0").rowsBetween(Window.unboundedPreceding, 0)
+    return total - F.coalesce(F.max(F.when(F.col("_new"), before)).over(w), F.lit(0))
 
 
 def words_from_items(items: DataFrame) -> DataFrame:
     """doc_id, page, band, run, word_no, text, x0, x1, baseline, size of the words of unrotated items.
 
     A gap of more than 0.2 sizes starts a word, a smaller one glues; white space
-    inside an item splits it, with x in proportion.
+    inside an item splits it, with x in proportion. All numbers are found in one order of a band's items.
     """
-    runs = split_runs(banded(sanitise_items(items).filter(~F.col("rotated"))))
-    w = Window.partitionBy(*PAGE, "band", "run").orderBy("x0")
-    gap = F.col("x0") - F.lag("x1").over(w) > 0.2 * F.greatest(F.lag("size").over(w), F.col("size"))
+    w = Window.partitionBy(*PAGE, "band").orderBy("x0")
     per = F.when(F.length("str") > 0, F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")) / F.length("str")).otherwise(0.0)
-    parts = F.filter(F.split("str", r"\s+"), lambda p: p != "")
-    placed = F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("text"), (F.col("x0") + F.col("per") * (F.length(F.array_join(F.slice(F.col("parts"), 1, i), " ")) + F.when(i > 0, 1).otherwise(0))).alias("a")))
-    flat = runs.withColumn("opens", F.coalesce(gap, F.lit(True))).withColumn("per", per).withColumn("parts", parts)
-    flat = flat.select(*PAGE, "band", "run", F.col("x0").alias("item_x"), "baseline", "size", "opens", "per", F.explode(placed).alias("p"))
-    flat = flat.select("*", (F.col("opens") | (F.col("p.i") > 0)).cast("int").alias("_new"), F.col("p.a").alias("x0"), (F.col("p.a") + F.col("per") * F.length("p.text")).alias("x1"))
-    inside = Window.partitionBy(*PAGE, "band", "run").orderBy("item_x", "p.i")
-    flat = flat.withColumn("word", F.sum("_new").over(inside))
+    runs = in_runs(banded(sanitise_items(items).filter(~F.col("rotated")))).withColumn("parts", F.filter(F.split("str", r"\s+"), lambda p: p != ""))
+    opens = F.col("_new") | F.coalesce(F.col("x0") - F.col("_px1") > 0.2 * F.greatest("_psize", "size"), F.lit(True))
+    runs = runs.withColumn("_more", F.when(F.size("parts") > 0, opens.cast("int") + F.size("parts") - 1).otherwise(0)).withColumn("_upto", F.sum("_more").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = since_run(F.col("_upto"), F.col("_upto") - F.col("_more")) - F.size("parts") + 1  # the word of the item's first part
+    placed = F.transform(F.col("parts"), lambda p, i: F.struct(i.alias("i"), p.alias("text"), (F.col("x0") + F.col("per") * (F.length(F.array_join(F.slice(F.col("parts"), 1, i), " ")) + F.when(i > 0, 1).otherwise(0))).alias("a")))
+    flat = runs.withColumn("per", per).withColumn("first", first)
+    flat = flat.select(*PAGE, "band", "run", "first", F.col("x0").alias("item_x"), "baseline", "size", "per", F.explode(placed).alias("p"))
+    flat = flat.select("*", (F.col("first") + F.col("p.i")).alias("word"), F.col("p.a").alias("x0"), (F.col("p.a") + F.col("per") * F.length("p.text")).alias("x1"))
     return flat.groupBy(*PAGE, "band", "run", "word").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_x", F.col("p.i").alias("i"), F.col("p.text").alias("t")))), lambda s: s["t"]), "").alias("text"),
         F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min_by("baseline", "item_x").alias("baseline"), F.min_by("size", "item_x").alias("size"),
@@ -85,12 +96,13 @@ def words_from_items(items: DataFrame) -> DataFrame:
 
 def run_texts(items: DataFrame) -> DataFrame:
     """doc_id, page, band, run, text, n_items, x0, x1, size, baseline, offsets: items of a run, with a space at gaps."""
-    w = Window.partitionBy(*PAGE, "band", "run").orderBy("x0")
-    runs = split_runs(banded(items.filter(~F.col("rotated"))))
-    gap = F.col("x0") - F.lag("x1").over(w) > 0.2 * F.greatest(F.lag("size").over(w), F.col("size"))
-    space = F.coalesce(gap & ~F.lag("str").over(w).rlike(r"\s$") & ~F.col("str").rlike(r"^\s"), F.lit(False))
-    put = runs.withColumn("put", F.concat(F.when(space, " ").otherwise(""), "str")).withColumn("lead", space.cast("int"))
-    put = put.withColumn("offset", F.coalesce(F.sum(F.length("put")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("lead"))
+    w = Window.partitionBy(*PAGE, "band").orderBy("x0")
+    runs = in_runs(banded(items.filter(~F.col("rotated")))).withColumn("_pstr", F.lag("str").over(w))
+    gap = ~F.col("_new") & (F.col("x0") - F.col("_px1") > 0.2 * F.greatest("_psize", "size"))
+    space = F.coalesce(gap & ~F.col("_pstr").rlike(r"\s$") & ~F.col("str").rlike(r"^\s"), F.lit(False))
+    put = runs.withColumn("lead", space.cast("int")).withColumn("put", F.concat(F.when(F.col("lead") == 1, " ").otherwise(""), "str"))
+    put = put.withColumn("_before", F.coalesce(F.sum(F.length("put")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    put = put.withColumn("offset", since_run(F.col("_before"), F.col("_before")) + F.col("lead"))
     parts = F.array_sort(F.collect_list(F.struct("x0", "put", "offset")))
     return put.groupBy(*PAGE, "band", "run").agg(
         F.array_join(F.transform(parts, lambda p: p["put"]), "").alias("text"), F.count("*").alias("n_items"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
@@ -108,10 +120,13 @@ def box(x0: Column, x1: Column, baseline: Column, size: Column, width: float, he
     )
 
 
+def half_size(size: Column) -> Column:
+    return F.floor(size * 2 + 0.5) / 2
+
+
 def body_size(items: DataFrame) -> DataFrame:
     """The most frequent size of a page, in halves; the first seen on ties."""
-    half = items.withColumn("half", F.floor(F.col("size") * 2 + 0.5) / 2)
-    counts = half.groupBy(*PAGE, "half").agg(F.count("*").alias("n"), F.min(F.struct("line_no", "off")).alias("first"))
+    counts = items.groupBy(*PAGE, half_size(F.col("size")).alias("half")).agg(F.count("*").alias("n"), F.min(F.struct("line_no", "off")).alias("first"))
     best = F.min(F.struct((-F.col("n")).alias("n"), "first", "half"))
     return counts.groupBy(*PAGE).agg(best.alias("b")).select(*PAGE, F.col("b.half").alias("body_size"))
 
@@ -132,10 +147,16 @@ def paragraphs(lines: DataFrame) -> DataFrame:
 
 
 def scanned_lines(items: DataFrame) -> DataFrame:
-    """doc_id, page, line_no, text, size, body_size, bold of the lines of scanned items."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "off", "str"))), lambda p: p["str"]), " ")
-    lines = items.groupBy(*PAGE, "line_no").agg(text.alias("text"), F.max("size").alias("size"), F.bool_or(F.col("font_name").rlike(BOLD)).alias("bold"))
-    return lines.join(body_size(items), PAGE)
+    """doc_id, page, line_no, text, size, body_size, bold of the lines of scanned items: grouped once, the body is found among a page's groups."""
+    parts = items.groupBy(*PAGE, "line_no", half_size(F.col("size")).alias("half")).agg(
+        F.collect_list(F.struct("x0", "off", "str")).alias("items"), F.max("size").alias("size"), F.bool_or(F.col("font_name").rlike(BOLD)).alias("bold"),
+        F.count("*").alias("n"), F.min("off").alias("off"),
+    )
+    same = Window.partitionBy(*PAGE, "half")
+    ranked = parts.withColumn("rank", F.struct((-F.sum("n").over(same)).alias("n"), F.min(F.struct("line_no", "off")).over(same).alias("first"), "half"))
+    ranked = ranked.withColumn("body_size", F.min("rank").over(Window.partitionBy(*PAGE))["half"])
+    text = F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("items"))), lambda p: p["str"]), " ")
+    return ranked.groupBy(*PAGE, "line_no").agg(text.alias("text"), F.max("size").alias("size"), F.max("body_size").alias("body_size"), F.bool_or("bold").alias("bold"))
 
 
 def classify_line(text: Column, size: Column, body: Column, bold: Column) -> Column:
