@@ -227,39 +227,63 @@ def first_fit_rows(baselines: list[float], sizes: list[float]) -> list[int]:
     return rows.tolist()
 
 
-def extent(page: pd.DataFrame) -> float:
-    return 0.0 if page.empty else float((page["baseline"] + 0.25 * page["size"]).max() - (page["baseline"] - page["size"]).min())
+def extent(baseline: np.ndarray, size: np.ndarray) -> float:
+    return float((baseline + 0.25 * size).max() - (baseline - size).min()) if len(baseline) else 0.0
+
+
+def row_means(rows: list[int], values: list[float]) -> list[float]:
+    """The mean of each row's values, rows being numbered from 0; summed with compensation, as pandas does."""
+    n = max(rows) + 1
+    total, lost, count = [0.0] * n, [0.0] * n, [0] * n
+    for r, v in zip(rows, values, strict=True):
+        y = v - lost[r]
+        t = total[r] + y
+        lost[r] = t - total[r] - y
+        total[r] = t
+        count[r] += 1
+    return [t / c for t, c in zip(total, count, strict=True)]
 
 
 def reading_regions(page: pd.DataFrame, body: float, depth: int = 0) -> Iterator[pd.DataFrame]:
     """Leaves of the recursive cut of a page: at the widest gutter between tall columns, else at the widest gap between rows."""
-    if depth >= 6 or len(page) <= 1:
-        yield page
+    x0, x1, baseline, size = (page[c].to_numpy(float) for c in ("x0", "x1", "baseline", "size"))
+    for places in region_places(x0, x1, baseline, size, np.arange(len(page)), body, depth):
+        yield page.iloc[places]
+
+
+def region_places(x0: np.ndarray, x1: np.ndarray, baseline: np.ndarray, size: np.ndarray, at: np.ndarray, body: float, depth: int = 0) -> Iterator[np.ndarray]:
+    """reading_regions as the places of their items."""
+    if depth >= 6 or len(at) <= 1:
+        yield at
         return
-    tall = extent(page)
+    deeper = lambda part: region_places(x0, x1, baseline, size, part, body, depth + 1)
+    left_ends, right_ends, b, s = x0[at], x1[at], baseline[at], size[at]
+    tall = extent(b, s)
     if tall >= 3 * body:
-        order = page.sort_values("x0", kind="stable")
-        reach = order["x1"].cummax().shift(1)
-        starts = order["x0"]
-        reach.iloc[0] = starts.iloc[0]
-        gaps = (starts - reach)[lambda g: g >= 18].sort_values(ascending=False, kind="stable")
-        for at, _ in gaps.items():
-            left, right = page[page["x1"] <= reach[at] + 0.5], page[page["x0"] >= starts[at] - 0.5]
-            if extent(left) >= 0.6 * tall and extent(right) >= 0.6 * tall:
-                yield from reading_regions(left, body, depth + 1)
-                yield from reading_regions(right, body, depth + 1)
+        order = np.argsort(left_ends, kind="stable")
+        starts = left_ends[order]
+        reach = np.concatenate([starts[:1], np.maximum.accumulate(right_ends[order])[:-1]])
+        gaps = starts - reach
+        wide = np.flatnonzero(gaps >= 18)
+        for k in wide[np.argsort(-gaps[wide], kind="stable")]:
+            left, right = right_ends <= reach[k] + 0.5, left_ends >= starts[k] - 0.5
+            if extent(b[left], s[left]) >= 0.6 * tall and extent(b[right], s[right]) >= 0.6 * tall:
+                yield from deeper(at[left])
+                yield from deeper(at[right])
                 return
-    rows = pd.Series(first_fit_rows(page["baseline"].tolist(), page["size"].tolist()), index=page.index)
-    heads = page.assign(row=rows).sort_values(["row", "x0"], kind="stable").groupby("row").agg(baseline=("baseline", "mean"), size=("size", "first"))
-    larger = heads["size"].combine(heads["size"].shift(1), max)
-    gap = heads["baseline"].diff() - larger
-    wide = gap[gap >= 0.9 * larger]
-    if wide.empty:
-        yield page
+    rows = np.asarray(first_fit_rows(b.tolist(), s.tolist()))
+    order = np.lexsort((left_ends, rows))
+    means = np.asarray(row_means(rows[order].tolist(), b[order].tolist()))
+    heads = s[order][np.unique(rows[order], return_index=True)[1]]
+    larger = np.maximum(heads[1:], heads[:-1])
+    gap = np.diff(means) - larger
+    wide = np.flatnonzero(gap >= 0.9 * larger)
+    if not len(wide):
+        yield at
         return
-    cut = wide.idxmax()
-    yield from reading_regions(page[rows < cut], body, depth + 1)
-    yield from reading_regions(page[rows >= cut], body, depth + 1)
+    cut = wide[np.argmax(gap[wide])] + 1
+    yield from deeper(at[rows < cut])
+    yield from deeper(at[rows >= cut])
 
 
 def reading_order(items: DataFrame) -> DataFrame:
@@ -269,7 +293,9 @@ def reading_order(items: DataFrame) -> DataFrame:
         page = page.sort_values(["baseline", "x0"], kind="stable", ignore_index=True)
         half = (page["size"] * 2 + 0.5).floordiv(1) / 2
         body = float(half.value_counts(sort=True).index[0])
-        return pd.concat([p[["doc_id", "page", "line_no", "off"]].assign(region=i) for i, p in enumerate(reading_regions(page, body))])
+        places = list(region_places(*(page[c].to_numpy(float) for c in ("x0", "x1", "baseline", "size")), np.arange(len(page)), body))
+        out = page[["doc_id", "page", "line_no", "off"]].take(np.concatenate(places))
+        return out.assign(region=np.repeat(np.arange(len(places)), [len(p) for p in places]))
 
     return sanitise_items(items).groupBy(*PAGE).applyInPandas(cut, "doc_id long, page int, line_no int, off int, region int")
 

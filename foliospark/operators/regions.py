@@ -7,12 +7,14 @@ maximum are set aside with a reason rather than cut.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.operators.layout import BOLD, MAX_ITEMS, PAGE, chunk_of, first_fit_rows, reading_regions, sanitise_items
+from foliospark.operators.layout import BOLD, MAX_ITEMS, PAGE, chunk_of, first_fit_rows, reading_regions, row_means, sanitise_items
 
 #: Parts of a page are split only beyond what rounding makes of shares of its height.
 EPSILON = 1e-9
@@ -29,67 +31,71 @@ def with_rows(page: pd.DataFrame) -> pd.DataFrame:
 
 def bands(page: pd.DataFrame) -> list[pd.DataFrame]:
     """Runs of rows whose pitch is at most 1.8 times the upper median pitch."""
-    heights = page.groupby("row")["baseline"].mean()
-    pitch = heights.diff().dropna()
-    if pitch.empty:
+    rows = page["row"].to_numpy()
+    heights = row_means(rows.tolist(), page["baseline"].tolist())
+    if len(heights) < 2:
         return [page]
+    pitch = np.diff(heights)
     most = 1.8 * sorted(pitch)[len(pitch) // 2]
-    band = (heights.diff().fillna(0) > most).cumsum()
-    return [part for _, part in page.groupby(page["row"].map(band), sort=True)]
+    band = np.concatenate([[0], np.cumsum(pitch > most)])[rows]
+    return [page.iloc[np.flatnonzero(band == k)] for k in range(band.max() + 1)]
 
 
 def shared_edges(band: pd.DataFrame) -> list[float]:
     """Left edges, within three points of the first seen, that half of the rows have."""
-    found: list[list[float]] = []
-    for x in band.sort_values(["row", "x0"])["x0"]:
-        hit = next((e for e in found if abs(e[0] - x) <= EDGE), None)
-        if hit:
-            hit[1] += 1
+    rows, xs = band["row"].to_numpy(), band["x0"].to_numpy()
+    edges: list[float] = []  # in order; no two are within three points of each other, so that an x has two at most
+    seen: dict[float, list[int]] = {}  # their hits, and when they were first seen
+    for x in xs[np.lexsort((xs, rows))].tolist():
+        near = edges[bisect_left(edges, x - EDGE - EPSILON) : bisect_right(edges, x + EDGE + EPSILON)]
+        hit = min((e for e in near if abs(e - x) <= EDGE), key=lambda e: seen[e][1], default=None)
+        if hit is None:
+            insort(edges, x)
+            seen[x] = [1, len(seen)]
         else:
-            found.append([x, 1])
-    return sorted(x for x, n in found if n >= -(-band["row"].nunique() // 2))
+            seen[hit][0] += 1
+    return [x for x in edges if seen[x][0] >= -(-len(np.unique(rows)) // 2)]
 
 
 def gutters(band: pd.DataFrame) -> list[float]:
     """Left end and corridor midpoints where no item crosses a gap of over six points; none if there are too few."""
-    order = band.sort_values("x0")
-    reach = order["x1"].cummax().shift(1)
-    wide = order["x0"] - reach > MIN_GAP
-    found = ((order["x0"] + reach) / 2)[wide].tolist()
-    return [float(order["x0"].min()), *found] if len(found) >= MIN_GUTTERS else []
+    order = np.argsort(band["x0"].to_numpy(), kind="stable")
+    starts, reach = band["x0"].to_numpy()[order][1:], np.maximum.accumulate(band["x1"].to_numpy()[order])[:-1]
+    found = ((starts + reach) / 2)[starts - reach > MIN_GAP].tolist()
+    return [float(band["x0"].min()), *found] if len(found) >= MIN_GUTTERS else []
 
 
 def column_of(xs: pd.Series, columns: list[float]) -> pd.Series:
     """Number of the column whose band holds each x; -1 before the first."""
-    edges = [c - EDGE for c in columns]
-    return pd.Series([sum(x >= e for e in edges) - 1 for x in xs], index=xs.index)
+    return pd.Series(np.searchsorted([c - EDGE for c in columns], xs.to_numpy(), side="right") - 1, index=xs.index)
 
 
 def covered(band: pd.DataFrame, columns: list[float], inked: bool) -> bool:
     """Whether the upper median extent of every column but the last is at most 0.65 of its width."""
-    at = column_of(band["x0"], columns)
+    ends: dict[int, dict[int, tuple[float, float]]] = {}
+    for i, r, x0, x1 in zip(column_of(band["x0"], columns).tolist(), band["row"].tolist(), band["x0"].tolist(), band["x1"].tolist(), strict=True):
+        a, b = ends.setdefault(i, {}).get(r, (x0, x1))
+        ends[i][r] = min(a, x0), max(b, x1)
     for i in range(len(columns) - 1):
-        cells = band[at == i].groupby("row").agg(a=("x0", "min"), b=("x1", "max"))
-        if cells.empty:
-            continue
-        extent = sorted(cells["b"] - (cells["a"] if inked else columns[i]))
-        if extent[len(extent) // 2] > COVER * (columns[i + 1] - columns[i]):
+        extent = sorted(b - (a if inked else columns[i]) for a, b in ends.get(i, {}).values())
+        if extent and extent[len(extent) // 2] > COVER * (columns[i + 1] - columns[i]):
             return False
     return True
 
 
 def grid(band: pd.DataFrame, columns: list[float]) -> tuple[list[list[str]], pd.DataFrame] | None:
     """Cell texts of the rows that fill two columns or more, and their items; None under three such rows."""
-    named = band.assign(col=column_of(band["x0"], columns))[lambda b: b["col"] >= 0].sort_values(["row", "x0"])
-    full = named.groupby("row")["col"].transform("nunique") >= 2
-    named = named[full]
-    if named["row"].nunique() < 3:
+    named = band.assign(col=column_of(band["x0"], columns))
+    order = np.lexsort((named["x0"].to_numpy(), named["row"].to_numpy()))
+    cells: dict[int, dict[int, list[str]]] = {}
+    for r, col, text in zip(*(named[c].to_numpy()[order].tolist() for c in ("row", "col", "str")), strict=True):
+        if col >= 0:
+            cells.setdefault(r, {}).setdefault(col, []).append(" ".join(text.split()))
+    full = [r for r, by in cells.items() if len(by) >= 2]
+    if len(full) < 3:
         return None
-    rows = []
-    for _, r in named.groupby("row", sort=True):
-        texts = r.groupby("col")["str"].agg(lambda s: " ".join(" ".join(x.split()) for x in s))
-        rows.append([texts.get(i, "") for i in range(len(columns))])
-    return rows, named
+    rows = [[" ".join(cells[r].get(i, [])) for i in range(len(columns))] for r in full]
+    return rows, named.iloc[order][lambda n: (n["col"] >= 0) & n["row"].isin(full)]
 
 
 def table_of(band: pd.DataFrame) -> tuple[list[list[str]], pd.DataFrame] | None:
@@ -127,16 +133,23 @@ def detect_tables(items: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
 
 def line_texts(part: pd.DataFrame) -> pd.DataFrame:
     """Rows of items as lines: text, x0, baseline, size, bold."""
-    def join(r: pd.DataFrame) -> str:
+    def join(items: list[tuple]) -> str:
         text, last = "", None
-        for s, x0, x1, size in r[["str", "x0", "x1", "size"]].itertuples(index=False):
+        for s, x0, x1, size in items:
             gap = last is not None and x0 - last[0] > max(1.0, 0.2 * last[1])
             text += (" " if gap and not text[-1:].isspace() and not s[:1].isspace() else "") + s
             last = x1, size
         return " ".join(text.split())
 
-    named = with_rows(part).sort_values(["row", "x0"])
-    lines = [(join(r), r["x0"].min(), r["baseline"].mean(), r["size"].max(), r["font_name"].str.contains(BOLD_NAME).any()) for _, r in named.groupby("row", sort=True)]
+    rows = np.asarray(first_fit_rows(part["baseline"].tolist(), part["size"].tolist()))
+    order = np.lexsort((part["x0"].to_numpy(), rows))
+    rows = rows[order].tolist()
+    texts, x0, x1, baseline, size, fonts = (part[c].to_numpy()[order].tolist() for c in ("str", "x0", "x1", "baseline", "size", "font_name"))
+    means, lines, first = row_means(rows, baseline), [], 0
+    for last in [*(k for k in range(1, len(rows)) if rows[k] != rows[k - 1]), len(rows)]:
+        at = slice(first, last)
+        lines.append((join(list(zip(texts[at], x0[at], x1[at], size[at], strict=True))), min(x0[at]), means[rows[first]], max(size[at]), any(BOLD_NAME.search(f) for f in set(fonts[at]) if f)))
+        first = last
     return pd.DataFrame([x for x in lines if x[0]], columns=["text", "x0", "baseline", "size", "bold"])
 
 
