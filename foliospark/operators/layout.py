@@ -300,6 +300,11 @@ def reading_order(items: DataFrame) -> DataFrame:
     return sanitise_items(items).groupBy(*PAGE).applyInPandas(cut, "doc_id long, page int, line_no int, off int, region int")
 
 
+def in_order(rows: DataFrame, group: list[str], *order: str | Column) -> DataFrame:
+    """rows with opens, whether one is the first of its group: a group's rows lie one behind the other in a task, in that order."""
+    return rows.withColumn("opens", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) == 1)
+
+
 def first_fit(items: DataFrame) -> DataFrame:
     """doc_id, page, line_no, off, row_no by running mean baselines, as first_fit_rows.
 

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from foliospark.operators.layout import BOLD, MAX_ITEMS, PAGE, chunk_of, first_fit_rows, reading_regions, row_means, sanitise_items
+from foliospark.operators.layout import BOLD, MAX_ITEMS, PAGE, first_fit_rows, in_order, reading_regions, row_means, sanitise_items
 
-#: Parts of a page are split only beyond what rounding makes of shares of its height.
+#: What rounding makes of places.
 EPSILON = 1e-9
 MIN_GAP, MIN_GUTTERS, EDGE, COVER = 6.0, 2, 3.0, 0.65
 #: Glyphs that open a list item.
@@ -217,41 +218,46 @@ def page_markdown(items: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
 def group_runs_relative(items: DataFrame, height: float) -> DataFrame:
     """(doc_id, page, run, text, x0, x1): runs whose band follows the tallest item so far, texts put together as they are.
 
-    Windows split a page where an item lies further down than the tallest one above could reach; its parts are dealt to
-    tasks in chunks of about MAX_ITEMS, and a task looks for an item's band in the item's part alone.
+    Spark sorts a page's items downwards. An item that the last band doesn't reach is reached by none before it, so they
+    are read one by one, and only the last band is held.
     """
-    y, h = F.col("baseline") / height, F.col("size") / height
-    w = Window.partitionBy(*PAGE).orderBy("baseline")
-    tallest = F.max(h).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.coalesce(y - F.lag(y).over(w) > F.greatest(F.lit(0.004), 0.35 * tallest) + EPSILON, F.lit(False))
-    parts = items.select(*PAGE, "baseline", "x0", "x1", "size", "str").withColumn("opens", opens)
-    parts = parts.withColumn("part", F.sum(F.col("opens").cast("int")).over(w)).withColumn("chunk", chunk_of(F.col("opens"), w)).drop("opens")
-
-    def bands_of(items: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list] = []
-        first, part = 0, None  # the part's first band
-        for item in items.sort_values(["baseline", "x0", "str"]).itertuples(index=False):
-            y, h = item.baseline / height, item.size / height
-            if item.part != part:
-                first, part = len(rows), item.part
-            band = next((b for b in rows[first:] if abs(b[0] - y) <= max(0.004, 0.35 * b[1])), None)
-            if band is None:
-                rows.append([y, h, [item]])
-            else:
-                band[1] = max(band[1], h)
-                band[2].append(item)
-        out = []
-        for _, h, members in rows:
-            last = None
-            for item in sorted(members, key=lambda i: i.x0):
-                if last is not None and -1 <= (item.x0 - last) / (h * height) <= 2.5:
-                    out[-1][4] += item.str
-                    out[-1][6] = max(out[-1][6], item.x1)
-                else:
-                    out.append([item.doc_id, item.page, item.chunk, len(out), item.str, item.x0, item.x1])
-                last = item.x1
-        return pd.DataFrame(out, columns=["doc_id", "page", "chunk", "at", "text", "x0", "x1"])
-
-    found = parts.groupBy(*PAGE, "chunk").applyInPandas(bands_of, "doc_id long, page int, chunk long, at int, text string, x0 double, x1 double")
-    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("chunk", "at")) - 1
-    return found.select(*PAGE, number.alias("run"), "text", "x0", "x1")
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band: list[tuple] = []
+        key, run, top, tall = (), 0, 0.0, 0.0  # the band's page, its first run's number, its first item's place and its tallest size
+        for batch in batches:
+            out: list[tuple] = []
+            columns = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("opens", "baseline", "size", "x0", "x1", *PAGE))
+            for (new, baseline, size, x0, x1, *page), text in zip(zip(*columns, strict=True), batch.column("str").to_pylist(), strict=True):
+                y, h = baseline / height, size / height
+                if new or abs(top - y) > max(0.004, 0.35 * tall):
+                    out += (found := cut_band(band, tall * height, key, run))
+                    key, run = (page, 0) if new else (key, run + len(found))
+                    band, top, tall = [], y, h
+                band.append((x0, x1, text))
+                tall = max(tall, h)
+            yield written(out)
+        yield written(cut_band(band, tall * height, key, run))
+
+    def written(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=[*PAGE, "run", "text", "x0", "x1"])
+
+    placed = in_order(items.select(*PAGE, "baseline", "x0", "x1", "size", "str"), PAGE, "baseline", "x0", "str", "x1", "size")
+    return placed.mapInArrow(runs_of, "doc_id long, page int, run int, text string, x0 double, x1 double")
+
+
+def cut_band(band: list[tuple], tall: float, key: tuple, run: int) -> list[tuple]:
+    """(*key, number, text, x0, x1) of the runs of a band's (x0, x1, text), numbered from run: items that follow by -1 to 2.5 of the tallest size."""
+    found: list[tuple] = []
+    last = None
+    for x0, x1, text in sorted(band, key=lambda i: i[0]):
+        if last is not None and -1 <= (x0 - last) / tall <= 2.5:
+            texts.append(text)
+            right = max(right, x1)
+        else:
+            if last is not None:
+                found.append((*key, run + len(found), "".join(texts), left, right))
+            texts, left, right = [text], x0, x1
+        last = x1
+    return [*found, (*key, run + len(found), "".join(texts), left, right)] if band else found
