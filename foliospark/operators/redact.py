@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.operators.layout import in_order
 from foliospark.operators.needles import find
 
 PAGE = ["doc_id", "page"]
@@ -64,24 +68,40 @@ def dedupe_proposals(marks: DataFrame, tolerance: float = 0.02) -> DataFrame:
 
 
 def coalesce_marks(marks: DataFrame, gap: float = 0.012) -> DataFrame:
-    """Marks (doc_id, page, kind, nx, ny, nw, nh) of one row and kind joined where they touch or nearly touch."""
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[list[float]] = []
-        for nx, ny, nw, nh in group.sort_values(["ny", "nx"])[["nx", "ny", "nw", "nh"]].itertuples(index=False):
-            if out:
-                a = out[-1]
-                shared = min(a[1] + a[3], ny + nh) - max(a[1], ny)
-                if max(0.0, shared) >= 0.5 * min(a[3], nh) and nx <= a[0] + a[2] + gap:
-                    right, low = max(a[0] + a[2], nx + nw), max(a[1] + a[3], ny + nh)
-                    left, top = min(a[0], nx), min(a[1], ny)
-                    out[-1] = [left, top, right - left, low - top]
-                    continue
-            out.append([nx, ny, nw, nh])
-        got = pd.DataFrame(out, columns=["nx", "ny", "nw", "nh"])
-        return got.assign(doc_id=group["doc_id"].iloc[0], page=group["page"].iloc[0], kind=group["kind"].iloc[0])[["doc_id", "page", "kind", "nx", "ny", "nw", "nh"]]
-
-    return marks.groupBy(*PAGE, "kind").applyInPandas(join, "doc_id long, page int, kind string, nx double, ny double, nw double, nh double")
+    """Marks (doc_id, page, kind, nx, ny, nw, nh) of one row and kind joined where they touch or nearly touch.
+
+    Spark sorts the marks of a page and kind; they are then read one by one, and only the mark that the next may join is held.
+    """
+    group, box = [*PAGE, "kind"], ["nx", "ny", "nw", "nh"]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = left = None  # the open mark: its group, and its box
+        for batch in batches:
+            opens = batch.column("opens").to_numpy(zero_copy_only=False)
+            names = iter(batch.select(group).filter(batch.column("opens")).to_pylist())
+            out: list[tuple] = []
+            for new, nx, ny, nw, nh in zip(opens.tolist(), *(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in box), strict=True):
+                if left is not None and not new:
+                    shared = min(top + high, ny + nh) - max(top, ny)
+                    if max(0.0, shared) >= 0.5 * min(high, nh) and nx <= left + wide + gap:
+                        right, low = max(left + wide, nx + nw), max(top + high, ny + nh)
+                        left, top = min(left, nx), min(top, ny)
+                        wide, high = right - left, low - top
+                        continue
+                if left is not None:
+                    out.append((*key, left, top, wide, high))
+                if new:
+                    key = tuple(next(names).values())
+                left, top, wide, high = nx, ny, nw, nh
+            yield written(out)
+        if left is not None:
+            yield written([(*key, left, top, wide, high)])
+
+    def written(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.string(), *[pa.float64()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=[*group, *box])
+
+    return in_order(marks.select(*group, *box), group, "ny", "nx", "nw", "nh").mapInArrow(join, "doc_id long, page int, kind string, nx double, ny double, nw double, nh double")
 
 
 def keyword_hits(texts: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
