@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,14 +193,15 @@ def fold_rows(baselines: list[float], near: list[float]) -> list[int]:
     counts: list[int] = []
     rows = []
     for b, reach in zip(baselines, near, strict=True):
-        at = next((i for i, m in enumerate(means) if abs(m - b) <= reach), None)
-        if at is None:
+        for at, m in enumerate(means):
+            if abs(m - b) <= reach:
+                counts[at] += 1
+                means[at] = m + (b - m) / counts[at]
+                break
+        else:
+            at = len(means)
             means.append(b)
             counts.append(1)
-            at = len(means) - 1
-        else:
-            counts[at] += 1
-            means[at] += (b - means[at]) / counts[at]
         rows.append(at)
     place = {r: i for i, r in enumerate(sorted(range(len(means)), key=lambda r: means[r]))}
     return [place[r] for r in rows]
@@ -308,28 +310,51 @@ def in_order(rows: DataFrame, group: list[str], *order: str | Column) -> DataFra
 def first_fit(items: DataFrame) -> DataFrame:
     """doc_id, page, line_no, off, row_no by running mean baselines, as first_fit_rows.
 
-    Windows split a page at gaps that no item reaches across; its parts are dealt to tasks in chunks of about MAX_ITEMS,
-    so that a page of any size is no one's group, and one of the usual size is a single chunk.
+    Spark sorts a page's items by how far up they reach, and a task reads page after page. Of a page of over MAX_ITEMS it
+    holds what lies behind the last gap that no item reaches across.
     """
-    b = F.col("baseline")
-    w, back = Window.partitionBy(*PAGE).orderBy("baseline"), Window.partitionBy(*PAGE).orderBy(F.desc("baseline"))
     near = F.greatest(F.lit(2.0), 0.35 * F.col("size"))
-    reach = items.select(*PAGE, "line_no", "off", "baseline", "size", F.min(b - near).over(back).alias("down"))  # of all from here on, equal baselines too
-    reach = reach.withColumn("up", F.max(b + near).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("before", F.lag("baseline").over(w))
-    opens = F.coalesce((b - F.col("up") > SLACK) & (F.col("down") - F.col("before") > SLACK), F.lit(False))
-
-    def rows(items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(["line_no", "off"], ignore_index=True)
-        return items[[*PAGE, "line_no", "off", "chunk"]].assign(row=first_fit_rows(items["baseline"].tolist(), items["size"].tolist()))
-
-    dealt = reach.withColumn("chunk", chunk_of(opens, w)).select(*PAGE, "line_no", "off", "baseline", "size", "chunk")
-    fitted = dealt.groupBy(*PAGE, "chunk").applyInPandas(rows, "doc_id long, page int, line_no int, off int, chunk long, row int")
-    number = F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("chunk", "row")) - 1
-    return fitted.select(*PAGE, "line_no", "off", number.alias("row_no"))
-
-
-def chunk_of(opens: Column, order: Window, size: int = MAX_ITEMS) -> Column:
-    """The number of the chunk of each row of an ordered window: whole parts, of which `opens` marks the first rows, by the place where they start."""
-    starts = F.when(opens, F.row_number().over(order) - 1)
-    # a marked row's equals in the order follow it: they are in its part, and the sum is theirs too
-    return F.floor(F.coalesce(F.max(starts).over(order), F.lit(0)) / size)
+    names = [*PAGE, "line_no", "off"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, wait, row = [], 0, 0, 0  # what is left of the last page, how many that is, how many to wait for, and the row that it begins with
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= wait or batch.column("opens").true_count:
+                whole = pa.concat_batches(held)
+                rows, row = fold_pages(whole, row, False)
+                yield numbered(whole, rows)
+                held, n = [whole.slice(len(rows))], len(whole) - len(rows)
+                wait = 2 * n
+        if n:
+            whole = pa.concat_batches(held)
+            yield numbered(whole, fold_pages(whole, row, True)[0])
+
+    def numbered(whole: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(whole.column(c).slice(0, len(rows)) for c in names), pa.array(rows, pa.int32())], names=[*names, "row_no"])
+
+    placed = in_order(items.select(*names, "baseline", "size"), PAGE, F.col("baseline") - near)
+    return placed.mapInArrow(fold, "doc_id long, page int, line_no int, off int, row_no int")
+
+
+def fold_pages(items: pa.RecordBatch, row: int, ended: bool) -> tuple[np.ndarray, int]:
+    """The rows of the items of whole pages, the first going on with that row, and of the last page as far as chunk_of goes; the row that it goes on with."""
+    line, off, b, s = (items.column(c).to_numpy(zero_copy_only=False) for c in ("line_no", "off", "baseline", "size"))
+    starts = np.flatnonzero(items.column("opens").to_numpy(zero_copy_only=False))
+    bounds = [0, *starts[starts > 0].tolist(), len(b)]
+    if not ended:
+        near = np.maximum(2.0, 0.35 * s[bounds[-2] :])
+        bounds[-1] = bounds[-2] + chunk_of(b[bounds[-2] :] - near, b[bounds[-2] :] + near)
+    rows = np.empty(bounds[-1], np.int64)
+    for k, (at, end) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        row = 0 if k else row
+        order = at + np.lexsort((off[at:end], line[at:end]))
+        rows[order] = np.add(first_fit_rows(b[order], s[order]), row)
+    return rows, int(rows[bounds[-2] :].max(initial=row - 1 if len(bounds) == 2 else -1)) + 1
+
+
+def chunk_of(down: np.ndarray, up: np.ndarray, size: int = MAX_ITEMS) -> int:
+    """How many of a page's items, by how far up they reach, lie before the last gap that none reaches across; 0 for fewer than `size`."""
+    gaps = np.flatnonzero(down[1:] - np.maximum.accumulate(up)[:-1] > SLACK) if len(down) >= size else ()
+    return int(gaps[-1]) + 1 if len(gaps) else 0
