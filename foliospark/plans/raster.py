@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +16,14 @@ EDITED = "edited as (select doc_id, page, x, y, (case when (doc_id + x + y) % 17
 MASK = EDITED + ", mask as (select g.doc_id, g.page, g.x, g.y, grey, other, abs(grey - other) > 8 as changed from grid_pixels g join edited using (doc_id, page, x, y))"
 
 
-def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rasters with one pixel in seventeen inverted."""
-    other = lambda v, x, y: F.when((F.col("doc_id") + x + y) % 17 == 0, 255 - v).otherwise(v).cast("int")
-    return page_rasters(spark, sf_dir).withColumn("rows", F.transform("rows", lambda row, y: F.transform(row, lambda v, x: other(v, x, y))))
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The rasters, and the same with one pixel in seventeen inverted."""
+    edited = lambda grey, doc, x, y: np.where((doc + x + y) % 17 == 0, 255 - grey, grey)
+    return page_rasters(spark, sf_dir, packed=True), page_rasters(spark, sf_dir, edited, packed=True)
 
 
-def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.visual_diff(page_rasters(spark, sf_dir), edited(spark, sf_dir))
+def mask(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    return R.visual_diff(*sides(spark, sf_dir), fields=fields)
 
 
 def total(line, value):
@@ -49,14 +50,13 @@ def content_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("j20_visual_diff_mask", bridged(f"with {MASK} select doc_id, page, y, count(*) as n, sum(changed::int)::bigint as n_changed from mask group by all"))
 def visual_diff_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = R.scanlines(mask(spark, sf_dir))
-    return lines.select("doc_id", "page", "y", F.size("line").cast("long").alias("n"), total("line", lambda p: p["changed"].cast("int")).alias("n_changed"))
+    return R.line_changes(*sides(spark, sf_dir))
 
 
 @register("a7_changed_ratio", bridged(f"with {MASK} select doc_id, page, round(avg(changed::int), 6) as ratio from mask group by all"))
 def changed_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = mask(spark, sf_dir).withColumn("p", F.flatten("rows"))
-    return pixels.select("doc_id", "page", F.round(total("p", lambda p: p["changed"].cast("int")) / F.size("p"), 6).alias("ratio"))
+    lines = R.line_changes(*sides(spark, sf_dir))
+    return lines.groupBy("doc_id", "page").agg(F.round(F.sum("n_changed") / F.sum("n"), 6).alias("ratio"))
 
 
 @register("r1_blank_pages", bridged("""
@@ -77,7 +77,7 @@ def blank_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     red = lambda p: F.when(p["changed"], F.floor(p["other"] * 0.45 + 255 * 0.55 + 0.5)).otherwise(p["other"])
     rest = lambda p: F.when(p["changed"], F.floor(p["other"] * 0.45 + 0.5)).otherwise(p["other"])
-    return mask(spark, sf_dir).withColumn("p", F.flatten("rows")).select("doc_id", "page", total("p", red).alias("r"), total("p", rest).alias("g"))
+    return mask(spark, sf_dir, "other", "changed").withColumn("p", F.flatten("rows")).select("doc_id", "page", total("p", red).alias("r"), total("p", rest).alias("g"))
 
 
 @register("r4_tone_adjust", bridged("select doc_id, page, y, sum(greatest(0, least(255, round_even((grey - 128) * 1.25 + 128 + 10, 0))))::bigint as total from grid_pixels group by all"))
@@ -126,13 +126,13 @@ def rotate_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("r2_change_regions")
 def change_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.change_regions(mask(spark, sf_dir))
+    return R.change_regions(mask(spark, sf_dir, "changed"))
 
 
 @register("l5_cap_regions")
 def cap_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 200 regions of each page, and whether there are more: the cap is the feature."""
-    return R.first_regions(R.change_regions(mask(spark, sf_dir)), 200)
+    return R.first_regions(R.change_regions(mask(spark, sf_dir, "changed")), 200)
 
 
 @register("a6_region_spread", bridged("""
