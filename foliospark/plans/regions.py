@@ -12,6 +12,9 @@ from foliospark.plans.registry import register
 from foliospark.sources.bridge import HEIGHT, bridged, doc_lines, doc_pages, text_items
 from foliospark.tables import table
 
+#: Rows of edit scripts from which they are given to Spark.
+SCRIPT_ROWS = 100_000
+
 
 @register("w10_detect_tables")
 def detect_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,21 +102,22 @@ def intake_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("d1_lcs_diff")
 def lcs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortest edit scripts between each page and the next of its document: one row for each operation."""
+    """Shortest edit scripts between each page and the next of its document, however long: one row for each operation."""
     import pandas as pd
 
-    from foliospark.operators.compare import TooDifferent, edit_script
+    from foliospark.operators.compare import edit_script
     from foliospark.plans.compare import next_pages
 
     def run(batches):
+        names = ["doc_id", "page", "kind", "a_start", "a_end", "b_start", "b_end"]
         for rows in batches:
             out = []
             for doc, page, a, b in rows[["doc_id", "page", "words", "next"]].itertuples(index=False):
-                try:
-                    out += [(doc, page, *op) for op in edit_script(list(a), list(b))]
-                except TooDifferent:
-                    out.append((doc, page, "wholesale", 0, len(a), 0, len(b)))
-            yield pd.DataFrame(out, columns=["doc_id", "page", "kind", "a_start", "a_end", "b_start", "b_end"])
+                out += [(doc, page, *op) for op in edit_script(list(a), list(b), None)]
+                if len(out) > SCRIPT_ROWS:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
     return next_pages(spark, sf_dir).mapInPandas(run, "doc_id long, page int, kind string, a_start int, a_end int, b_start int, b_end int")
 
