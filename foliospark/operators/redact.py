@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,19 +51,27 @@ def containment(items: DataFrame, rects: DataFrame, tolerance: float = 6.0) -> D
 
 
 def dedupe_proposals(marks: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """Proposals (doc_id, page, mark_id, nx, ny, nw, nh) that no earlier kept one of their page covers."""
-
-    def greedy(page: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for m in page.sort_values("mark_id").itertuples(index=False):
-            covered = any(
-                m.nx >= k.nx - tolerance and m.ny >= k.ny - tolerance and m.nx + m.nw <= k.nx + k.nw + tolerance and m.ny + m.nh <= k.ny + k.nh + tolerance for k in kept
-            )
-            if not covered:
-                kept.append(m)
-        return pd.DataFrame(kept, columns=page.columns)
-
-    return marks.groupBy(*PAGE).applyInPandas(greedy, marks.schema)
+    """Proposals (doc_id, page, mark_id, nx, ny, nw, nh) that no earlier kept one of their page covers.
+
+    Spark sorts a page's proposals, and a task reads page after page; it holds those that it kept.
+    """
+    names, box = marks.columns, ["nx", "ny", "nw", "nh"]
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[float, float, float, float]] = []
+        for batch in batches:
+            stays = []
+            for new, x, y, w, h in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("opens", *box)), strict=True):
+                if new:
+                    kept = []
+                right, low = x + w, y + h
+                covered = any(x >= left - tolerance and y >= top - tolerance and right <= end + tolerance and low <= bottom + tolerance for left, top, end, bottom in kept)
+                if not covered:
+                    kept.append((x, y, right, low))
+                stays.append(not covered)
+            yield batch.select(names).filter(pa.array(stays, pa.bool_()))
+
+    return in_order(marks, PAGE, "mark_id", *box).mapInArrow(greedy, marks.schema)
 
 
 def coalesce_marks(marks: DataFrame, gap: float = 0.012) -> DataFrame:
