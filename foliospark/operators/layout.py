@@ -6,10 +6,12 @@ key everywhere, so groups stay small however large the corpus is.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -229,6 +231,36 @@ def first_fit_rows(baselines: list[float], sizes: list[float]) -> list[int]:
     return rows.tolist()
 
 
+def rows_of_sorted(b: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """first_fit_rows of items in order of their baselines, and for each row the part that it was split into.
+
+    A part whose running mean stays near enough to every item is one row; that is seen for all parts at once, and only
+    parts where rounding could decide, or a second row begins, are folded item by item.
+    """
+    n, near = len(b), np.maximum(2.0, 0.35 * size)
+    if n < 2:
+        return np.zeros(n, np.int64), np.zeros(n, np.int64)
+    up, down = np.maximum.accumulate(b + near), np.minimum.accumulate((b - near)[::-1])[::-1]
+    starts = np.concatenate([[0], np.flatnonzero((b[1:] - up[:-1] > SLACK) & (down[1:] - b[:-1] > SLACK)) + 1])
+    ends = np.concatenate([starts[1:], [n]])
+    part = np.repeat(np.arange(len(starts)), ends - starts)
+    one = b[ends - 1] - b[starts] + SLACK <= np.minimum.reduceat(near, starts)
+    if not one.all() and n * n * (b[-1] - b[0]) * 1e-15 < SLACK:
+        above = b - b[0]
+        total = np.cumsum(above) - above  # of the items before
+        first, place = starts[part], np.arange(n)
+        mean = (total - total[first]) / np.maximum(place - first, 1)
+        one |= np.logical_and.reduceat((np.abs(mean - above) <= near - SLACK) | (place == first), starts)
+    if one.all():
+        return part, np.arange(len(starts))
+    rows, parts = np.empty(n, np.int64), []
+    for k, (at, end, alone) in enumerate(zip(starts.tolist(), ends.tolist(), one.tolist(), strict=True)):
+        found = 0 if alone else np.asarray(fold_rows(b[at:end].tolist(), near[at:end].tolist()))
+        rows[at:end] = found + len(parts)
+        parts += [k] * (1 if alone else int(found.max()) + 1)
+    return rows, np.asarray(parts)
+
+
 def extent(baseline: np.ndarray, size: np.ndarray) -> float:
     return float((baseline + 0.25 * size).max() - (baseline - size).min()) if len(baseline) else 0.0
 
@@ -246,21 +278,59 @@ def row_means(rows: list[int], values: list[float]) -> list[float]:
     return [t / c for t, c in zip(total, count, strict=True)]
 
 
-def reading_regions(page: pd.DataFrame, body: float, depth: int = 0) -> Iterator[pd.DataFrame]:
-    """Leaves of the recursive cut of a page: at the widest gutter between tall columns, else at the widest gap between rows."""
-    x0, x1, baseline, size = (page[c].to_numpy(float) for c in ("x0", "x1", "baseline", "size"))
-    for places in region_places(x0, x1, baseline, size, np.arange(len(page)), body, depth):
-        yield page.iloc[places]
+def run_means(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """row_means of rows whose values lie one behind the other, by where each begins."""
+    values, bounds, means = values.tolist(), [*starts.tolist(), len(values)], []
+    for at, end in pairwise(bounds):
+        total = lost = 0.0
+        for v in values[at:end]:
+            y = v - lost
+            t = total + y
+            lost = t - total - y
+            total = t
+        means.append(total / (end - at))
+    return np.asarray(means)
+
+
+class Rows(NamedTuple):
+    """The rows of some items: of each item its row; of each row its part, mean baseline and the size of its first item from the left; the items by row and x, and where each row begins there."""
+
+    row: np.ndarray
+    part: np.ndarray
+    means: np.ndarray
+    heads: np.ndarray
+    order: np.ndarray
+    starts: np.ndarray
+
+
+def rows_across(x0: np.ndarray, baseline: np.ndarray, size: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None = None) -> Rows:
+    """Rows of items in order of their baselines; found: what rows_of_sorted gave for them, if that is known."""
+    row, part = found or rows_of_sorted(baseline, size)
+    order = np.lexsort((x0, row))
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(row[order])) + 1])
+    return Rows(row, part, run_means(baseline[order], starts), size[order[starts]], order, starts)
 
 
-def region_places(x0: np.ndarray, x1: np.ndarray, baseline: np.ndarray, size: np.ndarray, at: np.ndarray, body: float, depth: int = 0) -> Iterator[np.ndarray]:
-    """reading_regions as the places of their items."""
+def region_places(
+    x0: np.ndarray, x1: np.ndarray, baseline: np.ndarray, size: np.ndarray, at: np.ndarray, body: float, depth: int = 0, found: tuple[np.ndarray, np.ndarray] | None = None
+) -> Iterator[np.ndarray]:
+    """The places of the items of each leaf of a page's recursive cut: at the widest gutter between tall columns, else at the widest gap between rows.
+
+    Items are in order of their baselines, and at in order; found: their rows_of_sorted, if that is known. The rows of a
+    page that is cut between two parts of rows are those of the whole.
+    """
+    yield from (places for places, _ in regions(x0, x1, baseline, size, at, body, depth, None if found is None else rows_across(x0[at], baseline[at], size[at], found)))
+
+
+def regions(x0: np.ndarray, x1: np.ndarray, baseline: np.ndarray, size: np.ndarray, at: np.ndarray, body: float, depth: int, rows: Rows | None) -> Iterator[tuple[np.ndarray, Rows | None]]:
+    """region_places with the rows of each, where they are known."""
     if depth >= 6 or len(at) <= 1:
-        yield at
+        yield at, rows
         return
-    deeper = lambda part: region_places(x0, x1, baseline, size, part, body, depth + 1)
+    deeper = lambda part, known=None: regions(x0, x1, baseline, size, part, body, depth + 1, known)
     left_ends, right_ends, b, s = x0[at], x1[at], baseline[at], size[at]
-    tall = extent(b, s)
+    top, low = b - s, b + 0.25 * s
+    tall = float(low.max() - top.min())
     if tall >= 3 * body:
         order = np.argsort(left_ends, kind="stable")
         starts = left_ends[order]
@@ -269,37 +339,76 @@ def region_places(x0: np.ndarray, x1: np.ndarray, baseline: np.ndarray, size: np
         wide = np.flatnonzero(gaps >= 18)
         for k in wide[np.argsort(-gaps[wide], kind="stable")]:
             left, right = right_ends <= reach[k] + 0.5, left_ends >= starts[k] - 0.5
-            if extent(b[left], s[left]) >= 0.6 * tall and extent(b[right], s[right]) >= 0.6 * tall:
+            if all(extent(b[side], s[side]) >= 0.6 * tall for side in (left, right)):
                 yield from deeper(at[left])
                 yield from deeper(at[right])
                 return
-    rows = np.asarray(first_fit_rows(b.tolist(), s.tolist()))
-    order = np.lexsort((left_ends, rows))
-    means = np.asarray(row_means(rows[order].tolist(), b[order].tolist()))
-    heads = s[order][np.unique(rows[order], return_index=True)[1]]
-    larger = np.maximum(heads[1:], heads[:-1])
-    gap = np.diff(means) - larger
+    rows = rows or rows_across(left_ends, b, s)
+    larger = np.maximum(rows.heads[1:], rows.heads[:-1])
+    gap = np.diff(rows.means) - larger
     wide = np.flatnonzero(gap >= 0.9 * larger)
     if not len(wide):
-        yield at
+        yield at, rows
         return
-    cut = wide[np.argmax(gap[wide])] + 1
-    yield from deeper(at[rows < cut])
-    yield from deeper(at[rows >= cut])
+    cut = int(wide[np.argmax(gap[wide])]) + 1
+    above = rows.row < cut
+    for side, first, last in ((above, 0, cut), (~above, cut, len(rows.means))):
+        known = None
+        if rows.part[cut - 1] != rows.part[cut]:
+            begin, end = rows.starts[first], rows.starts[last] if last < len(rows.starts) else len(at)
+            renumbered = np.cumsum(side) - 1
+            known = Rows(rows.row[side] - first, rows.part[first:last], rows.means[first:last], rows.heads[first:last], renumbered[rows.order[begin:end]], rows.starts[first:last] - begin)
+        yield from deeper(at[side], known)
+
+
+def body_of(sizes: np.ndarray) -> float:
+    """The most frequent of the sizes, in halves; the first seen on ties."""
+    counts = Counter((np.floor(sizes * 2 + 0.5) / 2).tolist())
+    return max(counts, key=counts.get)
 
 
 def reading_order(items: DataFrame) -> DataFrame:
     """doc_id, page, line_no, off, region: regions of each page in reading order. A page is cut in one task, in a time of n log n."""
+    names = [*PAGE, "line_no", "off"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_pages(batches):
+            order, bounds = by_place(whole)
+            x0, x1, baseline, size = (whole.column(c).to_numpy()[order] for c in ("x0", "x1", "baseline", "size"))
+            taken, region = [], []
+            for at, end in pairwise(bounds):
+                page = slice(at, end)
+                places = list(region_places(x0[page], x1[page], baseline[page], size[page], np.arange(end - at), body_of(size[page])))
+                taken += [at + p for p in places]
+                region.append(np.repeat(np.arange(len(places)), [len(p) for p in places]))
+            kept = pa.array(order[np.concatenate(taken)])
+            yield pa.RecordBatch.from_arrays([*(whole.column(c).take(kept) for c in names), pa.array(np.concatenate(region), pa.int32())], names=[*names, "region"])
+
+    placed = in_order(sanitise_items(items).select(*names, "x0", "x1", "baseline", "size"), PAGE, "line_no", "off")
+    return placed.mapInArrow(cut, "doc_id long, page int, line_no int, off int, region int")
+
+
+def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of in_order, as batches of whole groups."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = np.flatnonzero(batch.column("opens").to_numpy(zero_copy_only=False))
+        if len(starts):
+            last = int(starts[-1])
+            if held or last:
+                yield pa.concat_batches([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        elif batch.num_rows:
+            held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
 
-    def cut(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["baseline", "x0"], kind="stable", ignore_index=True)
-        half = (page["size"] * 2 + 0.5).floordiv(1) / 2
-        body = float(half.value_counts(sort=True).index[0])
-        places = list(region_places(*(page[c].to_numpy(float) for c in ("x0", "x1", "baseline", "size")), np.arange(len(page)), body))
-        out = page[["doc_id", "page", "line_no", "off"]].take(np.concatenate(places))
-        return out.assign(region=np.repeat(np.arange(len(places)), [len(p) for p in places]))
 
-    return sanitise_items(items).groupBy(*PAGE).applyInPandas(cut, "doc_id long, page int, line_no int, off int, region int")
+def by_place(whole: pa.RecordBatch) -> tuple[np.ndarray, list[int]]:
+    """The rows of whole pages, each page's by baseline and x0 and else in order; where the pages begin and end."""
+    opens = whole.column("opens").to_numpy(zero_copy_only=False)
+    order = np.lexsort((whole.column("x0").to_numpy(), whole.column("baseline").to_numpy(), np.cumsum(opens)))
+    return order, [*np.flatnonzero(opens).tolist(), whole.num_rows]
 
 
 def in_order(rows: DataFrame, group: list[str], *order: str | Column) -> DataFrame:
